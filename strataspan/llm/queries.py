@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from strataspan.llm import chat, line_dedup
+from strataspan.llm import byte_bpe, chat, decontam, line_dedup, topk
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_topk_search": topk.op8_topk_search,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontam.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op8_topk_search": topk.OP8_SQL,
 }
