@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataspan.llm import byte_bpe, chat, decontam, line_dedup, topk
+from strataspan.llm import byte_bpe, chat, decontam, line_dedup, ngram_join, topk
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_chat_format": chat.op7_chat_format,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_jaccard_join": ngram_join.OP2_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
