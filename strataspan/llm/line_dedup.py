@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,9 +149,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     marked = with_bitmaps(docs, keep_bitmaps(docs, min_chars))
 
     @F.pandas_udf("string")
-    def render(text, keep):
-        import pandas as pd
-
+    def render(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(kept_lines(t, k)[0]) for t, k in zip(text, keep, strict=True)])
 
     text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(render("text", "_keep"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strataspan.llm import byte_bpe, chat, decontam, line_dedup, ngram_join, topk
+from strataspan.llm import byte_bpe, chat, decontam, html_text, line_dedup, ngram_join, quality, topk
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_topk_search": topk.op8_topk_search,
 }
