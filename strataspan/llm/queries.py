@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataspan.llm import byte_bpe, chat, decontam, html_text, line_dedup, ngram_join, quality, topk
+from strataspan.llm import byte_bpe, chat, decontam, html_text, line_dedup, ngram_join, quality, repair_ids, topk
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_topk_search": topk.op8_topk_search,
+    "op9_token_shards": repair_ids.op9_token_shards,
 }
 
 ORACLES = {
