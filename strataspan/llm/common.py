@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[sc.applicationId]
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back: it is computed once, and a lost
     executor costs no recomputation of what stands before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

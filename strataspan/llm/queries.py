@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataspan.llm import byte_bpe, chat, decontam, html_text, line_dedup, ngram_join, quality, repair_ids, topk
+from strataspan.llm import byte_bpe, chat, decontam, html_text, line_dedup, ngram_join, pitman_yor, quality, repair_ids, topk
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_topk_search": topk.op8_topk_search,
     "op9_token_shards": repair_ids.op9_token_shards,
+    "op10_pitman_yor": pitman_yor.op10_pitman_yor,
 }
 
 ORACLES = {
