@@ -6,8 +6,9 @@ frequent enough or symbols run out; the shard keeps the rules, the length that e
 index of documents. Expansion lengths let a range of ids be decoded without the rest of the shard. Shards are rows of Parquet files in the shared folder:
 they are written and found again by Spark in whatever store that is.
 
-Text is encoded word by word through a bounded cache where the tokenizer provably works word by word (texts of printable ASCII and Latin
-letters without strings of special tokens); any other text goes to the tokenizers library whole.
+Text is encoded word by word, each distinct word of a batch once and by the library, with a bounded table of words met before, where the tokenizer
+provably works word by word (texts of printable ASCII and Latin letters without strings of special tokens); any other text goes
+to the tokenizers library whole. Words are told apart by a 64-bit hash, among the few million that the table holds.
 
 A shard: magic RPAIR1, then little-endian unsigned 32-bit: documents, rules, sequence length, ids, bytes a symbol (2 or 4), first
 nonterminal; then int64 doc_ids (with a byte each that is 1 for a null), uint32 counts, rules as pairs of uint32, uint32 expansion lengths, the sequence.
@@ -33,45 +34,138 @@ from strataspan.llm.common import materialise, shuffle_partitions, table
 MAGIC = b"RPAIR1"
 SHARD_IDS = 4_000_000
 ROUNDS, A_ROUND, LEAST = 5, 4096, 24
-CACHE_WORDS = 400_000
+CACHE_IDS = 12_000_000
 
-#: The tokenizer's word pattern, for texts of SAFE characters only, where it means the same.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: ASCII and Latin letters: lower case is one character each, normal form C changes nothing, digits are 0-9 only.
-SAFE = re.compile("[\t\n\x0b\x0c\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ňŊ-ž]*")
+SAFE = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba-\u00bb\u00bf-\u012f\u0131-\u0148\u014a-\u017e]*")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_SPACE if c in (9, 10, 11, 12, 13, 32) else _LETTER if chr(c).isalpha() else _DIGIT if 48 <= c <= 57 else _OTHER for c in range(0x180)], dtype=np.uint8)
+_rng = np.random.Generator(np.random.PCG64(20230517))
+_CHAR = _rng.integers(1, 2**63, 0x180, dtype=np.uint64) | np.uint64(1)
+
+
+def split_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the tokenizer's words in a lower-case text of SAFE characters: runs of letters, single digits, runs of
+    other characters, and 's 't 'm 'd 're 've 'll where a word begins with the apostrophe."""
+    c = np.frombuffer((text + "   ").encode("utf-16-le"), dtype="<u2")
+    kind = _KIND[c]
+    begins = (kind != _SPACE) & ((kind != np.concatenate([[_SPACE], kind[:-1]])) | (kind == _DIGIT))
+    at = np.flatnonzero(begins & (c == 39))
+    if len(at):
+        one, two = c[at + 1], c[at + 2]
+        size = np.where(np.isin(one, np.frombuffer("stmd".encode("utf-16-le"), "<u2")), 2, 0)
+        for first, second in ("re", "ve", "ll"):
+            size[(one == ord(first)) & (two == ord(second))] = 3
+        at, size = at[size > 0], size[size > 0]
+        begins[at + 1] = False
+        after = at + size
+        begins[after[kind[after] == _LETTER]] = True
+    solid = np.flatnonzero(kind != _SPACE)
+    first = np.flatnonzero(begins[solid])
+    return solid[first], np.diff(np.append(first, len(solid)))
+
+
+def hash_words(text: str, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    from strataspan.llm.shingles import _power, mix
+
+    c = np.frombuffer(text.encode("utf-16-le"), dtype="<u2")
+    first = np.cumsum(length) - length
+    within = np.arange(int(length.sum())) - np.repeat(first, length)
+    body = _CHAR[c[np.repeat(start, length) + within]] * _power(int(length.max()) + 1)[within]
+    return mix(np.add.reduceat(body, first) + length.astype(np.uint64))
+
+
+class Words:
+    """The ids of words by their hash: a large sorted table and a small one of late additions."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.levels = [(np.zeros(0, np.uint64), none, none)] * 2
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offset in flat, number of ids) of each hash; number 0 if it isn't known."""
+        offset, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for keys, o, n in self.levels:
+            if len(keys):
+                at = np.searchsorted(keys, h)
+                at[at == len(keys)] = 0
+                hit = keys[at] == h
+                offset[hit], count[hit] = o[at[hit]], n[at[hit]]
+        return offset, count
+
+    def add(self, h: np.ndarray, words: list[str]) -> None:
+        """Words (ascending hashes) as the library encodes them in one text; a word's last id ends with the suffix."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):
+            raise ValueError("the tokenizer doesn't keep words apart")
+        start = np.concatenate([[0], stop[:-1]])
+        old, late = self.levels
+        k, o, n = (np.concatenate(x) for x in zip(late, (h, start + len(self.flat), stop - start), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        if len(k) > 1 << 17:
+            k, o, n = (np.concatenate(x) for x in zip(old, (k, o, n), strict=True))
+            order = np.argsort(k)
+            self.levels = [(k[order], o[order], n[order]), (k[:0], o[:0], n[:0])]
+        else:
+            order = np.argsort(k)
+            self.levels = [old, (k[order], o[order], n[order])]
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+def _words(path: str) -> Words:
+    return Words(path)
+
+
+def _encode_safe(texts: list[str], known: Words) -> list[np.ndarray]:
+    """The ids of texts that are encoded word by word."""
+    low = "\n".join(texts).lower()
+    start, length = split_words(low)
+    if not len(start):
+        return [np.zeros(0, np.uint32)] * len(texts)
+    h, which = np.unique(hash_words(low, start, length), return_inverse=True)
+    offset, count = known.find(h)
+    new = np.flatnonzero(count == 0)
+    if len(new):
+        some = np.empty(len(h), np.int64)
+        some[which] = np.arange(len(which))
+        at = some[new]
+        if len(known.flat) > CACHE_IDS:
+            known.clear()
+            return _encode_safe(texts, known)
+        known.add(h[new], [low[a : a + n] for a, n in zip(start[at].tolist(), length[at].tolist(), strict=True)])
+        offset, count = known.find(h)
+    offset, count = offset[which], count[which]
+    stop = np.cumsum(count)
+    ids = known.flat[np.repeat(offset - (stop - count), count) + np.arange(stop[-1])]
+    ends = np.cumsum([len(t) + 1 for t in texts])  # lower case keeps lengths
+    words_before = np.searchsorted(start, ends)
+    ids_before = np.concatenate([[0], stop])[words_before]
+    return np.split(ids, ids_before[:-1])
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     """The ids of every text with the end id, as the tokenizers library gives them."""
-    tok, cache = _tokenizer(path)
+    known = _words(path)
     out: list = [None] * len(texts)
-    words: dict[int, list[str]] = {}
-    whole = []
-    for i, text in enumerate(texts):
-        text = text or ""
-        if "<|" not in text and SAFE.fullmatch(text):
-            words[i] = WORD.findall(text.lower())
-        else:
-            whole.append(i)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = list(set().union(*words.values()).difference(cache)) if words else []
-    for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        ids = e.ids
-        cache[w] = struct.pack(f"<{len(ids)}I", *ids)
-    for i, ws in words.items():
-        out[i] = b"".join(map(cache.__getitem__, ws))
-    for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, dtype="<u4").tobytes()
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return [np.frombuffer(x + end, dtype="<u4") for x in out]
+    safe = [i for i, t in enumerate(texts) if "<|" not in (t or "") and SAFE.fullmatch(t or "")]
+    for i, ids in zip(safe, _encode_safe([texts[i] or "" for i in safe], known), strict=True):
+        out[i] = ids
+    for i in set(range(len(texts))).difference(safe):
+        out[i] = np.array(known.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+    return [np.append(x, np.uint32(end_id)).astype("<u4") for x in out]
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
