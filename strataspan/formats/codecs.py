@@ -144,9 +144,7 @@ def stream(kind: str, s: Source) -> Iterator[bytes]:
             yield from _members(s, lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE, memlimit=1_800_000_000), lambda d: d.eof)
         elif kind == "zstd":
             d = zstandard.ZstdDecompressor(max_window_size=1 << 31)
-            reader = d.stream_reader(_File(s), read_across_frames=True)
-            while piece := reader.read(STEP):
-                yield piece
+            yield from _members(s, d.decompressobj, lambda x: x.eof)
         elif kind == "lz4":
             yield from _lz4(s)
         elif kind == "zip":

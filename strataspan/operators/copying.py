@@ -131,8 +131,8 @@ def restore(spark: SparkSession, image: str, target: str, magic: str = smart.MAG
         _write(df.mapInPandas(unpack, "pos long, bytes binary"), target, size if room is None else None)
         return size
     if kind in detect.CONTAINERS:
-        found = detect.open_image(s, kind)
-        check_fits(found.size, room)
+        size = detect.open_image(s, kind).size
+        check_fits(size, room)
         spark.dataSource.register(disk_sources.ImagePieces)
         pieces = spark.read.format("image_pieces").option("path", glob.escape(image)).load()
         cut = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(STEP).cast("long"))
@@ -144,11 +144,11 @@ def restore(spark: SparkSession, image: str, target: str, magic: str = smart.MAG
             for b in batches:
                 for r in b.itertuples():
                     p = Piece(int(r.length), r.kind, int(r.offset), int(r.packed_len), r.codec, int(r.size), bool(r.short_ok))
-                    yield pd.DataFrame({"pos": [r.pos], "bytes": [piece_bytes(s, p)[: found.size - int(r.pos)]]})
+                    yield pd.DataFrame({"pos": [r.pos], "bytes": [piece_bytes(s, p)[: size - int(r.pos)]]})
 
         rows = packed.unionByName(plain.toDF(*packed.columns)).repartition(spark.sparkContext.defaultParallelism)
-        _write(rows.mapInPandas(decode, "pos long, bytes binary"), target, found.size if room is None else None)
-        return found.size
+        _write(rows.mapInPandas(decode, "pos long, bytes binary"), target, size if room is None else None)
+        return size
     at = 0  # a compressed stream has one order: it is unpacked by one reader
     with open(target, "r+b" if room is not None else "wb") as out:
         for piece in detect.raw_bytes(s):

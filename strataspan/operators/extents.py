@@ -101,7 +101,8 @@ def complement(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
     """What the ranges leave free of each key's [low, high) in bounds (keys, low, high), both edges included."""
     merged = merge_gap(df, keys).join(bounds, keys, "right")
     w = Window.partitionBy(*keys).orderBy("start")
-    inside = merged.withColumn("start", F.least(F.greatest("start", "low"), "high")).withColumn("end", F.greatest(F.least("end", "high"), "low"))
+    some = F.col("start").isNotNull()  # a key without ranges is free from low to high
+    inside = merged.withColumns({"start": F.when(some, F.least(F.greatest("start", "low"), "high")), "end": F.when(some, F.greatest(F.least("end", "high"), "low"))})
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("low"))
     last = F.lead("start").over(w).isNull()
     inside = inside.withColumns({"_before": before, "_last": last})
