@@ -16,7 +16,14 @@ BROADCAST_BYTES = 48 << 20
 _own_dirs: dict[str, str] = {}
 
 
+#: Rows are whole texts: batches that cross to Python hold at most so many.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Arrow batches of this session are held to ARROW_ROWS rows from here on."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

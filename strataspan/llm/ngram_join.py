@@ -4,8 +4,8 @@ Two sets link when their Jaccard similarity is at least num / den. Equal sets ar
 number of its copies. A tree over all documents would be one task, so its top is spread over the cluster, without
 losing a link: sets are banded by size, and in a band whose sets can differ by at most d elements the hash space is
 cut into d + 1 + m segments. Linked sets agree in at least m + 1 whole segments, so they meet in the bucket of one
-that is not empty (a set with more than m empty ones also goes to the buckets of those). Sets chained by buckets are a
-cluster. Within a cluster a signature tree is built: a node holds the OR of its members' token bitmaps, the range of their sizes
+that is not empty (a set with more than m empty ones also goes to the buckets of those). Pairs of a bucket whose sizes and bitmaps
+allow a link (in a very large bucket all of its sets) are chained, and what is chained is a cluster. Within a cluster a signature tree is built: a node holds the OR of its members' token bitmaps, the range of their sizes
 and the most elements that any of them lost to shared bits. A dual traversal from the root pairs nodes, and prunes a pair when
 the largest overlap that the bitmaps and sizes allow is too small for any two members. Pairs of members that are
 left are compared exactly, unless they are already linked through others. Clusters too large for a task are cut into blocks
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import broadcast_if_small, materialise, table
+from strataspan.llm.common import broadcast_if_small, materialise, small, table
 from strataspan.llm.components import connected_components
 from strataspan.llm.shingles import mix, shingle_sets
 
@@ -83,7 +83,89 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, sigs array<long>"
+#: Bits of the bitmap that goes with a set while buckets are searched, and members beyond which a bucket is chained whole.
+BITS, BUCKET = 1024, 4096
+SETS = "doc_id long, n long, k1 long, k2 long, bits binary, sigs array<long>"
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """A set's tokens OR-combined into BITS bits."""
+    row = np.zeros(BITS, dtype=np.uint8)
+    row[(h % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(row).tobytes()
+
+
+def possible(n: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs may link by their sizes and bitmaps: an element of the overlap has its bit in both, or was lost to a shared bit."""
+    out = np.zeros(len(a), dtype=bool)
+    lost = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for s in range(0, len(a), 1 << 16):
+        x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+        both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(lost[x], lost[y])
+        out[s : s + (1 << 16)] = (den + num) * np.minimum(both, np.minimum(n[x], n[y])) >= num * (n[x] + n[y])
+    return out
+
+
+def _bucket_edges(num: int, den: int):
+    """Rows (sig, rep, n, bits), a bucket's together: (a, b) for pairs that may link, or a chain of stars that joins the same sets."""
+
+    def pairs(sig: np.ndarray, rep: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        left, right = [], []
+        for b in np.unique(size[(size > 1) & (size <= 64)]).tolist():  # all pairs, of all buckets with so many members at once
+            i, j = np.triu_indices(b, 1)
+            start = first[size == b][:, None]
+            x, y = (start + i).ravel(), (start + j).ravel()
+            ok = possible(n, bits, x, y, num, den)
+            left.append(x[ok])
+            right.append(y[ok])
+        for start, b in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            here = np.arange(start, start + b)
+            if b > BUCKET:
+                left.append(here[1:])
+                right.append(np.full(b - 1, start))
+                continue
+            label = np.arange(b)
+            for i in range(1, b):  # each member with those before it that it isn't joined to yet
+                others = np.flatnonzero(label[:i] != label[i])
+                hit = others[possible(n, bits, np.full(len(others), start + i), start + others, num, den)]
+                if len(hit):
+                    joined = np.unique(np.append(label[hit], label[i]))
+                    one, at = np.unique(label[hit], return_index=True)
+                    left.append(np.full(len(one), start + i))
+                    right.append(start + hit[at])
+                    label[np.isin(label, joined)] = joined[0]
+        none = [np.zeros(0, np.int64)]
+        return rep[np.concatenate(left or none)], rep[np.concatenate(right or none)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+
+        def out(rows: tuple) -> pa.RecordBatch:
+            a, b = pairs(*rows)
+            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, BITS // 64)
+            rows = (*(batch.column(k).to_numpy() for k in range(3)), bits)
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            other = np.flatnonzero(rows[0] != rows[0][-1])
+            last = int(other[-1]) + 1 if len(other) else 0  # where the bucket begins that may go on
+            if len(rows[0]) - last > 4 * BUCKET:  # a bucket that is chained whole: its first member stands for those read
+                first = tuple(x[last : last + 1] for x in rows)
+                yield pa.record_batch([pa.array(rows[1][last + 1 :]), pa.array(np.full(len(rows[1]) - last - 1, rows[1][last]))], names=["a", "b"])
+                rows = tuple(np.concatenate([x[:last], f, np.repeat(f, BUCKET, axis=0)]) for x, f in zip(rows, first, strict=True))
+            if last:
+                yield out(tuple(x[:last] for x in rows))
+            held = tuple(x[last:] for x in rows)
+        if held is not None:
+            yield out(held)
+
+    return run
 
 
 def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -91,15 +173,16 @@ def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs, at = [], [], [], [0]
+            n, keys, sigs, at, bits = [], [], [], [0], []
             for h in shingle_sets(batch.column(1).to_pylist(), words):
                 n.append(len(h))
                 keys.append((mix(h + np.uint64(11)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h ^ np.uint64(0x27BB2EE687B0B0FD)))) if len(h) else (np.uint64(0), np.uint64(0)))
+                bits.append(bitmap(h))
                 sigs.append(signatures(h, num, den))
                 at.append(at[-1] + len(sigs[-1]))
             keys = np.array(keys, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             flat = (np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "sigs"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "bits", "sigs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
@@ -262,10 +345,18 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     signed = materialise(_signed(docs, words, num, den), "sets")
     real = signed.where("n > 0 and doc_id is not null")
     classes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
-    buckets = classes.select("rep", "n", F.explode("sigs").alias("sig"))
-    least = F.min("rep").over(Window.partitionBy("sig"))
-    met = materialise(buckets.withColumn("m", least).where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct(), "met")
-    near = connected_components(met).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    buckets = classes.select("rep", F.explode("sigs").alias("sig"))
+    w = Window.partitionBy("sig")
+    met = materialise(buckets.withColumns({"low": F.min("rep").over(w), "high": F.max("rep").over(w)}).where("low <> high").select("sig", "rep"), "met")
+    bits = real.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"), F.max_by("bits", "n").alias("bits"))
+    bits = materialise(bits, "bits")
+    if small(bits, BITS // 8 + 32):  # then only bucket and set are dealt out, and the bitmaps are looked up there
+        rows = met.repartition("sig").sortWithinPartitions("sig").join(F.broadcast(bits), "rep")
+    else:
+        rows = met.join(bits.hint("shuffle_merge"), "rep").repartition("sig").sortWithinPartitions("sig")
+    rows = rows.select("sig", "rep", "n", "bits")
+    edges = rows.mapInArrow(_bucket_edges(num, den), "a long, b long").where("a <> b").distinct()
+    near = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     reps = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")).groupBy("rep").agg(F.max("n").alias("n"))
     clusters = materialise(reps.join(near, "rep"), "clusters")
     links = materialise(_links(clusters, docs, words, num, den), "links")

@@ -103,7 +103,7 @@ class Model:
         return np.column_stack([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones(len(x))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return np.concatenate([self.features(x[a : a + 512]) @ self.weights for a in range(0, max(1, len(x)), 512)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), *self.steps), 0, 1)
@@ -163,8 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     d = len(model.weights)
 
     def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        total = np.zeros(d * d + d)
+        for a in range(0, len(x), 512):
+            z = model.features(x[a : a + 512])
+            total += np.concatenate([(z.T @ z).ravel(), z.T @ y[a : a + 512]])
+        return total
 
     t = _partial(rows, normal, d * d + d)
     model.weights = np.linalg.solve(t[: d * d].reshape(d, d) + RIDGE * s[0] * np.eye(d), t[d * d :])

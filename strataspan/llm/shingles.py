@@ -52,7 +52,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(body, first) + length.astype(np.uint64)), bounds
 
 
-def batches(texts: list[str | None], most: int = 2 << 20) -> Iterator[slice]:
+def batches(texts: list[str | None], most: int = 1 << 19) -> Iterator[slice]:
     """Slices of the list with about `most` characters each."""
     start, size = 0, 0
     for i, t in enumerate(texts):
