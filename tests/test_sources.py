@@ -188,3 +188,16 @@ def test_worker_lines_source(spark, tmp_path):
     query = spark.readStream.format("worker_lines").option("path", str(folder)).load().writeStream.format("memory").queryName("lines").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [(r.job, r.seq, r.line) for r in spark.table("lines").orderBy("seq").collect()] == [("j1", 0, "@ready"), ("j1", 7, "@progress 1")]
+
+
+def test_command_line(images, tmp_path, capsys):
+    from strataspan.__main__ import main
+
+    assert main(["layout", str(images / "disk.img")]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["table"] == "mbr" and [p["fs"] for p in found["partitions"]] == ["vfat", "ext2"]
+    assert main(["probe", str(images / "disk.qcow2")]) == 0 and '"qcow2"' in capsys.readouterr().out
+    assert main(["copy", "--mode=restore", "--from", str(images / "none"), "--to", str(tmp_path / "x")]) == 1
+    assert main(["copy", "--mode=restore", "--from", str(images / "disk.vmdk"), "--to", str(tmp_path / "x"), "--block-size", "5"]) == 1
+    assert main(["copy", "--mode=restore", "--from", str(images / "disk.vmdk"), "--to", str(tmp_path / "x")]) == 0
+    assert (tmp_path / "x").read_bytes() == (images / "disk.img").read_bytes()
