@@ -295,3 +295,66 @@ def dmg(disk: bytes, codec: str = "zlib", chunk: int = 1 << 18) -> bytes:
     struct.pack_into(">QQ", koly, 216, len(body), len(xml))
     struct.pack_into(">Q", koly, 492, len(disk) // 512)
     return body + xml + bytes(koly)
+
+
+def lvm(volumes: dict[str, bytes], extent: int = 1 << 16, extents: int = 400, gap: int = 3) -> bytes:
+    """A physical volume with plain logical volumes, each in two pieces with a gap between."""
+    start = 1 << 20
+    crc = lambda b: checksums.crc32_raw(0xF597A6CF, b)
+    uuid = "abcdefghijklmnopqrstuvwxyz012345"
+    disk = bytearray(start + extents * extent)
+    text, at = [], 2
+    for name, body in volumes.items():
+        n = max(2, -(-len(body) // extent))
+        half = n // 2
+        parts = [(0, half, at), (half, n - half, at + half + gap)]
+        body = body.ljust(n * extent, b"\0")
+        segments = "".join(f'segment{k + 1} {{ start_extent = {o} extent_count = {c} type = "striped" stripe_count = 1 stripes = [ "pv0", {e} ] }}\n' for k, (o, c, e) in enumerate(parts))
+        text.append(f'{name} {{ id = "x" status = ["READ", "WRITE", "VISIBLE"] # comment }}\n flags = [] segment_count = 2\n {segments} }}\n')
+        for o, c, e in parts:
+            disk[start + e * extent : start + (e + c) * extent] = body[o * extent : (o + c) * extent]
+        at += n + 2 * gap
+    dashed = "-".join([uuid[:6], *(uuid[i : i + 4] for i in range(6, 26, 4)), uuid[26:]])
+    meta = f'vg1 {{\nid = "y"\nseqno = 7\nformat = "lvm2"\nextent_size = {extent // 512}\nphysical_volumes {{ pv0 {{ id = "{dashed}" pe_start = {start // 512} pe_count = {extents} }} }}\nlogical_volumes {{ {"".join(text)} }}\n}}\ncontents = "Text Format Volume Group"\n'.encode() + b"\0"
+    area, size = 4096, start - 4096
+    h = bytearray(512)
+    struct.pack_into("<16sIQQQQII", h, 4, b" LVM2 x[5A%r0N*>", 1, area, size, 512, len(meta), crc(meta), 0)
+    struct.pack_into("<I", h, 0, crc(bytes(h[4:])))
+    disk[area : area + 512], disk[area + 512 : area + 512 + len(meta)] = h, meta
+    label = bytearray(512)
+    struct.pack_into("<8sQII8s", label, 0, b"LABELONE", 1, 0, 32, b"LVM2 001")
+    struct.pack_into("<32sQQQQQQQQQII", label, 32, uuid.encode(), len(disk), start, 0, 0, 0, area, size, 0, 0, 2, 1)
+    struct.pack_into("<I", label, 16, crc(bytes(label[20:])))
+    disk[512:1024] = label
+    return bytes(disk)
+
+
+def hfsplus(blocks: int = 512, used: int = 60, name: str = "Sample") -> bytes:
+    """HFS+ of 4 KiB blocks: bitmap in block 1, an empty overflow tree in 2, a catalog with the root folder in 3 to 4; `used` blocks taken."""
+    block = 4096
+    disk = bytearray(blocks * block)
+    h = bytearray(512)
+    struct.pack_into(">2sHI", h, 0, b"H+", 4, 1 << 8)
+    struct.pack_into(">III", h, 0x28, block, blocks, blocks - used - 1)
+    fork = lambda at, size, first, n: struct.pack_into(">QIIII", h, at, size, 0, n, first, n)
+    fork(0x70, -(-blocks // 8), 1, 1)
+    fork(0xC0, block, 2, 1)
+    fork(0x110, 2 * block, 3, 2)
+    disk[1024:1536] = disk[-1024:-512] = h
+    for i in [*range(used), blocks - 1]:
+        disk[block + i // 8] |= 0x80 >> i % 8
+
+    def header(at: int, node: int, nodes: int, depth: int, records: int, first: int) -> None:
+        disk[at + 8] = 1
+        struct.pack_into(">H", disk, at + 10, 3)
+        struct.pack_into(">HIIIIHHII", disk, at + 14, depth, first, records, first, first, node, 37, nodes, 0)
+
+    header(2 * block, 4096, 1, 0, 0, 0)
+    header(3 * block, 4096, 2, 1, 1, 1)
+    leaf, raw = 4 * block, name.encode("utf-16-be")
+    disk[leaf + 8], disk[leaf + 9] = 0xFF, 1
+    struct.pack_into(">H", disk, leaf + 10, 1)
+    record = struct.pack(">HIH", 6 + len(raw), 1, len(name)) + raw + struct.pack(">HHII", 1, 0, 0, 2) + bytes(78)
+    disk[leaf + 14 : leaf + 14 + len(record)] = record
+    struct.pack_into(">HH", disk, leaf + 4092, 14 + len(record), 14)
+    return bytes(disk)

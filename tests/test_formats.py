@@ -23,7 +23,8 @@ CONTAINERS = {
 STREAMS = {"gzip": gzip.compress(D) + gzip.compress(b"tail"), "bzip2": bz2.compress(D), "xz": lzma.compress(D), "zstd": zstandard.compress(D), "lzma": lzma.compress(D, lzma.FORMAT_ALONE)}
 VOLUMES = {
     "fat12": samples.fat(12, 2000, [5, 6, 7, 100]), "fat16": samples.fat(16, 9000, [5, 100, 8000]), "fat32": samples.fat(32, 70000, [2, 5, 60000]), "swap": samples.swap(),
-    "iso": samples.iso(), "ext2": samples.ext2(), "exfat": samples.exfat(),
+    "iso": samples.iso(), "ext2": samples.ext2(), "exfat": samples.exfat(), "hfsplus": samples.hfsplus(),
+    "lvm": samples.lvm({"root": samples.ext2(), "nested": samples.lvm({"in": samples.swap()}, extents=40)}, extents=180),
 }
 
 
@@ -178,6 +179,69 @@ def test_fat_marks_each_cluster():
         assert got == set(used) and per
 
 
+def test_lvm_maps_back():
+    v = VOLUMES["lvm"]
+    usage = layout.examine(Memory(v), "copy")[2]
+    ext, start = samples.ext2(), 1 << 20
+    inner = layout.examine(Memory(ext), "copy")[2]
+    half = (len(ext) // 65536) // 2 * 65536
+    for s, e in inner.used:  # the volume's two pieces stand 2 and 2 + half + 3 extents into the data
+        for at in range(s, e, 512):
+            place = start + 2 * 65536 + at + (3 * 65536 if at >= half else 0)
+            assert any(a <= place < b for a, b in usage.used)
+
+
+def test_lvm_text():
+    from strataspan.formats.filesystems import lvm
+
+    top = lvm.parse(b'vg1{seqno=7 # c\n id="a\\"b" list=["x",1, -2,[ ]] in { k = 1.5 } }')
+    vg = top.sections[0]
+    assert (vg.name, vg.number("seqno"), vg.text("id"), vg.values["list"], vg.sections[0].values) == ("vg1", 7, 'a"b', ["x", 1, None, []], {"k": None})
+    for bad in (b"a {", b"a }", b"a = ", b'a = "x', b"= 1", b"a = [1 2]", b"a 1"):
+        with pytest.raises(Bad):
+            lvm.parse(bad)
+
+
+def test_xfs_free_space():
+    """A version 4 volume of one group: blocks 100 to 200 and 300 on are free."""
+    block, n = 4096, 1024
+    disk = bytearray(n * block)
+    struct.pack_into(">4sIQQQ", disk, 0, b"XFSB", block, n, 0, 0)
+    struct.pack_into(">QQ", disk, 48, 512, 0)
+    struct.pack_into(">III", disk, 84, n, 1, 0)
+    struct.pack_into(">IHH", disk, 96, 64, 4 | 0x2000 | 0x1000 | 0x0400, 512)
+    disk[108:112], disk[120], disk[121], disk[124] = b"name", 12, 9, 10
+    free = [(100, 100), (300, 212), (576, n - 576)]
+    total = sum(c for _, c in free)
+    struct.pack_into(">4sIIIIIIIIIIIII", disk, 512, b"XAGF", 1, 0, n, 1, 2, 0, 1, 1, 0, 0, 0, 0, total)
+    struct.pack_into(">4sIII", disk, 1024, b"XAGI", 1, 0, n)
+    for at, magic, records in ((1, b"ABTB", free), (2, b"ABTC", sorted(free, key=lambda r: r[1]))):
+        struct.pack_into(">4sHHII", disk, at * block, magic, 0, len(records), 0xFFFFFFFF, 0xFFFFFFFF)
+        for i, r in enumerate(records):
+            struct.pack_into(">II", disk, at * block + 16 + 8 * i, *r)
+    log = 512 * block
+    for b in range(512):
+        struct.pack_into(">I", disk, log + 512 * b, 1 if b >= 2 else 2)
+    struct.pack_into(">4I", disk, log, 0xFEEDBABE, 2, 2, 512)
+    struct.pack_into(">I", disk, log + 40, 1)
+    disk[log + 512 + 8], disk[log + 512 + 9] = 0xAA, 0x20
+    name, label, usage, why = layout.examine(Memory(disk), "copy")
+    assert (name, label, why) == ("xfs", "name", None)
+    assert bits.merge(usage.used) == [(0, 100 * block), (200 * block, 300 * block), (512 * block, 576 * block)]
+    dirty = bytearray(disk)
+    dirty[log + 512 + 9] = 0
+    assert layout.examine(Memory(dirty), "copy")[3] == "log not clean (no unmount record)" and layout.examine(Memory(dirty), "estimate")[2]
+    dirty = bytearray(disk)
+    struct.pack_into(">I", dirty, 512 + 52, 5)
+    assert "free block count" in layout.examine(Memory(dirty), "copy")[3]
+    r = random.Random(4)
+    for _ in range(60):
+        b = bytearray(disk)
+        for _ in range(3):
+            b[r.choice([r.randrange(512), 512 + r.randrange(1024), block + r.randrange(200), log + r.randrange(2000)])] = r.randrange(256)
+        check(layout.analyze(Memory(b)))
+
+
 def test_extended_chain():
     disk = bytearray(8 << 20)
     put = lambda at, i, kind, first, n: struct.pack_into("<B3xB3xII", disk, at + 0x1BE + 16 * i, 0, kind, first, n)
