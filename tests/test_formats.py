@@ -242,6 +242,100 @@ def test_xfs_free_space():
         check(layout.analyze(Memory(b)))
 
 
+def _tag(kind, at, body, size=2048):
+    d = bytearray(size)
+    d[16 : 16 + len(body)] = body
+    n = len(body)
+    struct.pack_into("<HHBBHHHI", d, 0, kind, 2, 0, 0, 1, checksums.crc_itu(bytes(d[16 : 16 + n])), n, at)
+    d[4] = (sum(d[:16]) - d[4]) & 255
+    return d
+
+
+def _udf(table=False):
+    block, blocks, start, count = 2048, 800, 300, 400
+    disk = bytearray(block * blocks)
+    disk[0x8801:0x8806] = b"NSR02"
+    put = lambda at, d: disk.__setitem__(slice(at * block, at * block + len(d)), d)
+    put(256, _tag(2, 256, struct.pack("<IIII", 16 * block, 260, 0, 0)))
+    pd = bytearray(512 - 16)
+    struct.pack_into("<I", pd, 0, 1)
+    pd[9:15] = b"+NSR02"
+    struct.pack_into("<II", pd, 40 if table else 48, block, 5)
+    struct.pack_into("<III", pd, 168, 4, start, count)
+    lvd = bytearray(512 - 16)
+    lvd[68:76] = b"\x08Disc\0\0\0"
+    lvd[195] = 5
+    struct.pack_into("<I", lvd, 196, block)
+    struct.pack_into("<II", lvd, 248, 6, 1)
+    struct.pack_into("<II", lvd, 416, block, 280)
+    lvd[424:426] = b"\x01\x06"
+    put(260, _tag(5, 260, pd))
+    put(261, _tag(6, 261, lvd))
+    put(262, _tag(8, 262, b""))
+    free = [(10, 50), (200, 400)]
+    n = sum(e - s for s, e in free)
+    put(280, _tag(9, 280, bytes(12) + struct.pack("<I", 1) + bytes(40) + struct.pack("<III", 1, 0, n)))
+    if table:
+        ads = b"".join(struct.pack("<II", (e - s) * block, s) for s, e in free)
+        put(start + 5, _tag(263, 5, bytes(20) + struct.pack("<I", len(ads)) + ads))
+    else:
+        raw = bytearray(-(-count // 8))
+        for s, e in free:
+            for b in range(s, e):
+                raw[b // 8] |= 1 << b % 8
+        put(start + 5, _tag(264, 5, struct.pack("<II", count, len(raw)) + raw))
+    return bytes(disk), [(0, (start + 10) * block), ((start + 50) * block, (start + 200) * block)]
+
+
+@pytest.mark.parametrize("table", [False, True])
+def test_udf(table):
+    disk, want = _udf(table)
+    name, label, usage, why = layout.examine(Memory(disk), "copy")
+    assert (name, label, why) == ("udf", "Disc", None) and bits.merge(usage.used) == want and usage.end == 700 * 2048
+    r = random.Random(table)
+    for _ in range(60):
+        b = bytearray(disk)
+        for at in (256, 260, 261, 280, 305):
+            if r.random() < 0.4:
+                b[at * 2048 + r.randrange(300)] = r.randrange(256)
+        check(layout.analyze(Memory(b)))
+
+
+def test_f2fs():
+    block, seg = 4096, 512
+    counts, places, at = [2, 2, 2, 1, 3], [], 512
+    for n in counts:
+        places.append(at)
+        at += n * seg
+    disk = bytearray(at * block)
+    sb = bytearray(3072)
+    struct.pack_into("<I4xIIII", sb, 0, 0xF2F52010, 9, 3, 12, 9)
+    struct.pack_into("<Q4xI5II5I", sb, 36, at, sum(counts), *counts, 512, *places)
+    sb[124:132] = "disk".encode("utf-16-le")
+    disk[1024:4096] = disk[block + 1024 : 2 * block] = sb
+    cp, sit, _, _, main = places
+    h = bytearray(block)
+    struct.pack_into("<Q8xQ", h, 0, 9, 3 + 512)
+    struct.pack_into("<I", h, 40, 0)
+    struct.pack_into("<H", h, 70, 512)
+    struct.pack_into("<IIII", h, 132, 1, 10, 1, 0)
+    struct.pack_into("<III", h, 156, seg // 8, 0, 4092)
+    struct.pack_into("<I", h, 4092, checksums.crc32_raw(0xF2F52010, bytes(h[:4092])))
+    for place in (cp, cp + 9):
+        disk[place * block : (place + 1) * block] = h
+    entry = lambda runs: struct.pack("<H", sum(n for _, n in runs)) + int("".join("1" if any(s <= i < s + n for s, n in runs) else "0" for i in range(512)), 2).to_bytes(64, "big") + bytes(8)
+    raw = entry([(5, 3)]) + entry([(0, 9)])
+    disk[sit * block : sit * block + len(raw)] = raw
+    journal = (cp + 10 - 7 + 2) * block + 512 * 7  # segment 1 is full by the journal, whatever the table says
+    disk[journal : journal + 80] = struct.pack("<HI", 1, 1) + entry([(0, 512)])
+    name, label, usage, why = layout.examine(Memory(disk), "copy")
+    assert (name, label, why) == ("f2fs", "disk", None)
+    assert bits.merge(usage.used) == [(0, main * block), ((main + 5) * block, (main + 8) * block), ((main + 512) * block, (main + 1024) * block)]
+    dirty = bytearray(disk)
+    dirty[sit * block] = 4
+    assert layout.examine(Memory(dirty), "copy")[3] == "SIT entry count mismatch"
+
+
 def test_extended_chain():
     disk = bytearray(8 << 20)
     put = lambda at, i, kind, first, n: struct.pack_into("<B3xB3xII", disk, at + 0x1BE + 16 * i, 0, kind, first, n)
