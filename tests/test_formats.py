@@ -336,6 +336,53 @@ def test_f2fs():
     assert layout.examine(Memory(dirty), "copy")[3] == "SIT entry count mismatch"
 
 
+def test_btrfs():
+    """One system, one metadata and one data chunk; the data chunk holds two extents."""
+    sec, node, size = 4096, 16384, 32 << 20
+    fsid, gen, disk = bytes(range(16)), 5, bytearray(size)
+    chunks = [(16 << 20, 1 << 20, 2, 2 << 20), (32 << 20, 4 << 20, 4, 4 << 20), (64 << 20, 8 << 20, 1, 10 << 20)]
+    item = lambda n, kind, at: struct.pack("<QQQQIIIHH", n, 2, 65536, kind, sec, sec, sec, 1, 0) + struct.pack("<QQ16s", 1, at, bytes(16))
+    extents = [(64 << 20, 8192), ((64 << 20) + 65536, 4096)]
+    roots = {1: (32 << 20), 2: (32 << 20) + node, 3: 16 << 20}
+
+    def leaf(owner, items):
+        b, end = bytearray(node), node - 101
+        struct.pack_into("<16sQQ16sQQIB", b, 0x20, fsid, roots[owner], 1, bytes(16), gen, owner, len(items), 0)
+        for i, ((a, kind, c), d) in enumerate(sorted(items)):
+            end -= len(d)
+            struct.pack_into("<QBQII", b, 101 + 25 * i, a, kind, c, end, len(d))
+            b[101 + end : 101 + end + len(d)] = d
+        struct.pack_into("<I", b, 0, checksums.crc32c(bytes(b[32:])))
+        logical, _, _, at = next(c for c in chunks if c[0] <= roots[owner] < c[0] + c[1])
+        disk[at + roots[owner] - logical : at + roots[owner] - logical + node] = b
+
+    root = bytearray(439)
+    struct.pack_into("<QQQ", root, 160, gen, 0, roots[2])
+    used = {2: node, 4: 2 * node, 1: 12288}
+    leaf(3, [((256, 228, a), item(n, k, at)) for a, n, k, at in chunks])
+    leaf(1, [((2, 132, 0), bytes(root))])
+    leaf(2, [((a, 192, n), struct.pack("<QQQ", used[k], 256, k)) for a, n, k, _ in chunks] + [((a, 168, n), bytes(24)) for a, n in extents] + [((roots[2], 169, 0), bytes(24))])
+    sb = bytearray(4096)
+    array = struct.pack("<QBQ", 256, 228, chunks[0][0]) + item(*(chunks[0][1], 2, chunks[0][3]))
+    struct.pack_into("<16sQQ8sQQQQ8xQQQQQIIII", sb, 0x20, fsid, 65536, 0, b"_BHRfS_M", gen, roots[1], roots[3], 0, size, sum(used.values()), 6, 1, 0, sec, node, node, sec)
+    struct.pack_into("<QQ", sb, 0x70, size, sum(used.values()))
+    struct.pack_into("<QQ", sb, 0x80, 6, 1)
+    struct.pack_into("<IIIIIQ", sb, 0x90, sec, node, node, sec, len(array), gen)
+    struct.pack_into("<QQQ", sb, 0xAC, 0, 0, 0)
+    struct.pack_into("<QQ", sb, 0xC9, 1, size)
+    sb[0x12B:0x12F], sb[0x32B : 0x32B + len(array)] = b"data", array
+    struct.pack_into("<I", sb, 0, checksums.crc32c(bytes(sb[32:])))
+    disk[65536 : 65536 + 4096] = sb
+    name, label, usage, why = layout.examine(Memory(disk), "copy")
+    assert (name, label, why) == ("btrfs", "data", None)
+    at = 10 << 20
+    assert bits.merge(usage.used) == [(0, 1 << 20), (2 << 20, 3 << 20), (4 << 20, 8 << 20), (at, at + 8192), (at + 65536, at + 69632)]
+    for place, why in ((65536 + 300, "superblock checksum mismatch"), ((2 << 20) + 200, "tree block checksum mismatch")):
+        bad = bytearray(disk)
+        bad[place] ^= 1
+        assert layout.examine(Memory(bad), "copy")[3] == why
+
+
 def test_extended_chain():
     disk = bytearray(8 << 20)
     put = lambda at, i, kind, first, n: struct.pack_into("<B3xB3xII", disk, at + 0x1BE + 16 * i, 0, kind, first, n)
