@@ -65,12 +65,12 @@ def crc_itu(data: bytes) -> int:
 
 def fletcher64(data: bytes) -> int:
     """Over little-endian 32-bit words, as APFS objects carry it (the data without the checksum itself)."""
-    words = np.frombuffer(data[: len(data) // 4 * 4], "<u4").astype(object)
-    m = 0xFFFFFFFF
-    low = high = 0
-    for w in words.tolist():
-        low = (low + w) % m
-        high = (high + low) % m
+    m, low, high = 0xFFFFFFFF, 0, 0
+    words = np.frombuffer(data[: len(data) // 4 * 4], "<u4").astype(np.uint64)
+    for at in range(0, len(words), 1024):  # sums of so many fit 64 bits
+        w = words[at : at + 1024]
+        high = (high + len(w) * low + int((w * np.arange(len(w), 0, -1, dtype=np.uint64)).sum())) % m
+        low = (low + int(w.sum())) % m
     c1 = m - (low + high) % m
     c2 = m - (low + c1) % m
     return c2 << 32 | c1

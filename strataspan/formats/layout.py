@@ -6,12 +6,12 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from strataspan.formats import bits, schemes, signatures
-from strataspan.formats.filesystems import Found, Usage, btrfs, exfat, ext, f2fs, fat, hfsplus, lvm, ntfs, plain, udf, xfs
+from strataspan.formats.filesystems import Found, Usage, apfs, btrfs, exfat, ext, f2fs, fat, hfsplus, lvm, ntfs, plain, udf, xfs
 from strataspan.formats.reader import Bad, Short, Source
 
 Reader = Callable[[Source, str, Found], Usage]
 #: What can be read, by signature. Others register here.
-READERS: dict[str, Reader] = {"vfat": fat.read, "exfat": exfat.read, "ntfs": ntfs.read, "ext": ext.read, "swap": plain.read_swap, "iso9660": plain.read_iso, "hfsplus": hfsplus.read, "LVM2_member": lvm.read, "xfs": xfs.read, "f2fs": f2fs.read, "udf": udf.read, "btrfs": btrfs.read}
+READERS: dict[str, Reader] = {"vfat": fat.read, "exfat": exfat.read, "ntfs": ntfs.read, "ext": ext.read, "swap": plain.read_swap, "iso9660": plain.read_iso, "hfsplus": hfsplus.read, "LVM2_member": lvm.read, "xfs": xfs.read, "f2fs": f2fs.read, "udf": udf.read, "btrfs": btrfs.read, "apfs": apfs.read}
 EDGE, HEAD_KEPT, ALIGN, GAP, MAX_EXTENTS = 1 << 20, 64 << 10, 4096, 65_536, 65_536
 
 

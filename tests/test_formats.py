@@ -383,6 +383,73 @@ def test_btrfs():
         assert layout.examine(Memory(bad), "copy")[3] == why
 
 
+def test_apfs():
+    """A container of one chunk: checkpoint areas, space manager, object map and one volume; blocks 40 to 59 hold files."""
+    bs, n, xid = 4096, 256, 4
+    disk = bytearray(bs * n)
+
+    def put(at, oid, kind, subtype, body):
+        o = bytearray(bs)
+        struct.pack_into("<QQII", o, 8, oid, xid, kind, subtype)
+        o[32 : 32 + len(body)] = body
+        struct.pack_into("<Q", o, 0, checksums.fletcher64(bytes(o[8:])))
+        disk[at * bs : (at + 1) * bs] = o
+
+    sb = bytearray(bs - 32)
+    w = lambda at, *v: struct.pack_into("<" + "Q" * len(v), sb, at - 32, *v)
+    sb[:4] = b"NXSB"
+    struct.pack_into("<I", sb, 4, bs)
+    w(0x28, n)
+    w(0x40, 2)
+    struct.pack_into("<II", sb, 0x68 - 32, 4, 6)
+    w(0x70, 1, 5)
+    struct.pack_into("<I", sb, 0x8C - 32, 2)
+    w(0x98, 1024, 20)
+    w(0xB8, 1026)
+    put(0, 1, 1 | 0x80000000, 0, sb)
+    put(2, 1, 1 | 0x80000000, 0, sb)
+    put(1, 1, 0xC | 0x40000000, 0, struct.pack("<II", 1, 1) + struct.pack("<IIIIQQQ", 5 | 0x80000000, 0, bs, 0, 0, 1024, 5))
+    taken = [*range(11), *range(20, 24), *range(40, 60)]
+    sm = bytearray(bs - 32)
+    struct.pack_into("<IIII", sm, 0, bs, 8 * bs, (bs - 0x28) // 32, (bs - 0x28) // 8)
+    struct.pack_into("<QQIIQ", sm, 0x30 - 32, n, 1, 1, 0, n - len(taken))
+    struct.pack_into("<I", sm, 0x50 - 32, 0x200)
+    struct.pack_into("<QIIQQ", sm, 0x98 - 32, 3, 0, 1, 24, 12)
+    struct.pack_into("<Q", sm, 0x200 - 32, 12)
+    put(5, 1024, 5 | 0x80000000, 0, sm)
+    put(12, 12, 7 | 0x40000000, 0, struct.pack("<II", 0, 1) + struct.pack("<QQIIQ", xid, 0, n, n - len(taken), 13))
+    bitmap = bytearray(bs)
+    for b in taken:
+        bitmap[b // 8] |= 1 << b % 8
+    disk[13 * bs : 14 * bs] = bitmap
+    omap = bytearray(bs - 32)
+    struct.pack_into("<I", omap, 8, 2 | 0x40000000)
+    struct.pack_into("<Q", omap, 16, 21)
+    put(20, 20, 0xB | 0x40000000, 0, omap)
+    tree = bytearray(bs - 32)
+    struct.pack_into("<HHIHHHH", tree, 0, 7, 0, 1, 0, 64, 64, bs - 0x38 - 128 - 40 - 16)
+    struct.pack_into("<HH", tree, 0x38 - 32, 0, 16)
+    struct.pack_into("<QQ", tree, 0x38 - 32 + 64, 1026, xid)
+    struct.pack_into("<IIQ", tree, bs - 32 - 40 - 16, 0, bs, 22)
+    struct.pack_into("<IIII", tree, bs - 32 - 40, 0, bs, 16, 16)
+    put(21, 21, 2 | 0x40000000, 0xB, tree)
+    vol = bytearray(bs - 32)
+    vol[:4] = b"APSB"
+    vol[0x2C0 - 32 : 0x2C0 - 27] = b"Files"
+    put(22, 1026, 0xD, 0, vol)
+    name, label, usage, why = layout.examine(Memory(disk), "copy")
+    assert (name, label, why) == ("apfs", "Files", None)
+    assert bits.merge(usage.used) == [(0, 11 * bs), (12 * bs, 15 * bs), (20 * bs, 25 * bs), (40 * bs, 60 * bs)]
+    bad = bytearray(disk)
+    bad[13 * bs + 9] ^= 1
+    assert layout.examine(Memory(bad), "copy")[3] == "a bitmap disagrees with its free count"
+    r = random.Random(6)
+    for _ in range(60):
+        bad = bytearray(disk)
+        bad[r.choice([0, 1, 2, 5, 12, 20, 21, 22]) * bs + r.randrange(700)] ^= r.randrange(1, 256)
+        check(layout.analyze(Memory(bad)))
+
+
 def test_extended_chain():
     disk = bytearray(8 << 20)
     put = lambda at, i, kind, first, n: struct.pack_into("<B3xB3xII", disk, at + 0x1BE + 16 * i, 0, kind, first, n)
@@ -427,7 +494,7 @@ def test_bsd_label():
 
 def test_signatures():
     h = lambda at, raw, n=signatures.HEAD: bytes(at) + raw + bytes(n - at - len(raw))
-    for name, at, raw in (("crypto_LUKS", 0, b"LUKS\xba\xbe"), ("jfs", 0x8000, b"JFS1"), ("apfs", 32, b"NXSB"), ("xfs", 0, b"XFSB"), ("btrfs", 0x10040, b"_BHRfS_M"), ("hfsplus", 1024, b"H+\0\x04"), ("squashfs", 0, b"hsqs")):
+    for name, at, raw in (("crypto_LUKS", 0, b"LUKS\xba\xbe"), ("jfs", 0x8000, b"JFS1"), ("xfs", 0, b"XFSB"), ("btrfs", 0x10040, b"_BHRfS_M"), ("hfsplus", 1024, b"H+\0\x04"), ("squashfs", 0, b"hsqs")):
         assert signatures.detect(h(at, raw)) == [name]
         found = layout.examine(Memory(h(at, raw)), "copy")
         assert found[0] == name and found[2] is None
