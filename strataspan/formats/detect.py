@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from strataspan.formats import codecs, smart, tar, vdisks
+from strataspan.formats import codecs, sevenzip, smart, tar, vdisks
 from strataspan.formats.pieces import Image, contents
 from strataspan.formats.reader import Bad, Memory, Short, Source, le32, le64
 
@@ -95,6 +95,8 @@ def probe(s: Source, magic: str = smart.MAGIC) -> Info:
             info.uncompressed = open_image(s, kind).size
         elif kind == "tar":
             info.uncompressed = tar.first_file(s).size
+        elif kind == "7z":
+            info.uncompressed = sevenzip.first_file(s)[0]
         elif kind == "raw":
             info.uncompressed = s.size
         elif kind == "zstd":
@@ -129,6 +131,8 @@ def raw_bytes(s: Source) -> Iterator[bytes]:
         yield from contents(open_image(s, kind))
     elif kind == "tar":
         yield from tar.contents(s, tar.first_file(s))
+    elif kind == "7z":
+        yield from sevenzip.first_file(s)[1]
     else:
         pieces = codecs.stream(kind, s)
         first = b""

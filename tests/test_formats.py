@@ -64,6 +64,46 @@ def test_zip_and_tar():
         assert b"".join(detect.raw_bytes(Memory(gzip.compress(t.getvalue())))) == D
 
 
+def _seven(data, method, properties, pack, encoded=False):
+    """An archive of an empty file and one with data, its header packed or not."""
+    n = lambda v: bytes([v]) if v < 128 else b"\xf0" + struct.pack("<I", v)
+    coder = lambda: bytes([1, (32 if properties else 0) | len(method)]) + method + (n(len(properties)) + properties if properties else b"")
+    streams = lambda start, packed, size: b"\x06" + n(start) + b"\x01\x09" + n(packed) + b"\x00\x07\x0b\x01\x00" + coder() + b"\x0c" + n(size) + b"\x00"
+    body = pack(data)
+    header = b"\x01\x04" + streams(0, len(body), len(data)) + b"\x08\x0a\x01" + struct.pack("<I", 0) + b"\x00\x00" + b"\x05\x02\x0e\x01\x80\x00\x00"
+    if encoded:
+        extra = pack(header)
+        header, body = b"\x17" + streams(len(body), len(extra), len(header)) + b"\x00", body + extra
+    import zlib
+
+    start = struct.pack("<QQI", len(body), len(header), zlib.crc32(header))
+    return b"7z\xbc\xaf\x27\x1c\x00\x04" + struct.pack("<I", zlib.crc32(start)) + start + body + header
+
+
+@pytest.mark.parametrize("encoded", [False, True])
+def test_7z(encoded):
+    import zlib
+
+    one = {"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}
+    two = {"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}
+    raw = lambda f: lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=[f])
+    deflate = lambda d: (c := zlib.compressobj(6, zlib.DEFLATED, -15)).compress(d) + c.flush()
+    kinds = [(b"\0", b"", bytes), (b"\x03\x01\x01", bytes([93]) + struct.pack("<I", 1 << 20), raw(one)), (b"\x21", bytes([16]), raw(two)), (b"\x04\x02\x02", b"", bz2.compress), (b"\x04\x01\x08", b"", deflate)]
+    for method, properties, pack in kinds:
+        s = Memory(_seven(D, method, properties, pack, encoded))
+        assert detect.kind_of(s) == "7z" and detect.probe(s).uncompressed == len(D) and b"".join(detect.raw_bytes(s)) == D
+    with pytest.raises(Bad, match="encrypted"):
+        list(detect.raw_bytes(Memory(_seven(D, b"\x06\xf1\x07\x01", b"", bytes))))
+    r, v = random.Random(1), _seven(D[:5000], b"\x21", bytes([16]), raw(two), encoded)
+    for _ in range(60):
+        b = bytearray(v)
+        b[r.choice([r.randrange(40), len(b) - 1 - r.randrange(60)])] = r.randrange(256)
+        try:
+            list(detect.raw_bytes(Memory(bytes(b))))
+        except (Bad, Short):
+            pass
+
+
 def _header(name, size, kind, extra=b""):
     h = bytearray(512)
     h[: len(name)], h[100:108], h[124:136], h[156:157], h[257:263] = name, b"0000644\0", b"%011o\0" % size, kind, b"ustar\0"
