@@ -47,7 +47,18 @@ def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised DataFrames that nothing will read again."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch")
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def small(df: DataFrame, size: object = 16) -> bool:

@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    docs = docs.select("doc_id", "text")
     rows = docs.join(F.broadcast(known), docs.doc_id == known._doc).select("text", "y")  # `sample` rows or so of 16 bytes
 
     def stats(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
