@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import materialise
+from strataspan.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialise(small.where("a <> b").distinct(), "edges")
+        old, edges = edges, materialise(small.where("a <> b").distinct(), "edges")
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import broadcast_if_small, materialise, shuffle_partitions, table
+from strataspan.llm.common import broadcast_if_small, discard, materialise, shuffle_partitions, table
 
 WHITE = " \t\n\x0b\x0c\r"
 KEYS = "h binary, doc_id long, pos int, n_lines int, text_crc long"
@@ -116,14 +116,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     keys = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = materialise(keys.mapInArrow(_line_keys(min_chars), KEYS), "line-keys")
     order = ["h", "doc_id", "pos"]
-    runs = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    runs = materialise(runs.mapInArrow(_first_occurrences, RUNS), "line-runs")
+    ordered = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    runs = materialise(ordered.mapInArrow(_first_occurrences, RUNS), "line-runs")
     edges = runs.where(F.col("kind") == EDGE).groupBy("h").agg(F.min("doc_id").alias("first_doc"))  # two rows a partition at most
     cols = ["doc_id", "text_crc", "pos", "n_lines"]
     waited = runs.where(F.col("kind") == WAITING).join(F.broadcast(edges), "h").where("doc_id > first_doc").select(*cols)
     drops = runs.where(F.col("kind") == DROP).select(*cols).unionByName(waited)
     by_doc = drops.groupBy("doc_id", "text_crc").agg(F.max("n_lines").alias("n_lines"), F.collect_list("pos").alias("gone"))
-    return materialise(by_doc.mapInArrow(_bitmaps, BITMAPS), "line-bitmaps")
+    out = materialise(by_doc.mapInArrow(_bitmaps, BITMAPS), "line-bitmaps")
+    discard(keys, runs)
+    return out
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

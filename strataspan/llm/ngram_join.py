@@ -4,7 +4,7 @@ Two sets link when their Jaccard similarity is at least num / den. Equal sets ar
 number of its copies. A tree over all documents would be one task, so its top is spread over the cluster, without
 losing a link: sets are banded by size, and in a band whose sets can differ by at most d elements the hash space is
 cut into d + 1 + m segments. Linked sets agree in at least m + 1 whole segments, so they meet in the bucket of one
-that is not empty (a set with more than m empty ones also goes to the buckets of those). Pairs of a bucket whose sizes and bitmaps
+that has two elements or more (a set with more than m weaker ones also goes to the buckets of those). Pairs of a bucket whose sizes and bitmaps
 allow a link (in a very large bucket all of its sets) are chained, and what is chained is a cluster. Within a cluster a signature tree is built: a node holds the OR of its members' token bitmaps, the range of their sizes
 and the most elements that any of them lost to shared bits. A dual traversal from the root pairs nodes, and prunes a pair when
 the largest overlap that the bitmaps and sizes allow is too small for any two members. Pairs of members that are
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import broadcast_if_small, materialise, small, table
+from strataspan.llm.common import broadcast_if_small, discard, materialise, small, table
 from strataspan.llm.components import connected_components
 from strataspan.llm.shingles import mix, shingle_sets
 
 #: Members and elements of a block: what a task holds is bounded by a pair of blocks.
-BLOCK_SETS, BLOCK_ELEMENTS = 4096, 4_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 4096, 6_000_000
 FAN = 8
 
 
@@ -54,7 +54,7 @@ def band_of(size: int, num: int, den: int) -> int:
 def segments(high: int, num: int, den: int) -> tuple[int, int]:
     """(number of segments, spare ones m) for sets of at most `high` elements; 0 segments if linked sets must be equal."""
     d = 2 * high * (den - num) // (den + num)
-    m = 2 + d // 16
+    m = 2 + d * 3 // 20
     return (d + 1 + m, m) if d else (0, 0)
 
 
@@ -76,7 +76,11 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         total = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
         place = np.uint64(b << 40) + seg[first]
-        out.append(mix(total + mix(place)))
+        sig, full = mix(total + mix(place)), np.diff(np.append(first, n)) >= STRONG
+        if k - int(full.sum()) <= m:  # of the m + 1 segments and more that linked sets agree in, one is not weak
+            out.append(sig[full])
+            continue
+        out.append(sig)
         if k - len(first) > m:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[first])
             out.append(mix(mix(np.uint64(b << 40) + empty) + np.uint64(1)))
@@ -85,7 +89,9 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 #: Bits of the bitmap that goes with a set while buckets are searched, and members beyond which a bucket is chained whole.
 BITS, BUCKET = 1024, 4096
-SETS = "doc_id long, n long, k1 long, k2 long, bits binary, sigs array<long>"
+#: A segment with fewer elements is weak: one passage in common is enough to share it.
+STRONG = 2
+SETS = "doc_id long, n long, k1 long, k2 long, bits binary"
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -168,23 +174,32 @@ def _bucket_edges(num: int, den: int):
     return run
 
 
-def _signed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Each row's set size, a 128-bit key of the set, and its buckets."""
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """Each row's set size, a 128-bit key of the set, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs, at, bits = [], [], [], [0], []
+            n, keys, bits = [], [], []
             for h in shingle_sets(batch.column(1).to_pylist(), words):
                 n.append(len(h))
                 keys.append((mix(h + np.uint64(11)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h ^ np.uint64(0x27BB2EE687B0B0FD)))) if len(h) else (np.uint64(0), np.uint64(0)))
                 bits.append(bitmap(h))
-                sigs.append(signatures(h, num, den))
-                at.append(at[-1] + len(sigs[-1]))
             keys = np.array(keys, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            flat = (np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "bits", "sigs"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bits, pa.binary())], names=["doc_id", "n", "k1", "k2", "bits"])
+
+    return docs.mapInArrow(run, SETS)
+
+
+def _buckets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(rep, sig): the buckets of each row. The sets are made again from the text: their buckets would fill the disk if kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [signatures(h, num, den) for h in shingle_sets(batch.column(1).to_pylist(), words)]
+            rep = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sigs])
+            yield pa.record_batch([pa.array(rep), pa.array(np.concatenate(sigs).view(np.int64) if sigs else rep)], names=["rep", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.mapInArrow(run, "rep long, sig long")
 
 
 class Tree:
@@ -312,27 +327,17 @@ def _links(clusters: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     size = size.withColumn("p", p)
     size = size.select(F.col("rep").alias("_rep"), "cluster", F.concat(own, F.when(F.col("whole"), F.array().cast("array<struct<bx:int,px:int,by:int,py:int,side:int>>")).otherwise(F.concat(up, down))).alias("blocks"))
     size = materialise(size, "blocks")
-    found = docs.join(broadcast_if_small(size, F.size("blocks") * 20 + 24), docs.doc_id == size._rep).select("cluster", "doc_id", "text", "blocks")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(2).to_pylist(), words)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(h, pa.large_binary()).cast(pa.binary()), batch.column(3)], names=["cluster", "doc_id", "h", "blocks"])
-
-    held = found.mapInArrow(sets, "cluster long, doc_id long, h binary, blocks array<struct<bx:int,px:int,by:int,py:int,side:int>>")
-    held = held.withColumn("e", F.explode("blocks")).select("cluster", "e.*", "doc_id", "h")
+    found = docs.join(broadcast_if_small(size, F.size("blocks") * 20 + 24), docs.doc_id == size._rep)
+    # texts are dealt out, not sets: they compress, hashes don't
+    held = found.withColumn("e", F.explode("blocks")).select("cluster", "e.*", "doc_id", "text")
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["h"].map(len) > 0]
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        as_sets = lambda r: [np.frombuffer(h, dtype="<u8") for h in r["h"]]
-        same = len(rows) and rows["bx"].iloc[0] == rows["by"].iloc[0] and rows["px"].iloc[0] == rows["py"].iloc[0]
-        if same:
-            found, ids = tree_links(as_sets(x), None, num, den), x["doc_id"].to_numpy()
-        elif len(x) and len(y):
-            found, ids = tree_links(as_sets(x), as_sets(y), num, den), np.concatenate([x["doc_id"].to_numpy(), y["doc_id"].to_numpy()])
-        else:
-            found, ids = [], np.zeros(0, np.int64)
+        sets = list(shingle_sets(rows["text"].tolist(), words))
+        sides = [[(d, s) for d, s, side in zip(rows["doc_id"], sets, rows["side"], strict=True) if side == k and len(s)] for k in (0, 1)]
+        left, right = ([s for _, s in side] for side in sides)
+        same = rows["bx"].iloc[0] == rows["by"].iloc[0] and rows["px"].iloc[0] == rows["py"].iloc[0]
+        found = tree_links(left, None, num, den) if same else tree_links(left, right, num, den) if left and right else []
+        ids = [d for side in sides for d, _ in side]
         return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}).astype("int64")
 
     return held.groupBy("cluster", "bx", "px", "by", "py").applyInPandas(join, "a long, b long")
@@ -342,12 +347,15 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """(doc_id, n_shingles, component_id), one row for each row of docs (doc_id, text): component_id is the smallest
     doc_id that links of Jaccard similarity num / den or more lead to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(_signed(docs, words, num, den), "sets")
+    signed = materialise(_signed(docs, words), "sets")
     real = signed.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
-    buckets = classes.select("rep", F.explode("sigs").alias("sig"))
+    classes = materialise(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    # copies stay out of the search: each class is there once
+    copies = materialise(real.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("_copy")).distinct().join(classes.select(F.col("rep").alias("_copy")), "_copy", "left_anti"), "copies")
+    once = docs.where("doc_id is not null").join(broadcast_if_small(copies), docs.doc_id == F.col("_copy"), "left_anti")
     w = Window.partitionBy("sig")
-    met = materialise(buckets.withColumns({"low": F.min("rep").over(w), "high": F.max("rep").over(w)}).where("low <> high").select("sig", "rep"), "met")
+    met = _buckets(once, words, num, den).withColumns({"low": F.min("rep").over(w), "high": F.max("rep").over(w)})
+    met = materialise(met.where("low <> high").select("sig", "rep"), "met")
     bits = real.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"), F.max_by("bits", "n").alias("bits"))
     bits = materialise(bits, "bits")
     if small(bits, BITS // 8 + 32):  # then only bucket and set are dealt out, and the bitmaps are looked up there
@@ -357,11 +365,12 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = rows.select("sig", "rep", "n", "bits")
     edges = rows.mapInArrow(_bucket_edges(num, den), "a long, b long").where("a <> b").distinct()
     near = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    reps = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")).groupBy("rep").agg(F.max("n").alias("n"))
+    reps = classes.groupBy("rep").agg(F.max("n").alias("n"))
     clusters = materialise(reps.join(near, "rep"), "clusters")
+    discard(met, bits, copies)
     links = materialise(_links(clusters, docs, words, num, den), "links")
     joined = materialise(connected_components(links).select(F.col("node").alias("rep"), "component"), "joined")
-    by_set = real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")).join(joined, "rep", "left")
+    by_set = classes.join(joined, "rep", "left")
     by_set = by_set.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "k1", "k2").join(by_set, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
