@@ -9,8 +9,8 @@ characters C and tags T, and those within links, LC and LT, counted over its sub
 with all counts at least 1, and c and lc those of the body: characters per tag, lowered where links make up much of the text.
 The density sum of a node adds up the densities of its children. The node with the largest sum is where the article is;
 the smallest density on the way from it up to the body is the threshold. The subtree grows to a parent that reaches the
-threshold and adds less than half as much text again; an element that says it is the article (article, main) and
-holds the densest part is taken whole.
+threshold and adds less than half as much text again, without its blocks of links; an element that says it is the
+article (article, main) and holds the densest part is taken whole.
 
 Defined results: a null or empty html, or one with no text, gives an empty text; rows that repeat give
 repeated results; text outside any element counts as the body's; unknown or unclosed tags are closed by their parents.
@@ -219,6 +219,7 @@ def main_text(page: str | None) -> str:
             blocks.append(text)
 
     for top in _chosen(parse(page)):
+        declared = _inside(top, "article", "main")  # else lists of links within are left out
         stack: list = [top]
         while stack:
             k = stack.pop()
@@ -228,7 +229,7 @@ def main_text(page: str | None) -> str:
                 close()
             elif k.tag == "br":
                 now.append(" ")
-            elif not k.noise:
+            elif not k.noise and (declared or k is top or k.tag not in BLOCKS or 2 * k.link_chars <= k.chars):
                 block = k.tag in BLOCKS
                 if block:
                     close()

@@ -55,7 +55,7 @@ def test_html():
 def test_html_table(spark, sf):
     df = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     out = html_text.extract(df).collect()
-    assert sorted((str(r.page_id), r.n_chars) for r in out) == [("1", 66), ("1", 66), ("None", 0)] and html_text.extract(df.where("false")).count() == 0
+    assert sorted((str(r.page_id), r.n_chars) for r in out) == [("1", len(html_text.main_text(PAGE)))] * 2 + [("None", 0)] and html_text.extract(df.where("false")).count() == 0
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
     out = {r.page_id: r.text for r in html_text.op5_html_text(spark, sf).collect()}
     import html
