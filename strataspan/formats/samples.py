@@ -358,3 +358,94 @@ def hfsplus(blocks: int = 512, used: int = 60, name: str = "Sample") -> bytes:
     disk[leaf + 14 : leaf + 14 + len(record)] = record
     struct.pack_into(">HH", disk, leaf + 4092, 14 + len(record), 14)
     return bytes(disk)
+
+
+def smart_v1(disk: bytes, extents: list[tuple[int, int]]) -> bytes:
+    """A version 1 smart image: gzip members with their sizes, the map in the first one's comment."""
+    from strataspan.formats import smart
+
+    def member(data: bytes, comment: bytes = b"") -> bytes:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        raw = c.compress(data) + c.flush()
+        n = 24 + len(comment) + 8 + len(raw)
+        head = b"\x1f\x8b\x08" + bytes([4 | 16 * bool(comment)]) + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"DG", 8, n, len(data))
+        return head + comment + raw + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+    out = member(b"", smart.to_text(len(disk), extents, smart.MAGIC_V1).encode() + b"\0")
+    return out + b"".join(member(bytes(n) if free else disk[at : at + n]) for at, n, free in smart.plan(len(disk), extents))
+
+
+def ntfs(clusters: int = 2000, used: int = 30, label: str = "SAMPLE", dirty: bool = False) -> bytes:
+    """NTFS of 4 KiB clusters: MFT in cluster 4, $Bitmap in cluster 10 (non-resident), an empty $LogFile in 12; `used` clusters taken."""
+    cluster, record = 4096, 1024
+    disk = bytearray(clusters * cluster)
+    disk[:11], disk[510:512] = b"\xeb\x52\x90NTFS    ", b"\x55\xaa"
+    struct.pack_into("<HB", disk, 11, 512, 8)
+    struct.pack_into("<QQQb", disk, 40, clusters * 8, 4, 5, -10)
+
+    def attribute(kind: int, body: bytes | None = None, runs: bytes = b"", count: int = 0, size: int = 0) -> bytes:
+        if body is not None:
+            n = -(-(24 + len(body)) // 8) * 8
+            return struct.pack("<IIBBHHHIHH", kind, n, 0, 0, 24, 0, 0, len(body), 24, 0).ljust(24, b"\0") + body.ljust(n - 24, b"\0")
+        n = -(-(64 + len(runs)) // 8) * 8
+        return struct.pack("<IIBBHHHQQHHIQQQ", kind, n, 1, 0, 64, 0, 0, 0, count - 1, 64, 0, 0, count * cluster, size, size) + runs.ljust(n - 64, b"\0")
+
+    def put(number: int, attributes: list[bytes]) -> None:
+        body = b"".join(attributes) + b"\xff\xff\xff\xff\0\0\0\0"
+        b = bytearray(record)
+        struct.pack_into("<4sHHQHHHHII", b, 0, b"FILE", 48, 3, 0, 1, 1, 56, 1, 56 + len(body), record)
+        b[56 : 56 + len(body)] = body
+        b[48:50] = b"\x07\0"
+        for k in (1, 2):
+            b[48 + 2 * k : 50 + 2 * k] = b[512 * k - 2 : 512 * k]
+            b[512 * k - 2 : 512 * k] = b"\x07\0"
+        at = 4 * cluster + number * record
+        disk[at : at + record] = b
+
+    put(0, [attribute(0x80, runs=b"\x11\x04\x04\0", count=4, size=4 * cluster)])
+    put(2, [attribute(0x80, runs=b"\x11\x02\x0c\0", count=2, size=2 * cluster)])
+    put(3, [attribute(0x60, label.encode("utf-16-le")), attribute(0x70, bytes(8) + b"\x03\x01" + bytes([dirty, 0]))])
+    put(6, [attribute(0x80, runs=b"\x11\x01\x0a\0", count=1, size=-(-clusters // 8))])
+    disk[12 * cluster : 14 * cluster] = b"\xff" * 2 * cluster
+    for i in range(used):
+        disk[10 * cluster + i // 8] |= 1 << i % 8
+    return bytes(disk)
+
+
+def vhdx(disk: bytes, block: int = 1 << 20, log: list[tuple[int, bytes]] | None = None) -> bytes:
+    """A dynamic VHDX; log: sectors of 4096 bytes (offset, content) that only the log holds."""
+    from strataspan.formats import vdisks
+
+    n = -(-len(disk) // block)
+    crc = lambda b: b[:4] + struct.pack("<I", checksums.crc32c(b[:4] + bytes(4) + b[8:])) + b[8:]
+    guid = b"log-of-a-sample!" if log else bytes(16)
+    out = bytearray(4 << 20)
+    out[:8] = b"vhdxfile"
+    for at, number in ((64 << 10, 1), (128 << 10, 2)):
+        h = struct.pack("<4sIQ16s16s16sHHIQ", b"head", 0, number, bytes(16), bytes(16), guid, 0, 1, 1 << 20, 1 << 20)
+        out[at : at + 4096] = crc(h.ljust(4096, b"\0"))
+    table = struct.pack("<4sIII", b"regi", 0, 2, 0) + vdisks.BAT + struct.pack("<QII", 3 << 20, 1 << 20, 1) + vdisks.METADATA + struct.pack("<QII", 2 << 20, 1 << 20, 1)
+    for at in (192 << 10, 256 << 10):
+        out[at : at + (64 << 10)] = crc(table.ljust(64 << 10, b"\0"))
+    items = [(vdisks.FILE_PARAMETERS, struct.pack("<II", block, 0)), (vdisks.DISK_SIZE, struct.pack("<Q", len(disk))), (vdisks.SECTOR, struct.pack("<I", 512))]
+    meta, data = bytearray(struct.pack("<8sHH20x", b"metadata", 0, len(items))), b""
+    for k, body in items:
+        meta += k + struct.pack("<IIII", (64 << 10) + len(data), len(body), 4, 0)
+        data += body
+    out[2 << 20 : (2 << 20) + len(meta)] = meta
+    out[(2 << 20) + (64 << 10) : (2 << 20) + (64 << 10) + len(data)] = data
+    ratio = (1 << 23) * 512 // block
+    for i in range(n):
+        piece = disk[i * block : (i + 1) * block].ljust(block, b"\0")
+        if any(piece):
+            struct.pack_into("<Q", out, (3 << 20) + 8 * (i + i // ratio), len(out) | 6)
+            out += piece
+    if log:
+        e = bytearray(struct.pack("<4sIIIQII16sQQ", b"loge", 0, 4096 * (1 + len(log)), 0, 9, len(log), 0, guid, len(out), len(out)))
+        sectors = b""
+        for at, body in log:
+            e += struct.pack("<4s4s8sQQ", b"desc", body[4092:], body[:8], at, 9)
+            sectors += struct.pack("<4sI", b"data", 0) + body[8:4092] + struct.pack("<I", 9)
+        e = crc(bytes(e).ljust(4096, b"\0") + sectors)
+        out[1 << 20 : (1 << 20) + len(e)] = e
+    return bytes(out)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import zlib
 from dataclasses import dataclass
 
 import zstandard
@@ -221,3 +222,29 @@ def gzip_header(s: Source, at: int) -> tuple[int, tuple[int, int] | None, bytes
             n += len(text) + 1
             comment = text if flag == 16 else comment
     return n + 2 * bool(flags & 2), sizes, comment
+
+
+def members(s: Source, magic: str = MAGIC_V1) -> tuple[int, list[tuple[int, int]], list[Frame]]:
+    """(size, used ranges, members) of a version 1 image: members follow each other by the sizes in their headers."""
+    n, sizes, comment = gzip_header(s, 0)
+    found = parse(comment, magic) if comment else None
+    ensure(found and sizes, "not a smart image of version 1")
+    size, extents = found
+    out, offset, start = [], sizes[0], 0
+    while start < size:
+        _, sizes, _ = gzip_header(s, offset)
+        ensure(sizes and sizes[0] > 18 and 0 < sizes[1] <= FRAME_MOST and start + sizes[1] <= size, "a damaged member header")
+        out.append(Frame(offset, sizes[0], start, sizes[1]))
+        offset, start = offset + sizes[0], start + sizes[1]
+    ensure(offset == s.size, "data behind the last member")
+    return size, extents, out
+
+
+def inflate(data: bytes, length: int) -> bytes:
+    """One gzip member, its checksum checked."""
+    try:
+        out = zlib.decompress(data, 31)
+    except zlib.error as e:
+        raise Bad(f"a damaged member: {e}") from e
+    ensure(len(out) == length, "a member of another size")
+    return out

@@ -113,8 +113,9 @@ def restore(spark: SparkSession, image: str, target: str, magic: str = smart.MAG
     s = File(image)
     kind = detect.kind_of(s)
     room = os.path.getsize(target) if os.path.exists(target) else None
-    if kind == "zstd" and smart.read_map(s, magic):
-        size, extents, frames = smart.frames(s, magic)
+    old = kind == "gzip" and detect.probe(s).smart_size is not None
+    if old or kind == "zstd" and smart.read_map(s, magic):
+        size, extents, frames = smart.members(s) if old else smart.frames(s, magic)
         check_fits(max((e for _, e in extents), default=0), room)
         jobs = [(f.offset, f.packed, f.start, f.length) for f in frames if smart.wanted(f, extents)]
         df = spark.createDataFrame(jobs or [(0, 0, 0, 0)], "offset long, packed long, start long, length long").where("length > 0").repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)))
@@ -124,7 +125,7 @@ def restore(spark: SparkSession, image: str, target: str, magic: str = smart.MAG
             for b in batches:
                 for row in b.itertuples():
                     f = smart.Frame(int(row.offset), int(row.packed), int(row.start), int(row.length))
-                    data = smart.unpack(s.read(f.offset, f.packed), f.length)
+                    data = (smart.inflate if old else smart.unpack)(s.read(f.offset, f.packed), f.length)
                     for a, e in smart.wanted(f, extents):
                         yield pd.DataFrame({"pos": [a], "bytes": [data[a - f.start : e - f.start]]})
 

@@ -19,11 +19,12 @@ D = samples.reference()
 CONTAINERS = {
     "vhd fixed": samples.vhd_fixed(D), "vhd dynamic": samples.vhd_dynamic(D), "qcow2": samples.qcow2(D), "qcow2 v2": samples.qcow2(D, version=2), "qcow2 packed": samples.qcow2(D, packed=True),
     "vmdk": samples.vmdk_sparse(D), "vmdk packed": samples.vmdk_sparse(D, True), "dmg zlib": samples.dmg(D), "dmg bzip2": samples.dmg(D, "bzip2"), "dmg raw": samples.dmg(D, "raw"),
+    "vhdx": samples.vhdx(D),
 }
 STREAMS = {"gzip": gzip.compress(D) + gzip.compress(b"tail"), "bzip2": bz2.compress(D), "xz": lzma.compress(D), "zstd": zstandard.compress(D), "lzma": lzma.compress(D, lzma.FORMAT_ALONE)}
 VOLUMES = {
     "fat12": samples.fat(12, 2000, [5, 6, 7, 100]), "fat16": samples.fat(16, 9000, [5, 100, 8000]), "fat32": samples.fat(32, 70000, [2, 5, 60000]), "swap": samples.swap(),
-    "iso": samples.iso(), "ext2": samples.ext2(), "exfat": samples.exfat(), "hfsplus": samples.hfsplus(),
+    "iso": samples.iso(), "ext2": samples.ext2(), "exfat": samples.exfat(), "ntfs": samples.ntfs(), "hfsplus": samples.hfsplus(),
     "lvm": samples.lvm({"root": samples.ext2(), "nested": samples.lvm({"in": samples.swap()}, extents=40)}, extents=180),
 }
 
@@ -600,6 +601,37 @@ def test_gzip_member_header():
     assert smart.gzip_header(Memory(h + b"\x03\0"), 0) == (len(h), (500, 900), b"a comment")
 
 
+def test_vhdx_log_is_replayed():
+    plain = samples.vhdx(D)
+    place = len(plain) - (1 << 20)  # within the last block
+    before, new = plain[place : place + 4096], bytes(range(256)) * 16
+    logged = Memory(samples.vhdx(D, log=[(place, new)]))
+    out = b"".join(detect.raw_bytes(logged))
+    at = (len(out) - 1) // (1 << 20) * (1 << 20)
+    assert out[at : at + 4096] == new and before != new and out[:at] == D[:at]
+
+
+def test_ntfs():
+    usage = layout.examine(Memory(samples.ntfs()), "copy")[2]
+    assert bits.merge(usage.used) == [(0, 30 * 4096)] and usage.label == "SAMPLE"
+    assert layout.examine(Memory(samples.ntfs(dirty=True)), "copy")[3].startswith("volume marked dirty")
+    torn = bytearray(samples.ntfs())
+    torn[4 * 4096 + 3 * 1024 + 510] ^= 1
+    assert layout.examine(Memory(torn), "copy")[3] == "torn write in a metadata record"
+
+
+def test_smart_v1():
+    used = [(0, 8192), (1 << 20, (1 << 20) + 4096)]
+    raw = samples.smart_v1(D, used)
+    s = Memory(raw)
+    assert (detect.probe(s).format, detect.probe(s).smart_size, detect.probe(s).smart_used) == ("gzip", len(D), 12288)
+    whole = b"".join(detect.raw_bytes(s))
+    assert len(whole) == len(D) and all(whole[a:b] == D[a:b] for a, b in used)
+    size, extents, members = smart.members(s)
+    assert (size, extents) == (len(D), used) and sum(bool(smart.wanted(m, extents)) for m in members) == 2
+    assert all(len(smart.inflate(s.read(m.offset, m.packed), m.length)) == m.length for m in members)
+
+
 def test_overlays():
     s = Patched(Memory(b"0123456789"), [(2, 3, b"abc"), (4, 4, None)], 12)
     assert s.read(0, 12) == b"01ab\0\0\0\x0089\0\0"

@@ -71,6 +71,16 @@ def test_backup_and_back(spark, images, tmp_path):
         smart.frames(Memory(bytes(broken)))
 
 
+def test_restore_version_1(spark, tmp_path):
+    disk = samples.reference()
+    used = [(0, 8192), (1 << 20, (1 << 20) + 4096)]
+    (tmp_path / "old.gz").write_bytes(samples.smart_v1(disk, used))
+    (tmp_path / "out.img").write_bytes(b"\xa5" * len(disk))
+    assert copying.restore(spark, str(tmp_path / "old.gz"), str(tmp_path / "out.img")) == len(disk)
+    out = (tmp_path / "out.img").read_bytes()
+    assert all(out[a:b] == disk[a:b] for a, b in used) and set(out[8192 : 1 << 20]) == {0xA5}
+
+
 def test_in_place_copy_and_zeros(spark, images, tmp_path):
     source, target = str(images / "disk.img"), tmp_path / "t.img"
     target.write_bytes(b"\xa5" * (24 << 20))
