@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,17 +110,35 @@ def _chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 ENCODED = "doc_id long, ids binary"
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+class Ids:
+    """What becomes of the ids of a text: here they are kept. A subclass can make other columns of them in the same task."""
+
+    schema = "ids binary"
+
+    def __init__(self, ranks_file: str, pattern: str):
+        self.ranks_file, self.pattern = ranks_file, pattern
+
+    def columns(self, ids: list[bytes]) -> list[pa.Array]:
+        return [pa.array(ids, pa.binary())]
+
+    @property
+    def names(self) -> list[str]:
+        return ["doc_id", *(c.split(" ")[0] for c in self.schema.split(", "))]
+
+
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, then: type[Ids] = Ids) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = then(ranks_file, pattern)
+    schema = f"doc_id long, {made.schema}"
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(ranks_file, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 ids = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield pa.record_batch([part.column(0), *made.columns(ids)], names=made.names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(ranks_file, pattern)
@@ -133,28 +150,25 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, chunk: int
             cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.string()))]
             yield pa.record_batch([*batch.columns[:2], batch.column(3), *cols], names=["doc_id", "text_key", "_i", "lead", "ids", "trail"])
 
-    def stitch(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def stitch(rows: pa.Table) -> pa.Table:
+        """One document's pieces in order, raw stretches between them encoded, for each of its copies."""
         enc, _ = encoder(ranks_file, pattern)
-        copies = int((rows["_i"] == 0).sum())
-        rows = rows.drop_duplicates("_i").sort_values("_i")
+        parts = {r["_i"]: r for r in rows.select(["_i", "lead", "ids", "trail"]).to_pylist()}
+        copies = rows.column("_i").to_pylist().count(0)
         out, raw = [], ""
-        for lead, ids, trail in zip(rows["lead"], rows["ids"], rows["trail"], strict=True):
-            raw += lead
-            if ids is not None:
-                if raw:
-                    out.append(np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes())
-                out.append(ids)
-                raw = trail
-        if raw:
-            out.append(np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes())
-        return pd.DataFrame({"doc_id": [key[0]] * copies, "ids": [b"".join(out)] * copies}).astype({"doc_id": "Int64"})
+        for _, r in sorted(parts.items()):
+            raw += r["lead"]
+            if r["ids"] is not None:
+                out += [np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes(), r["ids"]]
+                raw = r["trail"]
+        out.append(np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes())
+        return pa.table([pa.array([rows.column("doc_id")[0].as_py()] * copies, pa.int64()), *made.columns([b"".join(out)] * copies)], names=made.names)
 
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
-    near = docs.where(~is_long).mapInArrow(short, ENCODED)
+    near = docs.where(~is_long).mapInArrow(short, schema)
     far = _chunks(docs.where(is_long), chunk, overlap).repartition("doc_id", "_i")
     far = far.mapInArrow(pieces, "doc_id long, text_key string, _i int, lead string, ids binary, trail string")
-    far = far.groupBy("doc_id", "text_key").applyInPandas(stitch, ENCODED)
-    return near.unionByName(far)
+    return near.unionByName(far.groupBy("doc_id", "text_key").applyInArrow(stitch, schema))
 
 
 def decode_ids(ids: bytes, ranks_file: str, pattern: str) -> bytes:
@@ -174,22 +188,20 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     return encoded.mapInArrow(run, ENCODED + ", decoded binary")
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+class Digests(Ids):
+    """Count and hash of the ids, and the hash of the bytes that they decode to."""
 
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """Count and hashes of each row's ids and of the bytes they decode to."""
+    def columns(self, ids: list[bytes]) -> list[pa.Array]:
+        sha = hashlib.sha256
+        decoded = [sha(decode_ids(x, self.ranks_file, self.pattern)).hexdigest() for x in ids]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h, d = [], [], []
-            for ids in batch.column(1).to_pylist():
-                n.append(len(ids) // 4)
-                h.append(hashlib.sha256(ids).hexdigest())
-                d.append(hashlib.sha256(decode_ids(ids, ranks_file, pattern)).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(h), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode_documents(docs, ranks_file, pattern).mapInArrow(run, DIGEST)
+
+def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    return encode_documents(docs, ranks_file, pattern, then=Digests)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
