@@ -51,7 +51,7 @@ CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"td", "th", "tr", "body", "html
     "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 STOPS = frozenset("ul ol dl table div article section main body html aside blockquote td th header footer nav form figure details".split())
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -213,7 +213,7 @@ def main_text(page: str | None) -> str:
     now: list[str] = []
 
     def close() -> None:
-        text = SPACE.sub(" ", html.unescape("".join(now))).strip()
+        text = SPACE.sub(" ", "".join(now)).strip()
         now.clear()
         if text:
             blocks.append(text)
@@ -224,7 +224,7 @@ def main_text(page: str | None) -> str:
         while stack:
             k = stack.pop()
             if type(k) is str:
-                now.append(k)
+                now.append(html.unescape(k))
             elif k is None:
                 close()
             elif k.tag == "br":
