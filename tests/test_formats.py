@@ -145,6 +145,12 @@ def test_checksums():
     assert [checksums.crc32(n), checksums.crc32c(n), checksums.crc16(0, n), checksums.crc_itu(n)] == [0xCBF43926, 0xE3069283, 0xBB3D, 0x31C3]
     assert [checksums.xxh64(x) for x in (b"", b"a", b"abc")] == [0xEF46DB3751D8E999, 0xD24EC4F1A98C6E5B, 0x44BC2CF5AD770999]
     assert codecs.unadc(bytes.fromhex("826162630c02400000"), 99) == b"abcabcabccccc"
+    long = samples.Noise(8).bytes(40_999)
+    for f in (checksums.crc32c, lambda b, seed=0: checksums.crc16(seed, b)):  # long data in stretches, short data byte by byte
+        r = 0
+        for k in range(0, len(long), 700):
+            r = f(long[k : k + 700], r)
+        assert f(long) == r
 
 
 def test_bit_runs_against_a_scan():
