@@ -20,14 +20,14 @@ from strataspan.llm.common import broadcast_if_small, materialise, table
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in ids (one column, materialised); a null doc_id stays."""
-    gone = broadcast_if_small(ids.select(ids[0].alias("_gone")).distinct(), 16)
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    gone = broadcast_if_small(ids.select(ids[0].alias("__gone_id")).distinct(), 16)
+    return docs.join(gone, docs.doc_id == gone["__gone_id"], "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier (operator 6) scores below its threshold go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.score_column(model, F.col("text"))).where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    return docs.withColumn("__quality_score", quality.score_column(model, F.col("text"))).where(F.col("__quality_score") >= quality.THRESHOLD).drop("__quality_score")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,12 +129,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with their bitmap in `_keep`, null where all lines stay. Text is shuffled only if the bitmaps
+    """The documents with their bitmap in `__keep_bitmap`, null where all lines stay. Text is shuffled only if the bitmaps
     are too large to broadcast."""
-    b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_crc").alias("_crc"), F.col("keep").alias("_keep"))
-    b = broadcast_if_small(b, F.length("_keep") + 40)
+    b = bitmaps.select(F.col("doc_id").alias("__bitmap_doc"), F.col("text_crc").alias("__bitmap_crc"), F.col("keep").alias("__keep_bitmap"))
+    b = broadcast_if_small(b, F.length("__keep_bitmap") + 40)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.join(b, (docs.doc_id == b._doc) & (crc == b._crc), "left").drop("_doc", "_crc")
+    return docs.join(b, (docs.doc_id == b["__bitmap_doc"]) & (crc == b["__bitmap_crc"]), "left").drop("__bitmap_doc", "__bitmap_crc")
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[list[str], int]:
@@ -154,8 +154,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     def render(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(kept_lines(t, k)[0]) for t, k in zip(text, keep, strict=True)])
 
-    text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(render("text", "_keep"))
-    return marked.withColumn("text", text).drop("_keep")
+    text = F.when(F.col("__keep_bitmap").isNull(), F.col("text")).otherwise(render("text", "__keep_bitmap"))
+    return marked.withColumn("text", text).drop("__keep_bitmap")
 
 
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
@@ -173,7 +173,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "text", "_keep").mapInArrow(_digest, DIGEST)
+    return with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", "text", "__keep_bitmap").mapInArrow(_digest, DIGEST)
 
 
 OP4_SQL = r"""

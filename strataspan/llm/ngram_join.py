@@ -373,7 +373,7 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     by_set = classes.join(joined, "rep", "left")
     by_set = by_set.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "k1", "k2").join(by_set, ["n", "k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_query(same, spark, sf):
     assert {r.doc_id: r.kept_sha256 for r in line_dedup.op4_line_dedup(spark, sf).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["h", "_keep"])
+@pytest.mark.parametrize("name", ["h", "pos", "keep", "_keep", "_doc", "n_lines"])
 def test_column_names_that_clash(spark, name):
-    df = spark.createDataFrame([(1, "a line of some length", 1)], f"doc_id long, text string, {name.strip('_')} int")
+    df = spark.createDataFrame([(1, "a line of some length", 1)], f"doc_id long, text string, {name} int")
     assert line_dedup.line_dedup(df).count() == 1
