@@ -1,19 +1,23 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 10).
 
-Restaurants: a word's context is the last of a few very frequent words (anchors) before it in the text, at any
-distance; each anchor's restaurant has the restaurant of its group as parent (anchors that lead to the same anchors, which tells
+Restaurants: a word's context is the word before it together with the last of a few very frequent words (anchors) before it in
+the text, at any distance. There is a restaurant for every such pair in the training text, however many there are. Its parent is
+the restaurant of the anchor alone; each anchor's restaurant has the restaurant of its group as parent (anchors that lead to the same anchors, which tells
 languages apart), all groups share the restaurant of single words, and below lies the uniform distribution over the words seen in
 training and one more for all others. Seating is by numbers of tables: given the parent's probabilities, the number
 of tables of a dish with c customers has probability in proportion to S(c, t) x (strength + discount T)(...) x P^t, S being
 generalised Stirling numbers. Gibbs sweeps draw it for every dish and restaurant, level by level; dishes with more
 than CAP customers are seated by a sequential draw in growing steps. All seating of one word is in one place: only the
 totals of restaurants (some hundred numbers) tie words together, and they are brought up to date between
-passes. Predictive probabilities are averaged over several samples, each with the exact totals of its own seating, so each is
+passes. The restaurants of word pairs are drawn in the same sweeps; the tables of other dishes there are those of the first seating, as
+these restaurants are too many to gather between passes. Their totals are then added up where the restaurant is, after the last
+pass. Predictive probabilities are averaged over several samples, each with the exact totals of its own seating, so each is
 a distribution.
 
 Nothing is sent row by row. A task counts its own words and sends one blob to each bucket of the hash space. The probabilities of the
-TOP most frequent words in all contexts are a table of bounded size that scoring looks up; the other tokens go in blobs to their bucket, and their
-counts and scores come back to the slice of documents they came from.
+TOP most frequent words in all contexts are a table of bounded size that scoring looks up; the other tokens go in blobs to their bucket. All tokens then go, with their probability under the anchor alone, to the
+bucket of their word pair, and sums by document come back to the slice they came from. Pairs are dealt out by restaurant; those after an anchor
+or at the start of a text (v below 64) by restaurant and word, since their totals are few enough to be sent to all.
 
 A word is the upper 58 bits of its hash.
 
@@ -30,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import materialise, shuffle_partitions, table
-from strataspan.llm.shingles import batches, word_hashes
+from strataspan.llm.common import discard, materialise, shuffle_partitions, table
+from strataspan.llm.shingles import batches, mix, word_hashes
 
 ANCHORS, GROUPS, TOP = 63, 8, 50_000
 PASSES, SWEEPS, SAMPLES, CAP = 3, 3, 3, 24
@@ -93,61 +97,150 @@ def find_anchors(docs: DataFrame, count: int = ANCHORS) -> np.ndarray:
     return np.sort(np.array([r.w for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-CELLS = "bucket int, n_tokens long, n_types long, cells binary, links binary, histogram binary, ones binary"
+CELLS = "bucket int, n_tokens long, n_types long, cells binary, totals binary, multi binary, links binary, histogram binary, ones binary"
+_PAIR = np.dtype([("v", "<u8"), ("k", "<u8"), ("c", "<u4"), ("t", "<u4")])  # t: tables of the cell, or of its whole restaurant
 
 
-def count_cells(docs: DataFrame, anchors: np.ndarray, buckets: int) -> DataFrame:
-    """A row for each bucket of the hash space: the counts of (word, context) in it, sorted."""
-    edges = _bucket_edges(buckets)
+def restaurants(h: np.ndarray, ctx: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """The restaurant of every token: its context's number after an anchor or an end, else a hash of the word before and the context."""
+    before = np.concatenate([[END], h[:-1]]).astype(np.uint64)
+    wide = ctx.astype(np.uint64)
+    return np.where((before == END) | np.isin(before, anchors), wide, mix(before ^ mix(wide + np.uint64(1))) | np.uint64(64))
+
+
+def _place(v: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair."""
+    at = np.where(v < 64, mix(v ^ mix(k & ~LOW)), v)
+    return np.searchsorted(_bucket_edges(buckets), at, "right") - 1
+
+
+def _deal(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(buckets that have rows, their rows): rows keep their order."""
+    order = np.argsort(bucket, kind="stable")
+    full, first = np.unique(bucket[order], return_index=True)
+    cut = [*first.tolist(), len(rows)]
+    rows = rows[order]
+    return full, [rows[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def _merge_pairs(rows: np.ndarray) -> np.ndarray:
+    """Sorted by (v, k), with the counts of equal ones added up."""
+    rows = rows[np.lexsort((rows["k"], rows["v"]))]
+    if not len(rows):
+        return rows
+    first = np.flatnonzero(np.concatenate([[True], (rows["k"][1:] != rows["k"][:-1]) | (rows["v"][1:] != rows["v"][:-1])]))
+    out = rows[first]
+    out["c"] = np.add.reduceat(rows["c"], first)
+    return out
+
+
+def _by_restaurant(v: np.ndarray, x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The sum of x over each row's restaurant; v ascends. Those below 64 are spread over buckets: their sums are given."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    total = np.repeat(np.add.reduceat(x.astype(np.int64), first), np.diff(np.append(first, len(v))))
+    few = v < 64
+    total[few] = hot[v[few].astype(np.int64)]
+    return total
+
+
+def _hot(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bincount(v[v < 64].astype(np.int64), x[v < 64], 64).astype("<i8")
+
+
+def count_pairs(docs: DataFrame, anchors: np.ndarray, buckets: int) -> DataFrame:
+    """A row for each bucket of restaurants: its pairs with counts and first tables, and the sums of those spread over buckets."""
 
     def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        parts, held = [], 0
 
         def send():
-            k, c = _merge(keys, counts)
-            cut = np.append(np.searchsorted(k, edges), len(k))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [k[cut[b] : cut[b + 1]].tobytes() + c[cut[b] : cut[b + 1]].astype("<u4").tobytes() for b in full]
-            return pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "cells"])
+            rows = _merge_pairs(np.concatenate(parts))
+            full, blobs = _deal(_place(rows["v"], rows["k"], buckets), rows)
+            return pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
 
         for batch in batches_:
             texts = batch.column(0).to_pylist()
             for part in batches(texts):
                 h, bounds = tokens(texts[part])
-                k, c = np.unique(h | contexts(h, bounds, anchors), return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
+                ctx = contexts(h, bounds, anchors)
+                rows = np.zeros(len(h), _PAIR)
+                rows["v"], rows["k"], rows["c"] = restaurants(h, ctx, anchors), h | ctx, 1
+                parts.append(rows)
+                held += len(rows)
                 if held > MERGE:
-                    merged = _merge(keys, counts)
-                    keys, counts = [merged[0]], [merged[1]]
-                    held = len(merged[0])
-                    if held > MERGE // 2:
-                        yield send()
-                        keys, counts, held = [], [], 0
-        if keys:
+                    yield send()
+                    parts, held = [], 0
+        if parts:
             yield send()
 
     def reduce(rows: pa.Table) -> pa.Table:
-        parts = [_cells(b) for b in rows.column("cells").to_pylist()]
-        k, c = _merge([p[0] for p in parts], [p[1] for p in parts])
+        r = _merge_pairs(np.concatenate([np.frombuffer(b, _PAIR) for b in rows.column("pairs").to_pylist()]))
+        r["t"] = np.minimum(r["c"], np.maximum(1, r["c"] ** 0.75))
+        ones = np.array([(r["c"] == 1).sum(), (r["c"] == 2).sum()], "<i8")
+        sums = np.concatenate([ones, _hot(r["v"], r["c"]), _hot(r["v"], r["t"])])
+        return pa.table([pa.array([rows.column("bucket")[0].as_py()], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["bucket", "pairs", "sums"])
+
+    rows = docs.select("text").mapInArrow(count, "bucket int, pairs binary")
+    return materialise(rows.groupBy("bucket").applyInArrow(reduce, "bucket int, pairs binary, sums binary"), "lm-pairs", "zstd")
+
+
+_CELL = np.dtype([("k", "<u8"), ("raw", "<u4"), ("one", "<u4")])
+
+
+def count_cells(pairs: DataFrame, anchors: np.ndarray, buckets: int, hot_t: np.ndarray) -> DataFrame:
+    """A row for each bucket of the hash space: the first tables of (word, context) in it, sorted, and the pairs of more than
+    one customer with the tables of their restaurant."""
+    edges = _bucket_edges(buckets)
+    by_word = lambda k: np.searchsorted(edges, k, "right") - 1
+
+    def spread(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for blob in batch.column(0).to_pylist():
+                r = np.frombuffer(blob, _PAIR)
+                k, at = np.unique(r["k"], return_inverse=True)
+                cells = np.zeros(len(k), _CELL)
+                cells["k"], cells["raw"], cells["one"] = k, np.bincount(at, r["c"], len(k)), np.bincount(at, r["c"] == 1, len(k))
+                whole = _by_restaurant(r["v"], r["t"], hot_t)
+                more = np.flatnonzero(r["c"] > 1)
+                multi = r[more].copy()
+                multi["t"] = np.minimum(whole[more], 2**32 - 1)
+                for name, bucket, rows in (("cells", by_word(k), cells), ("multi", by_word(multi["k"]), multi)):
+                    full, blobs = _deal(bucket, rows)
+                    none = pa.nulls(len(full), pa.binary())
+                    blobs = pa.array(blobs, pa.binary())
+                    yield pa.record_batch([pa.array(full, pa.int32()), blobs if name == "cells" else none, blobs if name == "multi" else none], names=["bucket", "cells", "multi"])
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        parts = np.concatenate([np.frombuffer(b, _CELL) for b in rows.column("cells").to_pylist() if b is not None])
+        multi = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in rows.column("multi").to_pylist() if b is not None)])
+        k, at = np.unique(parts["k"], return_inverse=True)
+        raw, one_ = (np.bincount(at, parts[n], len(k)).astype(np.int64) for n in ("raw", "one"))
+        multi = multi[np.lexsort((multi["v"], multi["k"]))]
+        seats = np.minimum(multi["c"], np.maximum(1, multi["c"] ** 0.75)).astype(np.int64)
+        c = one_ + np.bincount(np.searchsorted(k, multi["k"]), seats, len(k)).astype(np.int64)
         words, first = np.unique(k & ~LOW, return_index=True)
-        total = np.add.reduceat(c, first)
-        links = [(int(i), k[a:b], c[a:b]) for i, w in enumerate(anchors) for a, b in [np.searchsorted(k, [w, w + LOW + np.uint64(1)])] if b > a]
+        total = np.add.reduceat(raw, first)
+        links = [(int(i), k[a:b], raw[a:b]) for i, w in enumerate(anchors) for a, b in [np.searchsorted(k, [w, w + LOW + np.uint64(1)])] if b > a]
         link_rows = np.zeros((len(links), 65), dtype="<i8")
         for row, (i, kk, cc) in zip(link_rows, links, strict=True):
             row[0] = i
             row[1 + (kk & LOW).astype(np.int64)] = cc
         ones = np.array([(c == 1).sum(), (c == 2).sum()], dtype="<i8")
         hist = np.bincount((8 * np.log2(total)).astype(np.int64), minlength=512)[:512].astype("<i8")
-        cells = k.tobytes() + c.astype("<u4").tobytes()
         one = lambda x, kind: pa.array([x], kind)
-        return pa.table([one(rows.column("bucket")[0].as_py(), pa.int32()), one(int(c.sum()), pa.int64()), one(len(words), pa.int64()), *(one(x, pa.binary()) for x in (cells, link_rows.tobytes(), hist.tobytes(), ones.tobytes()))], names=["bucket", "n_tokens", "n_types", "cells", "links", "histogram", "ones"])
+        blobs = (_blob(k, c), total.astype("<i8").tobytes(), multi.tobytes(), link_rows.tobytes(), hist.tobytes(), ones.tobytes())
+        return pa.table([one(rows.column("bucket")[0].as_py(), pa.int32()), one(int(raw.sum()), pa.int64()), one(len(words), pa.int64()), *(one(x, pa.binary()) for x in blobs)], names=["bucket", "n_tokens", "n_types", "cells", "totals", "multi", "links", "histogram", "ones"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, cells binary")
+    rows = pairs.select("pairs").mapInArrow(spread, "bucket int, cells binary, multi binary")
     return materialise(rows.groupBy("bucket").applyInArrow(reduce, CELLS), "lm-cells", "zstd")
 
 
+def _blob(k: np.ndarray, c: np.ndarray) -> bytes:
+    return k.astype("<u8").tobytes() + c.astype("<u4").tobytes()
+
+
 def _cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
     return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64)
@@ -214,11 +307,11 @@ def draw_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, discount: floa
 
 
 class Totals:
-    """Customers and tables of all restaurants, and the discounts: contexts (3), groups (2), words (1)."""
+    """Customers and tables of all restaurants, and the discounts: pairs (4), contexts (3), groups (2), words (1)."""
 
     def __init__(self, c3: np.ndarray, groups: np.ndarray, types: int):
         self.group, self.types, n = groups, types, int(groups.max()) + 1
-        self.c3, self.d3, self.d2, self.d1 = c3, 0.75, 0.75, 0.75
+        self.c3, self.d4, self.d3, self.d2, self.d1 = c3, 0.75, 0.75, 0.75, 0.75
         self.t3 = np.maximum(c3 // 2, 0).astype(np.float64)
         self.c2 = np.bincount(groups, self.t3, n)
         self.t2 = self.c2 / 2
@@ -231,8 +324,11 @@ class Totals:
 class Words:
     """The words of a bucket and their seating."""
 
-    def __init__(self, blob: bytes, totals: Totals):
+    def __init__(self, blob: bytes, totals: Totals, multi: bytes = b""):
         self.k, self.c3 = _cells(blob)
+        self.multi = np.frombuffer(multi, _PAIR)
+        self.cell, self.c4 = np.searchsorted(self.k, self.multi["k"]), self.multi["c"].astype(np.int64)
+        self.t4 = np.minimum(self.c4, np.maximum(1, self.multi["c"] ** 0.75)).astype(np.int64)
         self.h, self.word = np.unique(self.k & ~LOW, return_inverse=True)
         self.ctx = (self.k & LOW).astype(np.int64)
         self.totals = totals
@@ -244,7 +340,8 @@ class Words:
     def samples(self, seed: int, sweeps: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(t3, c2, t2, c1, t1) after `sweeps` sweeps, and after each of count - 1 more."""
         z, rng = self.totals, np.random.Generator(np.random.PCG64(seed))
-        s3, s2, s1 = (log_stirling(d) for d in (z.d3, z.d2, z.d1))
+        s4, s3, s2, s1 = (log_stirling(d) for d in (z.d4, z.d3, z.d2, z.d1))
+        single = self.c3 - np.bincount(self.cell, self.t4, len(self.k)).astype(np.int64)
         u = 1 / (z.types + 1)
         t3 = np.minimum(self.c3, np.maximum(1, self.c3**z.d3)).astype(np.int64)
         c2 = np.bincount(self.pair, t3, len(self.pair_word)).astype(np.int64)
@@ -255,6 +352,10 @@ class Words:
             p1 = (c1 - z.d1 * t1 + (STRENGTH + z.d1 * z.t1) * u) / (STRENGTH + z.c1)
             g, w = self.pair_group, self.pair_word
             p2 = (c2 - z.d2 * t2 + (STRENGTH + z.d2 * z.t2[g]) * p1[w]) / (STRENGTH + z.c2[g])
+            if len(self.c4):
+                p3 = (self.c3 - z.d3 * t3 + (STRENGTH + z.d3 * z.t3[self.ctx]) * p2[self.pair]) / (STRENGTH + z.c3[self.ctx])
+                self.t4 = draw_tables(self.c4, p3[self.cell], np.maximum(self.multi["t"] - self.t4, 0), z.d4, rng, s4)
+                self.c3 = single + np.bincount(self.cell, self.t4, len(self.k)).astype(np.int64)
             t3 = draw_tables(self.c3, p2[self.pair], np.maximum(z.t3[self.ctx] - t3, 0), z.d3, rng, s3)
             c2 = np.bincount(self.pair, t3, len(w)).astype(np.int64)
             t2 = draw_tables(c2, p1[w], np.maximum(z.t2[g] - t2, 0), z.d2, rng, s2)
@@ -264,10 +365,10 @@ class Words:
                 yield t3, c2, t2, c1, t1
 
     def sums(self, state: tuple) -> np.ndarray:
-        """This bucket's part of t3, c2, t2, c1, t1 and of the counts of ones and twos of levels 2 and 1."""
+        """This bucket's part of t3, c2, t2, c1, t1 of the counts of ones and twos of levels 2, 1 and 3, and of c3."""
         t3, c2, t2, c1, t1 = state
         n = int(self.totals.group.max()) + 1
-        return np.concatenate([np.bincount(self.ctx, t3, 64), np.bincount(self.pair_group, c2, n), np.bincount(self.pair_group, t2, n), [c1.sum(), t1.sum(), (c2 == 1).sum(), (c2 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum()]]).astype(np.float64)
+        return np.concatenate([np.bincount(self.ctx, t3, 64), np.bincount(self.pair_group, c2, n), np.bincount(self.pair_group, t2, n), [c1.sum(), t1.sum(), (c2 == 1).sum(), (c2 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), (self.c3 == 1).sum(), (self.c3 == 2).sum()], np.bincount(self.ctx, self.c3, 64)]).astype(np.float64)
 
     def probabilities(self, states: list[tuple], exact: list[Totals]) -> tuple[np.ndarray, np.ndarray]:
         """(mean probability of each word in each group's contexts before their own counts, mean of each cell's own part), both for
@@ -289,33 +390,66 @@ def unknown(exact: list[Totals]) -> np.ndarray:
     return np.mean(p, axis=0)
 
 
+def _discount(ones: float, twos: float) -> float:
+    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
+
+
 def _with(z: Totals, s: np.ndarray, learn: bool) -> Totals:
     n = len(z.c2)
-    out = Totals(z.c3, z.group, z.types)
+    out = Totals(s[-64:], z.group, z.types)
     out.t3, out.c2, out.t2 = s[:64], s[64 : 64 + n], s[64 + n : 64 + 2 * n]
-    out.c1, out.t1, a2, b2, a1, b1 = s[64 + 2 * n :]
-    out.d3, out.d2, out.d1 = z.d3, z.d2, z.d1
+    out.c1, out.t1, a2, b2, a1, b1, a3, b3 = s[64 + 2 * n : -64]
+    out.d4, out.d3, out.d2, out.d1 = z.d4, z.d3, z.d2, z.d1
     if learn:  # of the counts of ones and twos, as in absolute discounting
-        out.d2, out.d1 = (float(np.clip(a / max(1, a + 2 * b), 0.1, 0.95)) for a, b in ((a2, b2), (a1, b1)))
+        out.d3, out.d2, out.d1 = (_discount(a, b) for a, b in ((a3, b3), (a2, b2), (a1, b1)))
     return out
 
 
 def _pass(cells: DataFrame, z: Totals, number: int, count: int) -> np.ndarray:
-    """Sums of `count` samples over all buckets."""
+    """Sums of `count` samples over all buckets. Pairs are drawn too if cells has them."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches_:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Words(blob, z)
+            for bucket, blob, multi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = Words(blob, z, multi)
                 total = total + np.stack([words.sums(s) for s in words.samples(1000 * bucket + number, SWEEPS, count)])
         if not isinstance(total, int):
             yield pa.record_batch([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["s"])
 
-    rows = [np.frombuffer(r.s, "<f8") for r in cells.select("bucket", "cells").mapInArrow(run, "s binary").collect()]  # some KB for each task
+    rows = [np.frombuffer(r.s, "<f8") for r in cells.select("bucket", "cells", "multi").mapInArrow(run, "s binary").collect()]  # some KB for each task
     return np.sum(rows, axis=0).reshape(count, -1)
 
 
+def seat_pairs(cells: DataFrame, pairs: DataFrame, z: Totals, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(cells with the tables of a last draw of the pairs and no pairs any more, the restaurants: pairs with customers and tables)."""
+
+    def draw(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for bucket, blob, totals, multi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = Words(blob, z, multi)
+                for _ in words.samples(1000 * bucket + PASSES, SWEEPS, 1):
+                    pass
+                drawn = words.multi.copy()
+                drawn["t"] = words.t4
+                full, blobs = _deal(_place(drawn["v"], drawn["k"], buckets), drawn)
+                n = len(full)
+                cols = [pa.array([bucket] + [None] * n, pa.int32()), pa.array([_blob(words.k, words.c3)] + [None] * n, pa.binary()), pa.array([totals] + [None] * n, pa.binary()), pa.array([b""] + [None] * n, pa.binary())]
+                yield pa.record_batch([*cols, pa.array([None, *full.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["bucket", "cells", "totals", "multi", "to", "drawn"])
+
+    def gather(pairs_: pa.Table, drawn_: pa.Table) -> pa.Table:
+        r = np.frombuffer(pairs_.column("pairs")[0].as_py(), _PAIR).copy()
+        drawn = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in drawn_.column("drawn").to_pylist())])
+        r["t"][r["c"] > 1] = drawn["t"][np.lexsort((drawn["k"], drawn["v"]))]
+        return pa.table([pa.array([pairs_.column("bucket")[0].as_py()], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([_hot(r["v"], r["t"]).tobytes()], pa.binary())], names=["bucket", "pairs", "hot"])
+
+    seated = cells.select("bucket", "cells", "totals", "multi").mapInArrow(draw, "bucket int, cells binary, totals binary, multi binary, to int, drawn binary")
+    seated = materialise(seated, "lm-seated", "zstd")
+    drawn = seated.where("to is not null").select("to", "drawn").groupBy("to")
+    places = pairs.select("bucket", "pairs").groupBy("bucket").cogroup(drawn).applyInArrow(gather, "bucket int, pairs binary, hot binary")
+    return seated.where("to is null").select("bucket", "cells", "totals", "multi"), materialise(places, "lm-restaurants", "zstd")
+
+
 class Model:
     """What scoring needs besides the buckets: all of bounded size."""
 
@@ -329,6 +463,9 @@ class Model:
         self.slots = np.zeros(1 << 19, dtype=np.int32)
         self.slots[self.words >> np.uint64(64 - 19)] = np.arange(len(keep))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "places"}
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of the top table, whether the word is there)."""
         if not len(self.words):
@@ -342,7 +479,9 @@ def train(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     anchors = find_anchors(docs)
     buckets = 2 * shuffle_partitions(spark)
-    cells = count_cells(docs, anchors, buckets)
+    pairs = count_pairs(docs, anchors, buckets)
+    sums = np.sum([np.frombuffer(r.sums, "<i8") for r in pairs.select("sums").collect()] or [np.zeros(130, np.int64)], axis=0)  # 1 KB for each bucket
+    cells = count_cells(pairs, anchors, buckets, sums[66:])
     facts = cells.select("n_tokens", "n_types", "histogram", "ones").collect()  # some KB for each bucket
     n_tokens, n_types = sum(r.n_tokens for r in facts), sum(r.n_types for r in facts)
     links = np.zeros((64, 64))
@@ -353,13 +492,18 @@ def train(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame]:
     c3 = _context_totals(cells)
     z = Totals(c3, groups, n_types)
     ones = np.sum([np.frombuffer(r.ones, "<i8") for r in facts] or [np.zeros(2)], axis=0)
-    z.d3 = float(np.clip(ones[0] / max(1, ones[0] + 2 * ones[1]), 0.1, 0.95))
+    z.d4, z.d3 = _discount(sums[0], sums[1]), _discount(ones[0], ones[1])
     if not n_tokens:
         z.t1 = 0.0
         none = np.zeros(0, np.uint64)
-        return Model(anchors, [z], 0, 0, buckets, z, none, np.zeros(0, np.int64), np.zeros((0, 64), np.float32)), cells
+        model = Model(anchors, [z], 0, 0, buckets, z, none, np.zeros(0, np.int64), np.zeros((0, 64), np.float32))
+        model.places, model.hot_c, model.hot_t = pairs, sums[2:66], sums[66:]
+        return model, cells
     for number in range(PASSES):
         z = _with(z, _pass(cells, z, number, 1)[0], learn=True)
+    cells, places = seat_pairs(cells, pairs, z, buckets)
+    discard(pairs)
+    hot_t = np.sum([np.frombuffer(r.hot, "<i8") for r in places.select("hot").collect()], axis=0)  # 512 bytes for each bucket
     exact = [_with(z, s, learn=False) for s in _pass(cells, z, PASSES, SAMPLES)]
     histogram = np.sum([np.frombuffer(r.histogram, "<i8") for r in facts], axis=0)
     above = np.cumsum(histogram[::-1])[::-1]
@@ -367,18 +511,20 @@ def train(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame]:
 
     def frequent(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Words(blob, z)
-                often = np.flatnonzero(words.total >= least)
+            for bucket, blob, totals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, count = Words(blob, z), np.frombuffer(totals, "<i8")
+                often = np.flatnonzero(count >= least)
                 if len(often):
                     back, own = words.probabilities(list(words.samples(1000 * bucket + PASSES, SWEEPS, SAMPLES)), exact)
                     back[words.word, words.ctx] += own
                     logs = np.log10(back[often]).astype("<f4")
-                    yield pa.record_batch([pa.array([words.h[often].tobytes()], pa.binary()), pa.array([words.total[often].astype("<i8").tobytes()], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["h", "c", "logs"])
+                    yield pa.record_batch([pa.array([words.h[often].tobytes()], pa.binary()), pa.array([count[often].tobytes()], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["h", "c", "logs"])
 
-    rows = cells.select("bucket", "cells").mapInArrow(frequent, "h binary, c binary, logs binary").collect()  # at most `top` words of 272 bytes
+    rows = cells.select("bucket", "cells", "totals").mapInArrow(frequent, "h binary, c binary, logs binary").collect()  # at most `top` words of 272 bytes
     join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    return Model(anchors, exact, n_tokens, n_types, buckets, z, join("h", "<u8"), join("c", "<i8"), join("logs", "<f4").reshape(-1, 64)), cells
+    model = Model(anchors, exact, n_tokens, n_types, buckets, z, join("h", "<u8"), join("c", "<i8"), join("logs", "<f4").reshape(-1, 64))
+    model.places, model.hot_c, model.hot_t = places, sums[2:66], hot_t
+    return model, cells
 
 
 def _context_totals(cells: DataFrame) -> np.ndarray:
@@ -394,11 +540,11 @@ def _context_totals(cells: DataFrame) -> np.ndarray:
     return np.sum([np.frombuffer(r.s, "<i8") for r in rows] or [np.zeros(64)], axis=0).astype(np.float64)
 
 
-SLICES = "src long, bucket int, data binary, doc_id array<long>, held_out array<boolean>"
+SLICES = "src long, bucket int, place int, data binary, doc_id array<long>, held_out array<boolean>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _DOC = np.dtype([("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_RARE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("ctx", "u1")])
-_BACK = np.dtype([("doc", "<u4"), ("c", "<u4"), ("score", "<f4")])
+_TOKEN = np.dtype([("v", "<u8"), ("k", "<u8"), ("doc", "<u4"), ("c", "<u4"), ("log", "<f4")])
+_BACK = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
 
 
 def score(docs: DataFrame, model: Model, cells: DataFrame) -> DataFrame:
@@ -412,8 +558,8 @@ def score(docs: DataFrame, model: Model, cells: DataFrame) -> DataFrame:
 
         m, number, made = shared.value, TaskContext.get().partitionId(), 0
         log_count = np.log10(m.count + 1.0)
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        names = ["src", "bucket", "data", "doc_id", "held_out"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        names = ["src", "bucket", "place", "data", "doc_id", "held_out"]
         for batch in batches_:
             texts = batch.column(1).to_pylist()
             for part in batches(texts):
@@ -423,57 +569,97 @@ def score(docs: DataFrame, model: Model, cells: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
                 out = np.zeros(len(size), _DOC)
                 out["n"], out["known"] = size, np.bincount(doc[there], minlength=len(size))
+                found = np.zeros(len(h), _TOKEN)
+                found["v"], found["k"], found["doc"] = restaurants(h, ctx, m.anchors), h | ctx, doc
                 if there.any():
                     out["base"] = np.bincount(doc[there], log_count[row[there]], len(size))
-                    out["score"] = np.bincount(doc[there], m.logs[row[there], ctx[there]].astype(np.float64), len(size))
+                    found["log"][there] = m.logs[row[there], ctx[there]]
                 src = (number << 32) + made
                 made += 1
-                rare = np.flatnonzero(~there)
-                rare = rare[np.argsort(h[rare], kind="stable")]
-                found = np.zeros(len(rare), _RARE)
-                found["h"], found["doc"], found["ctx"] = h[rare], doc[rare], ctx[rare]
-                cut = np.append(np.searchsorted(found["h"], edges), len(found))
-                full = np.flatnonzero(np.diff(cut))
-                n = 1 + len(full)
-                data = [out.tobytes(), *(found[cut[b] : cut[b + 1]].tobytes() for b in full)]
+                rare, often = found[~there], found[there]
+                full, asked = _deal(np.searchsorted(edges, rare["k"], "right") - 1, rare)
+                near, known = _deal(_place(often["v"], often["k"], m.buckets), often)
+                n = 1 + len(full) + len(near)
                 ids, held = batch.column(0)[part].to_pylist(), batch.column(2)[part].to_pylist()
-                cols = ([src] * n, [-1, *full.tolist()], data, [ids, *[None] * (n - 1)], [held, *[None] * (n - 1)])
+                nothing = [None] * (n - 1)
+                cols = ([src] * n, [-1, *full.tolist(), *[None] * len(near)], [None] * (1 + len(full)) + near.tolist(), [out.tobytes(), *asked, *known], [ids, *nothing], [held, *nothing])
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     slices = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(first, SLICES)
     slices = materialise(slices, "lm-slices", "zstd")
     rare = slices.where("bucket >= 0").select("bucket", "src", "data")
+    often = slices.where("place is not null").select("place", "src", "data")
 
     def second(rows: pa.Table, model_rows: pa.Table) -> pa.Table:
         m = shared.value
-        src, parts = rows.column("src").to_pylist(), [np.frombuffer(b, _RARE) for b in rows.column("data").to_pylist()]
-        data = []
+        to, src, data = [], [], []
         lost = np.log10(unknown(m.exact))
-        if parts:
-            asked = np.concatenate(parts)
-            logs, count = lost[asked["ctx"]], np.zeros(len(asked), np.int64)
-            for bucket, blob in zip(model_rows.column("bucket").to_pylist(), model_rows.column("cells").to_pylist(), strict=True):
+        model = None
+        for bucket, blob, totals in zip(*(model_rows.column(n).to_pylist() for n in ("bucket", "cells", "totals")), strict=True):
+            if rows.num_rows:
                 words = Words(blob, m.base)
-                back, own = words.probabilities(list(words.samples(1000 * bucket + PASSES, SWEEPS, SAMPLES)), m.exact)
-                at = np.searchsorted(words.h, asked["h"])
+                model = words, np.frombuffer(totals, "<i8"), *words.probabilities(list(words.samples(1000 * bucket + PASSES, SWEEPS, SAMPLES)), m.exact)
+        for number, blob in zip(rows.column("src").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            asked = np.frombuffer(blob, _TOKEN).copy()
+            h, ctx = asked["k"] & ~LOW, (asked["k"] & LOW).astype(np.int64)
+            asked["log"] = lost[ctx]
+            if model is not None:
+                words, count, back, own = model
+                at = np.searchsorted(words.h, h)
                 at[at == len(words.h)] = 0
-                here = words.h[at] == asked["h"]
-                ctx = asked["ctx"].astype(np.int64)
-                key = asked["h"] | asked["ctx"]
-                cell = np.searchsorted(words.k, key)
+                here = words.h[at] == h
+                cell = np.searchsorted(words.k, asked["k"])
                 cell[cell == len(words.k)] = 0
-                p = back[at, ctx] + np.where(words.k[cell] == key, own[cell], 0.0)
-                logs, count = np.where(here, np.log10(p), logs), np.where(here, words.total[at], count)
-            start = 0
-            for part in parts:
-                answer = np.zeros(len(part), _BACK)
-                stop = start + len(part)
-                answer["doc"], answer["c"], answer["score"] = part["doc"], np.minimum(count[start:stop], 2**32 - 1), logs[start:stop]
-                data.append(answer.tobytes())
-                start = stop
+                p = back[at, ctx] + np.where(words.k[cell] == asked["k"], own[cell], 0.0)
+                asked["log"], asked["c"] = np.where(here, np.log10(p), lost[ctx]), np.where(here, np.minimum(count[at], 2**32 - 1), 0)
+            full, blobs = _deal(_place(asked["v"], asked["k"], m.buckets), asked)
+            to += full.tolist()
+            src += [number] * len(full)
+            data += blobs
+        return pa.table([pa.array(to, pa.int32()), pa.array(src, pa.int64()), pa.array(data, pa.binary())], names=["place", "src", "data"])
+
+    answered = rare.groupBy("bucket").cogroup(cells.select("bucket", "cells", "totals").groupBy("bucket")).applyInArrow(second, "place int, src long, data binary")
+
+    def pair(rows: pa.Table, place_rows: pa.Table) -> pa.Table:
+        m = shared.value
+        d = m.base.d4
+        r = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in place_rows.column("pairs").to_pylist())])
+        first_ = np.flatnonzero(np.concatenate([[True], r["v"][1:] != r["v"][:-1]])) if len(r) else np.zeros(0, np.int64)
+        stop = np.append(first_[1:], len(r))
+        v = r["v"][first_]
+        c, t = _by_restaurant(r["v"], r["c"], m.hot_c)[first_], _by_restaurant(r["v"], r["t"], m.hot_t)[first_]
+        one = mix(r["v"] ^ mix(r["k"]))  # pairs by one hash of 64 bits
+        order = np.argsort(one)
+        one = one[order]
+        own = ((r["c"] - d * r["t"]) / (STRENGTH + np.repeat(c, stop - first_)))[order]
+        src, data = [], []
+        for number, blob in zip(rows.column("src").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            a = np.frombuffer(blob, _TOKEN)
+            p = 10.0 ** a["log"].astype(np.float64)
+            few = a["v"] < 64
+            hot = np.where(few, a["v"], 0).astype(np.int64)
+            customers, tables = np.where(few, m.hot_c[hot], 0), np.where(few, m.hot_t[hot], 0)
+            if len(r):
+                at = np.searchsorted(v, a["v"])
+                at[at == len(v)] = 0
+                here = ~few & (v[at] == a["v"])
+                customers, tables = np.where(here, c[at], customers), np.where(here, t[at], tables)
+                key = mix(a["v"] ^ mix(a["k"]))
+                at = np.searchsorted(one, key)
+                at[at == len(one)] = 0
+                mine = np.where(one[at] == key, own[at], 0.0)
+            else:
+                mine = 0.0
+            p = mine + (STRENGTH + d * tables) / (STRENGTH + customers) * p
+            which, at = np.unique(a["doc"], return_inverse=True)
+            answer = np.zeros(len(which), _BACK)
+            answer["doc"], answer["known"] = which, np.bincount(at, a["c"] > 0)
+            answer["base"], answer["score"] = np.bincount(at, np.log10(a["c"] + 1.0)), np.bincount(at, np.log10(p))
+            src.append(number)
+            data.append(answer.tobytes())
         return pa.table([pa.array(src, pa.int64()), pa.array(data, pa.binary())], names=["src", "data"])
 
-    answers = rare.groupBy("bucket").cogroup(cells.select("bucket", "cells").groupBy("bucket")).applyInArrow(second, "src long, data binary")
+    answers = often.unionByName(answered).groupBy("place").cogroup(model.places.select("bucket", "pairs").groupBy("bucket")).applyInArrow(pair, "src long, data binary")
     heads = slices.where("bucket < 0").select("src", "data", "doc_id", "held_out")
 
     def third(heads_: pa.Table, answers_: pa.Table) -> pa.Table:
@@ -481,9 +667,8 @@ def score(docs: DataFrame, model: Model, cells: DataFrame) -> DataFrame:
         out = np.frombuffer(heads_.column("data")[0].as_py(), _DOC).copy()
         for blob in answers_.column("data").to_pylist():
             a = np.frombuffer(blob, _BACK)
-            out["known"] += np.bincount(a["doc"], a["c"] > 0, len(out)).astype(np.int64)
-            out["base"] += np.bincount(a["doc"], np.log10(a["c"] + 1.0), len(out))
-            out["score"] += np.bincount(a["doc"], a["score"].astype(np.float64), len(out))
+            for name in ("known", "base", "score"):
+                out[name][a["doc"]] += a[name].astype(out[name].dtype)
         base = out["base"] - out["n"] * np.log10(m.n_tokens + m.n_types + 1.0)
         cols = [pa.array(heads_.column("doc_id")[0].as_py(), pa.int64()), pa.array(heads_.column("held_out")[0].as_py(), pa.bool_()), pa.array(out["n"]), pa.array(out["known"]), pa.array(np.full(len(out), m.n_tokens, np.int64)), pa.array(base), pa.array(out["score"])]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -223,3 +223,16 @@ def test_pipeline_edges(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0, name
         assert stage(spark, odd, sf).count() >= 3, name
+
+
+def test_language_model_knows_word_pairs(spark):
+    """After a word that is no anchor, the word that always comes next is far likelier than one as frequent that never does."""
+    anchors = " ".join(f"a{i}" for i in range(63))
+    texts = [(i, f"{anchors} {anchors} rare{i % 40} tail{i % 40}", False) for i in range(400)]
+    asked = [(1000, f"{anchors} rare7 tail7", True), (1001, f"{anchors} rare7 tail8", True)]
+    df = spark.createDataFrame(texts + asked, "doc_id long, text string, held_out boolean")
+    model, cells = pitman_yor.train(df.where("not held_out"))
+    out = {r.doc_id: r.score for r in pitman_yor.score(df, model, cells).where("held_out").collect()}
+    assert out[1000] > out[1001] + 1
+    r = np.concatenate([np.frombuffer(x.pairs, pitman_yor._PAIR) for x in model.places.collect()])
+    assert len(np.unique(r["v"])) >= 63 + 40 and (r["t"] >= 1).all() and (r["t"] <= r["c"]).all()
