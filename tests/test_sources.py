@@ -2,6 +2,7 @@
 
 import json
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from strataspan.formats import detect, layout, samples, smart
 from strataspan.formats.reader import Bad, File, Memory
 from strataspan.functions import binary
 from strataspan.operators import copying
-from strataspan.plans import jobs
+from strataspan.plans import image_queries, jobs
 from strataspan.sources import disk_sources, drives
 from strataspan.streaming import worker
 
@@ -42,6 +43,12 @@ def test_sources(spark, images):
         read("disk_layout", "none*").count()
 
 
+def test_byte_chunks_query_has_every_chunk(spark, sf):
+    out = {(r.image, r.pos): r.crc for r in image_queries.byte_chunks(spark, sf).collect()}
+    want = {(n, at): zlib.crc32(b[at : at + (1 << 20)]) for n, b in image_queries.disks().items() for at in range(0, len(b), 1 << 20)}
+    assert out == want and max(at for _, at in out) == 31 << 20
+
+
 @pytest.mark.parametrize("name", ["disk.qcow2", "disk.vmdk", "disk.img"])
 def test_restore(spark, images, tmp_path, name):
     size = copying.restore(spark, str(images / name), str(tmp_path / "out.img"))
