@@ -1,7 +1,9 @@
 """HTML main-text extraction by composite text density (operator 5).
 
 A page is parsed into a tree. Elements that are never the article (scripts, styles, navigation, forms, adverts and
-the like, by tag, role or the words of class and id) are cut off with all below them. Every other node has its
+the like, by tag or role, and what is hidden) are cut off with all below them. A container whose class or id as a whole is the name of such
+a part ("ad-box", "comments"; not "related-work") isn't where the article is sought, unless it is in an article or main, holds one, or has over nine tenths of the
+page's text; within the article it is left out only if over half of its characters are in links. Every other node has its
 characters C and tags T, and those within links, LC and LT, counted over its subtree. Its density is
 
     C / T * log(C / LC * T / LT) to the base ln(C * LC / (C - LC) + lc * C / c + e)
@@ -9,8 +11,8 @@ characters C and tags T, and those within links, LC and LT, counted over its sub
 with all counts at least 1, and c and lc those of the body: characters per tag, lowered where links make up much of the text.
 The density sum of a node adds up the densities of its children. The node with the largest sum is where the article is;
 the smallest density on the way from it up to the body is the threshold. The subtree grows to a parent that reaches the
-threshold and adds less than half as much text again, without its blocks of links; an element that says it is the
-article (article, main) and holds the densest part is taken whole.
+threshold and adds less than half as much text again; of what that adds, blocks of links and containers with such names are left out. An element that says it is the
+article (article, main) and holds the densest part is taken whole instead; one within the densest part is only if it has over half of its text.
 
 Defined results: a null or empty html, or one with no text, gives an empty text; rows that repeat give
 repeated results; text outside any element counts as the body's; unknown or unclosed tags are closed by their parents.
@@ -41,6 +43,10 @@ NOISE_WORDS = frozenset(
     "promo promoted promotion related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola "
     "tags toc toolbar topbar widget widgets disclaimer feedback discussion alert".split()
 )
+#: What may follow in such a name.
+NOISE_ENDS = frozenset("area bar block body box button buttons container content form inner item items left link links list outer panel right section slot thread top bottom unit wrap wrapper".split())
+#: Elements that hold parts of a page; headings, paragraphs, items and spans aren't judged by name.
+CONTAINERS = frozenset("div section ul ol dl table header article center".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
     "li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -55,10 +61,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "noise", "named", "cut", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
+        self.named = self.cut = False  # has the name of a part that is no article; is in such a part and not sought through
+        self.reset()
+
+    def reset(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -68,19 +78,28 @@ def _noise(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if tag == "header":
         return not _inside(parent, "article", "main", "section")
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    if tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    if found.get("role", "").lower() in NOISE_ROLES:
+    found = _attributes(attributes)
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(lambda m: m[1] + "=", attributes)) or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", "")).lower())
-    if tag == "header" or any(_inside(parent, t) for t in ("article",)):
-        return any(n in NOISE_WORDS and n != "header" for n in names)
-    return any(n in NOISE_WORDS for n in names)
+    return found.get("role", "").lower() in NOISE_ROLES
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    return {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """True if a class or the id of a container is, as a whole, the name of a part that is no article."""
+    if tag not in CONTAINERS or "=" not in attributes:
+        return False
+    found = _attributes(attributes)
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if words and words[0] in NOISE_WORDS and all(w in NOISE_WORDS or w in NOISE_ENDS for w in words) and not (tag == "header" and words == ["header"]):
+            return True
+    return False
 
 
 def _inside(node: Node | None, *tags: str) -> bool:
@@ -126,6 +145,8 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
+        if tag in ("svg", "math") and (m[3].endswith("/") or not re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -142,6 +163,12 @@ def parse(page: str) -> Node:
         node = Node(tag, top, top.noise or _noise(tag, m[3], top))
         if not top.noise:
             top.kids.append(node)
+            node.named = _named(tag, m[3])
+            node.cut = top.cut or node.named and not _inside(top, "article", "main")
+            if tag in ("article", "main") and not node.named:
+                up = node
+                while up is not None and up.cut:
+                    up.cut, up = False, up.parent
         if tag not in VOID and not m[3].endswith("/"):
             top = node
     return root
@@ -159,7 +186,7 @@ def _weigh(root: Node) -> list[Node]:
         for k in node.kids:
             if type(k) is str:
                 node.chars += len(SPACE.sub(" ", html.unescape(k)).strip())
-            elif not k.noise:
+            elif not k.noise and (node.cut or not k.cut):
                 node.chars += k.chars
                 node.tags += k.tags + 1
                 node.link_chars += k.chars if k.tag == "a" else k.link_chars
@@ -170,30 +197,34 @@ def _weigh(root: Node) -> list[Node]:
         base = math.log(c * lc / max(1, c - lc) + ratio * c + math.e)
         inner = c / lc * (t / lt)
         node.density = 0.0 if not node.chars or base <= 1 else max(0.0, c / t * math.log(inner) / math.log(base)) if inner > 1 else 0.0
-        node.total = sum(k.density for k in node.kids if type(k) is Node and not k.noise)
+        node.total = sum(k.density for k in node.kids if type(k) is Node and not k.noise and (node.cut or not k.cut))
         if any(type(k) is str and k.strip() for k in node.kids):
             node.total += node.density
     return order
 
 
-def _chosen(root: Node) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+def _chosen(root: Node) -> tuple[Node | None, Node | None]:
+    """The subtree to take, and the one within it that is the article whole."""
     order = _weigh(root)
+    if 9 * root.chars < sum(n.chars for n in order if n.cut and not n.parent.cut):  # the text is in what has such a name
+        for n in order:
+            n.cut = False
+            n.reset()
+        order = _weigh(root)
     if not root.chars:
-        return []
-    best = max(order, key=lambda n: (n.total, n.chars))
+        return None, None
+    best = max((n for n in order if not n.cut), key=lambda n: (n.total, n.chars))
     threshold, node = best.density, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
-    articles = [n for n in order if n.tag in ("article", "main") and n.chars]
-    keep = [best]
+    articles = [n for n in order if n.tag in ("article", "main") and n.chars and not n.cut]
     node = best
-    while node.parent is not None and node.parent.chars - node.chars < 0.5 * node.chars and node.parent.density >= threshold and not articles:
+    while node.parent is not None and node.parent.chars - node.chars < 0.5 * node.chars and node.parent.density >= threshold:
         node = node.parent
-        keep = [node]
-    for a in articles:  # an element that says it is the article, and holds the densest part, is taken whole
-        if best is a or _inside_node(best, a) or _inside_node(a, best):
-            keep = [x for x in keep if not _inside_node(x, a) and x is not a and not _inside_node(a, x)] + [a]
+    keep = node, best
+    for a in articles:  # one that says it is the article and holds the densest part, or most of it, is taken whole
+        if _inside_node(best, a) or _inside_node(a, best) and 2 * a.chars > best.chars:
+            keep = a, a
     return keep
 
 
@@ -205,6 +236,11 @@ def _inside_node(node: Node, above: Node) -> bool:
     return False
 
 
+def _left_out(node: Node, within: bool) -> bool:
+    links = 2 * node.link_chars > node.chars
+    return node.named and links if within else node.cut or node.tag in BLOCKS and links
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
@@ -218,24 +254,28 @@ def main_text(page: str | None) -> str:
         if text:
             blocks.append(text)
 
-    for top in _chosen(parse(page)):
-        declared = _inside(top, "article", "main")  # else lists of links within are left out
-        stack: list = [top]
-        while stack:
-            k = stack.pop()
-            if type(k) is str:
-                now.append(html.unescape(k))
-            elif k is None:
+    top, article = _chosen(parse(page))
+    above, node = set(), article
+    while node is not None:
+        above.add(node)
+        node = node.parent
+    stack: list = [(top, False)] if top is not None else []
+    while stack:
+        k, within = stack.pop()
+        if type(k) is str:
+            now.append(html.unescape(k))
+        elif k is None:
+            close()
+        elif k.tag == "br":
+            now.append(" ")
+        elif not k.noise and (k in above or not _left_out(k, within)):
+            block = k.tag in BLOCKS
+            if block:
                 close()
-            elif k.tag == "br":
-                now.append(" ")
-            elif not k.noise and (declared or k is top or k.tag not in BLOCKS or 2 * k.link_chars <= k.chars):
-                block = k.tag in BLOCKS
-                if block:
-                    close()
-                    stack.append(None)
-                stack.extend(reversed(k.kids))
-        close()
+                stack.append((None, within))
+            within = within or k is article
+            stack.extend((x, within) for x in reversed(k.kids))
+    close()
     return "\n".join(blocks)
 
 

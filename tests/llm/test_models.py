@@ -52,6 +52,21 @@ def test_html():
     assert html_text.main_text(deep) == "deep"
 
 
+def test_html_keeps_what_is_the_article():
+    text = "A sentence of the text that counts. " * 6
+    p, links = f"<p>{text}</p>", "<p><a href=1>First source</a> <a href=2>Second source</a></p>"
+    said = text.strip()
+    parts = f'<h2 id="Legal_status">Legal</h2>{p}<section id="discussion"><h3 class="toc">Discussion</h3>{p}</section><section id="related-work">{p}</section><p class="search alert">{text}</p><div title="the hidden part">{p}</div>'
+    want = ["Legal", said, "Discussion", said, said, said, said]
+    assert html_text.main_text(f"<article>{parts}</article>") == "\n".join(want)
+    nav = "<div><a href=1>l1</a><a href=2>l2</a></div>"
+    assert html_text.main_text(f"{nav}<div>{p * 3}{links}{p}</div>{nav}") == "\n".join([said] * 3 + ["First source Second source", said])
+    assert html_text.main_text(f"{nav}<div>{p * 4}<article><p>A card</p></article></div>") == "\n".join([said] * 4 + ["A card"])
+    assert html_text.main_text(f"<article>{p}<svg viewBox='0 0 1 1'/>{p}<svg><text>no</text></svg>{p}<math/>{p}</article>") == "\n".join([said] * 4)
+    assert html_text.main_text(f'<div class="widget">{p * 2}</div>') == "\n".join([said] * 2)
+    assert html_text.main_text(f'<div>{p * 2}</div><div id="comments">{p * 4}</div>') == "\n".join([said] * 2)
+
+
 def test_html_table(spark, sf):
     df = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     out = html_text.extract(df).collect()
