@@ -12,7 +12,7 @@ left are compared exactly, unless they are already linked through others. Cluste
 by size band and hash, each pair of neighbouring blocks is traversed by itself, and their links are joined at the end.
 
 Defined results: a text without words has an empty set, is linked with nothing and is its own component; rows
-that share a doc_id are one document (links of either join both when the copies differ); a null doc_id is its own
+that share a doc_id are one document (links of either join both when the copies differ: each text is searched for under a key of its own); a null doc_id is its own
 component, null; repeated rows give repeated results; extra columns aren't read.
 """
 
@@ -348,6 +348,44 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     doc_id that links of Jaccard similarity num / den or more lead to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(_signed(docs, words), "sets")
+    key = F.struct("n", "k1", "k2")
+    apart = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high")
+    apart = materialise(apart.select(F.col("doc_id").alias("_apart")), "apart")
+    if apart.isEmpty():
+        return _classes(docs, signed, words, num, den)
+    return _under_keys(docs, apart, words, num, den)
+
+
+def _under_keys(docs: DataFrame, apart: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """similar_classes where the doc_ids in apart have texts that differ: these are searched for under keys, and what shares a doc_id is joined."""
+    marked = docs.join(broadcast_if_small(apart), docs.doc_id == F.col("_apart"), "left")
+    salt = 0
+    while True:
+        keyed = F.when(F.col("_apart").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text", F.lit(salt)))
+        rows = materialise(marked.select(keyed.alias("key"), "doc_id", "text"), "keyed")
+        owners = materialise(rows.where("key is not null").select("key", "doc_id", F.sha2("text", 256).alias("sha")).distinct(), "owners")
+        moved = owners.join(broadcast_if_small(apart), owners.doc_id == F.col("_apart"), "left_semi")
+        taken = docs.select(F.col("doc_id").alias("key"))
+        if moved.groupBy("key").count().where("count > 1").isEmpty() and moved.join(taken, "key", "left_semi").isEmpty():
+            break
+        salt += 1
+        discard(rows, owners)
+    texts = rows.select(F.col("key").alias("doc_id"), "text")
+    found = _classes(texts, materialise(_signed(texts, words), "sets"), words, num, den)
+    found = found.withColumnRenamed("doc_id", "key").join(owners.select("key", "doc_id").distinct(), "key", "left")
+    found = materialise(found, "found")
+    linked = found.where("n_shingles > 0 and key is not null")
+    edges = linked.join(broadcast_if_small(apart), linked.doc_id == F.col("_apart"), "left_semi").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    groups = connected_components(edges)
+    group = F.coalesce("component", "component_id")
+    found = found.join(groups, found.component_id == groups.node, "left").withColumn("group", group)
+    least = found.where("n_shingles > 0 and key is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    found = found.join(least, "group", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, signed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """similar_classes where the texts of a doc_id are all equal; signed: the sets of docs."""
     real = signed.where("n > 0 and doc_id is not null")
     classes = materialise(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     # copies stay out of the search: each class is there once

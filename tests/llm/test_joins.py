@@ -98,6 +98,16 @@ def test_repeats_and_nulls(spark):
     assert ngram_join.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """A near copy of the smaller text of a doc_id is linked; so are the near copies of each through the doc_id."""
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    small, large = text("s", 100), text("l", 400)
+    rows = [(9, small), (9, large), (9, ""), (5, small + " x"), (7, large + " x"), (8, text("o", 50)), (9, small), (None, small)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.similar_classes(df, 3, 90, 100).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in out) == [(0, 98, 0), (5, 99, 5), (7, 399, 5), (8, 48, 8), (9, 0, 9), (9, 98, 5), (9, 98, 5), (9, 398, 5)]
+
+
 def test_tree_links_against_all_pairs():
     r = np.random.Generator(np.random.PCG64(5))
     for num in (50, 80, 90):
