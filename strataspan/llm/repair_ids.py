@@ -33,7 +33,7 @@ from strataspan.llm.common import materialise, shuffle_partitions, table
 
 MAGIC = b"RPAIR1"
 SHARD_IDS = 4_000_000
-ROUNDS, A_ROUND, LEAST = 5, 4096, 24
+A_ROUND, LEAST = 4096, 24
 CACHE_IDS = 12_000_000
 
 #: ASCII and Latin letters: lower case is one character each, normal form C changes nothing, digits are 0-9 only.
@@ -187,7 +187,7 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, a_round: int = A_ROUND, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, a_round: int = A_ROUND, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first nonterminal, rules, expansion lengths, sequence). Rule k stands for symbol first + k."""
     first = int(ids.max(initial=0)) + 1
     room = (1 << 16) - first if first < 1 << 15 or first + 1024 < 1 << 16 else (1 << 31) - first
@@ -195,9 +195,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, a_round: int = A_ROUND, leas
     base = kind((1 << 16) if kind is np.uint32 else (1 << 32))
     seq, rules, lengths = ids.astype(kind), [], np.ones(first, dtype=np.int64)
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= room:
-            break
+    while len(seq) > 1 and made < room:
         keys = seq[:-1] * base + seq[1:]
         ordered = np.sort(keys)
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))

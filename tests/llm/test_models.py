@@ -122,6 +122,14 @@ def test_repair_roundtrip(n):
         repair_ids.Shard(b"something else")
 
 
+def test_repair_goes_on_while_pairs_are_frequent():
+    ids = np.tile(np.arange(256, dtype="<u4"), 100)  # copies of one text
+    first, rules, lengths, seq = repair_ids.compress(ids)
+    keys = seq[:-1].astype(np.int64) << 32 | seq[1:].astype(np.int64)
+    assert np.unique(keys, return_counts=True)[1].max() < repair_ids.LEAST and lengths.max() > 100
+    assert np.array_equal(repair_ids.Shard(repair_ids.pack([1], [ids])).ids(), ids)
+
+
 def test_words_as_the_library_gives_them():
     import random
 
