@@ -41,17 +41,49 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[sc.applicationId]
 
 
+#: Shuffle files of a materialised plan go when it is written: nothing reads them again.
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(writer, spark: SparkSession, path: str) -> None:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back: it is computed once, and a lost
     executor costs no recomputation of what stands before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    _write(df.write.option("compression", codec), spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_scratch"] = path
     return out
 
 
+def materialise_kinds(df: DataFrame, what: str, column: str, kinds: tuple[int, ...], codec: str = "snappy") -> list[DataFrame]:
+    """Materialise the rows of each kind (a value of an integer column) apart, so each can be discarded by itself; the column is left out."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _write(df.write.partitionBy(column).option("compression", codec), spark, path)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    schema, out = df.drop(column).schema, []
+    for kind in kinds:
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={kind}")
+        place.getFileSystem(conf).mkdirs(place)  # no rows of this kind, no folder
+        found = spark.read.schema(schema).parquet(f"{path}/{column}={kind}")
+        found.__dict__["_scratch"] = f"{path}/{column}={kind}"
+        out.append(found)
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised DataFrames that nothing will read again."""
     for df in frames:

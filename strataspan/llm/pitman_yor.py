@@ -1,28 +1,27 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 10).
 
-Restaurants: a word's context is the word before it together with the last of a few very frequent words (anchors) before it in
-the text, at any distance. There is a restaurant for every such pair in the training text, however many there are. Its parent is
-the restaurant of the anchor alone; each anchor's restaurant has the restaurant of its group as parent (anchors that lead to the same anchors, which tells
-languages apart), all groups share the restaurant of single words, and below lies the uniform distribution over the words seen in
-training and one more for all others. Seating is by numbers of tables: given the parent's probabilities, the number
-of tables of a dish with c customers has probability in proportion to S(c, t) x (strength + discount T)(...) x P^t, S being
-generalised Stirling numbers. Gibbs sweeps draw it for every dish and restaurant, level by level; dishes with more
-than CAP customers are seated by a sequential draw in growing steps. All seating of one word is in one place: only the
-totals of restaurants (some hundred numbers) tie words together, and they are brought up to date between
-passes. The restaurants of word pairs are drawn in the same sweeps; the tables of other dishes there are those of the first seating, as
-these restaurants are too many to gather between passes. Their totals are then added up where the restaurant is, after the last
-pass. Predictive probabilities are averaged over several samples, each with the exact totals of its own seating, so each is
-a distribution.
-
-Nothing is sent row by row. A task counts its own words and sends one blob to each bucket of the hash space. The probabilities of the
-TOP most frequent words in all contexts are a table of bounded size that scoring looks up; the other tokens go in blobs to their bucket. All tokens then go, with their probability under the anchor alone, to the
-bucket of their word pair, and sums by document come back to the slice they came from. Pairs are dealt out by restaurant; those after an anchor
-or at the start of a text (v below 64) by restaurant and word, since their totals are few enough to be sent to all.
-
-A word is the upper 58 bits of its hash.
-
-Defined results: a null or empty text is the end token alone; a null doc_id is not held out; without training texts N = 0 and
-all tokens are unknown; repeated rows count repeatedly.
+Restaurants: every word that comes before another is a context with a restaurant of its own, however many there are; its dishes are
+the words that follow it. All of them share the restaurant of single words as parent, which has the uniform distribution over the
+words seen in training, and one more for all others, below it. The first word of a text follows the end of a text.
+
+Seating is by Gibbs sampling from the seating before it: customers leave a dish (a table goes with the last of its customers, and
+then its customer in the parent leaves too) and come back, to an old table or a new one by the parent's probability. Of the
+seating of a dish only its numbers of customers and tables are kept; that a leaving customer sat alone has probability
+S(c-1, t-1) / S(c, t), S being generalised Stirling numbers: exact up to CAP customers, by their saddle point beyond (2 % off at most). In a
+sweep each customer of a dish leaves and comes back once; where a dish has more than STEPS customers, a STEPS-th of them at a time.
+The chain starts with one table a dish. After BURN passes, SAMPLES seatings are taken, one a pass, and the predictive probabilities averaged over them.
+
+Where it runs: pairs of words are dealt out by their hash, so a frequent word's pairs are everywhere and no task holds more than its share. The
+totals that tie pairs together (tables of a context, customers and tables of a word) are kept by word, and brought up to date between passes: within a
+pass every dish sees the others as they were at its start, and itself as it is. The word's own seating is drawn where its totals are.
+Pairs that occur once have one table for good and only count in those totals. Nothing is sent row by row: a task counts the pairs of a slice of texts and
+sends one blob to each bucket of pairs; the answers come back in the order of the slice's pairs, so that they need no keys.
+
+The number of buckets follows from the bytes of text, and the seeds from pass and bucket: scores depend on the rows alone, not on how they
+or the shuffles are partitioned.
+
+Defined results: a null or empty text is the end token alone; very long texts are one slice of their own; a null doc_id is not held out; without
+training texts N = 0 and all tokens are unknown; an empty table has no scores; repeated rows count repeatedly; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -34,650 +33,485 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import discard, materialise, shuffle_partitions, table
+from strataspan.llm.common import discard, materialise, materialise_kinds, table
 from strataspan.llm.shingles import batches, mix, word_hashes
 
-ANCHORS, GROUPS, TOP = 63, 8, 50_000
-PASSES, SWEEPS, SAMPLES, CAP = 3, 3, 3, 24
-STRENGTH = 5.0
-LOW = np.uint64(63)
-END = np.uint64(0xE5D1_0F7E_57A1_2C40)  # the end token's word
-MERGE = 3_000_000
+BURN, SAMPLES = 6, 4
+STEPS, CAP = 32, 256
+STRENGTH = 1.0
+END = np.uint64(0xE5D1_0F7E_57A1_2C43)  # the end token's word
+#: Text in a bucket of pairs, and tokens in a slice.
+BUCKET_BYTES, SLICE = 12 << 20, 1 << 20
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(word of every token with an end after each text, bounds of the texts)."""
+    """(word of every token with an end after each text, tokens of each text)."""
     h, bounds = word_hashes(texts)
-    return np.insert(h & ~LOW, bounds[1:], END), bounds + np.arange(len(bounds))
-
-
-def contexts(h: np.ndarray, bounds: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """For every token 1 + the number of the last anchor before it in its text, or 0. anchors ascend."""
-    if not len(anchors):
-        return np.zeros(len(h), np.uint8)
-    at = np.searchsorted(anchors, h)
-    at[at == len(anchors)] = 0
-    found = anchors[at] == h
-    last = np.maximum.accumulate(np.where(found, np.arange(1, len(h) + 1), 0))
-    before = np.concatenate([[0], last[:-1]])
-    first = np.repeat(bounds[:-1], np.diff(bounds))
-    return np.where(before > first, at[before - 1] + 1, 0).astype(np.uint8)
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    if not len(k):
-        return k, c
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
-
-
-def _bucket_edges(n: int) -> np.ndarray:
-    return np.array([(b << 64) // n for b in range(n)], dtype=np.uint64)
-
-
-def find_anchors(docs: DataFrame, count: int = ANCHORS) -> np.ndarray:
-    """The most frequent words, from words that make up at least one in 5,000 tokens of some slice of some 2 MB."""
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches_:
-            texts = batch.column(0).to_pylist()
-            for part in batches(texts):
-                h, _ = tokens(texts[part])
-                w, c = np.unique(h, return_counts=True)
-                often = (c >= len(h) / 5000) & (w != END)
-                for a, b in zip(w[often].view(np.int64).tolist(), c[often].tolist(), strict=True):
-                    total[a] = total.get(a, 0) + b
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["w", "c"])
-
-    top = docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(count)
-    return np.sort(np.array([r.w for r in top.collect()], dtype=np.int64).view(np.uint64))
-
-
-CELLS = "bucket int, n_tokens long, n_types long, cells binary, totals binary, multi binary, links binary, histogram binary, ones binary"
-_PAIR = np.dtype([("v", "<u8"), ("k", "<u8"), ("c", "<u4"), ("t", "<u4")])  # t: tables of the cell, or of its whole restaurant
-
-
-def restaurants(h: np.ndarray, ctx: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """The restaurant of every token: its context's number after an anchor or an end, else a hash of the word before and the context."""
-    before = np.concatenate([[END], h[:-1]]).astype(np.uint64)
-    wide = ctx.astype(np.uint64)
-    return np.where((before == END) | np.isin(before, anchors), wide, mix(before ^ mix(wide + np.uint64(1))) | np.uint64(64))
-
-
-def _place(v: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each pair."""
-    at = np.where(v < 64, mix(v ^ mix(k & ~LOW)), v)
-    return np.searchsorted(_bucket_edges(buckets), at, "right") - 1
-
-
-def _deal(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(buckets that have rows, their rows): rows keep their order."""
-    order = np.argsort(bucket, kind="stable")
-    full, first = np.unique(bucket[order], return_index=True)
-    cut = [*first.tolist(), len(rows)]
-    rows = rows[order]
-    return full, [rows[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
-
-
-def _merge_pairs(rows: np.ndarray) -> np.ndarray:
-    """Sorted by (v, k), with the counts of equal ones added up."""
-    rows = rows[np.lexsort((rows["k"], rows["v"]))]
-    if not len(rows):
-        return rows
-    first = np.flatnonzero(np.concatenate([[True], (rows["k"][1:] != rows["k"][:-1]) | (rows["v"][1:] != rows["v"][:-1])]))
-    out = rows[first]
-    out["c"] = np.add.reduceat(rows["c"], first)
+    return np.insert(h, bounds[1:], END), np.diff(bounds) + 1
+
+
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each pair; its upper bits deal pairs out."""
+    return mix(context ^ mix(word + np.uint64(0x51ED_270B)))
+
+
+# -- blobs -------------------------------------------------------------------------------------------------------------
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as bytes: the bytes of each place together, then zstd. Ascending arrays of 64 bits are stored as differences."""
+    codec, out = pa.Codec("zstd", 1), []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        rises = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        body = np.concatenate([a[:1], np.diff(a)]) if rises else a
+        body = codec.compress(body.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), asbytes=True) if len(a) else b""
+        out.append(np.array([len(a), len(body), rises], "<i8").tobytes() + a.dtype.str.encode() + body)
+    return b"".join(out)
+
+
+def unsqueeze(blob: bytes) -> list[np.ndarray]:
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(blob):
+        n, size, rises = np.frombuffer(blob, "<i8", 3, at).tolist()
+        kind = np.dtype(blob[at + 24 : at + 27].decode())
+        at += 27
+        if n:
+            raw = codec.decompress(blob[at : at + size], n * kind.itemsize, asbytes=True)
+            a = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
+            out.append(np.cumsum(a, dtype=np.uint64) if rises else a)
+        else:
+            out.append(np.zeros(0, kind))
+        at += size
     return out
 
 
-def _by_restaurant(v: np.ndarray, x: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The sum of x over each row's restaurant; v ascends. Those below 64 are spread over buckets: their sums are given."""
-    if not len(v):
-        return np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    total = np.repeat(np.add.reduceat(x.astype(np.int64), first), np.diff(np.append(first, len(v))))
-    few = v < 64
-    total[few] = hot[v[few].astype(np.int64)]
-    return total
-
-
-def _hot(v: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.bincount(v[v < 64].astype(np.int64), x[v < 64], 64).astype("<i8")
-
-
-def count_pairs(docs: DataFrame, anchors: np.ndarray, buckets: int) -> DataFrame:
-    """A row for each bucket of restaurants: its pairs with counts and first tables, and the sums of those spread over buckets."""
-
-    def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-
-        def send():
-            rows = _merge_pairs(np.concatenate(parts))
-            full, blobs = _deal(_place(rows["v"], rows["k"], buckets), rows)
-            return pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "pairs"])
-
-        for batch in batches_:
-            texts = batch.column(0).to_pylist()
-            for part in batches(texts):
-                h, bounds = tokens(texts[part])
-                ctx = contexts(h, bounds, anchors)
-                rows = np.zeros(len(h), _PAIR)
-                rows["v"], rows["k"], rows["c"] = restaurants(h, ctx, anchors), h | ctx, 1
-                parts.append(rows)
-                held += len(rows)
-                if held > MERGE:
-                    yield send()
-                    parts, held = [], 0
-        if parts:
-            yield send()
-
-    def reduce(rows: pa.Table) -> pa.Table:
-        r = _merge_pairs(np.concatenate([np.frombuffer(b, _PAIR) for b in rows.column("pairs").to_pylist()]))
-        r["t"] = np.minimum(r["c"], np.maximum(1, r["c"] ** 0.75))
-        ones = np.array([(r["c"] == 1).sum(), (r["c"] == 2).sum()], "<i8")
-        sums = np.concatenate([ones, _hot(r["v"], r["c"]), _hot(r["v"], r["t"])])
-        return pa.table([pa.array([rows.column("bucket")[0].as_py()], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["bucket", "pairs", "sums"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, pairs binary")
-    return materialise(rows.groupBy("bucket").applyInArrow(reduce, "bucket int, pairs binary, sums binary"), "lm-pairs", "zstd")
-
-
-_CELL = np.dtype([("k", "<u8"), ("raw", "<u4"), ("one", "<u4")])
-
-
-def count_cells(pairs: DataFrame, anchors: np.ndarray, buckets: int, hot_t: np.ndarray) -> DataFrame:
-    """A row for each bucket of the hash space: the first tables of (word, context) in it, sorted, and the pairs of more than
-    one customer with the tables of their restaurant."""
-    edges = _bucket_edges(buckets)
-    by_word = lambda k: np.searchsorted(edges, k, "right") - 1
-
-    def spread(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            for blob in batch.column(0).to_pylist():
-                r = np.frombuffer(blob, _PAIR)
-                k, at = np.unique(r["k"], return_inverse=True)
-                cells = np.zeros(len(k), _CELL)
-                cells["k"], cells["raw"], cells["one"] = k, np.bincount(at, r["c"], len(k)), np.bincount(at, r["c"] == 1, len(k))
-                whole = _by_restaurant(r["v"], r["t"], hot_t)
-                more = np.flatnonzero(r["c"] > 1)
-                multi = r[more].copy()
-                multi["t"] = np.minimum(whole[more], 2**32 - 1)
-                for name, bucket, rows in (("cells", by_word(k), cells), ("multi", by_word(multi["k"]), multi)):
-                    full, blobs = _deal(bucket, rows)
-                    none = pa.nulls(len(full), pa.binary())
-                    blobs = pa.array(blobs, pa.binary())
-                    yield pa.record_batch([pa.array(full, pa.int32()), blobs if name == "cells" else none, blobs if name == "multi" else none], names=["bucket", "cells", "multi"])
-
-    def reduce(rows: pa.Table) -> pa.Table:
-        parts = np.concatenate([np.frombuffer(b, _CELL) for b in rows.column("cells").to_pylist() if b is not None])
-        multi = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in rows.column("multi").to_pylist() if b is not None)])
-        k, at = np.unique(parts["k"], return_inverse=True)
-        raw, one_ = (np.bincount(at, parts[n], len(k)).astype(np.int64) for n in ("raw", "one"))
-        multi = multi[np.lexsort((multi["v"], multi["k"]))]
-        seats = np.minimum(multi["c"], np.maximum(1, multi["c"] ** 0.75)).astype(np.int64)
-        c = one_ + np.bincount(np.searchsorted(k, multi["k"]), seats, len(k)).astype(np.int64)
-        words, first = np.unique(k & ~LOW, return_index=True)
-        total = np.add.reduceat(raw, first)
-        links = [(int(i), k[a:b], raw[a:b]) for i, w in enumerate(anchors) for a, b in [np.searchsorted(k, [w, w + LOW + np.uint64(1)])] if b > a]
-        link_rows = np.zeros((len(links), 65), dtype="<i8")
-        for row, (i, kk, cc) in zip(link_rows, links, strict=True):
-            row[0] = i
-            row[1 + (kk & LOW).astype(np.int64)] = cc
-        ones = np.array([(c == 1).sum(), (c == 2).sum()], dtype="<i8")
-        hist = np.bincount((8 * np.log2(total)).astype(np.int64), minlength=512)[:512].astype("<i8")
-        one = lambda x, kind: pa.array([x], kind)
-        blobs = (_blob(k, c), total.astype("<i8").tobytes(), multi.tobytes(), link_rows.tobytes(), hist.tobytes(), ones.tobytes())
-        return pa.table([one(rows.column("bucket")[0].as_py(), pa.int32()), one(int(raw.sum()), pa.int64()), one(len(words), pa.int64()), *(one(x, pa.binary()) for x in blobs)], names=["bucket", "n_tokens", "n_types", "cells", "totals", "multi", "links", "histogram", "ones"])
-
-    rows = pairs.select("pairs").mapInArrow(spread, "bucket int, cells binary, multi binary")
-    return materialise(rows.groupBy("bucket").applyInArrow(reduce, CELLS), "lm-cells", "zstd")
-
-
-def _blob(k: np.ndarray, c: np.ndarray) -> bytes:
-    return k.astype("<u8").tobytes() + c.astype("<u4").tobytes()
-
-
-def _cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64)
-
-
-def group_anchors(links: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """links[a, b]: how often anchor b comes in context a (0: none yet). The group of every context, by average
-    linkage of the square roots of their shares; context 0 has one of its own."""
-    n = len(links)
-    share = np.sqrt(links / np.maximum(1, links.sum(axis=1, keepdims=True)))
-    like = share @ share.T
-    members = [[i] for i in range(1, n)]
-    while len(members) > groups:
-        best, pair = -1.0, (0, 1)
-        for i in range(len(members)):
-            for j in range(i):
-                s = like[np.ix_(members[i], members[j])].mean()
-                if s > best:
-                    best, pair = s, (i, j)
-        members[pair[1]] += members.pop(pair[0])
-    out = np.zeros(64, dtype=np.int64)
-    for g, m in enumerate(members):
-        out[m] = g + 1
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as hold them all."""
+    most = int(a.max(initial=0))
+    return a.astype("|u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
+def _pack_pairs(context: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Pairs by a table of their words."""
+    words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+    return squeeze(words, _narrow(at[: len(context)]), _narrow(at[len(context) :]), *map(_narrow, counts))
+
+
+# -- seating -----------------------------------------------------------------------------------------------------------
+
+
+class Alone:
+    """P(a customer sits alone) in a dish of c customers at t tables, for one discount."""
+
+    def __init__(self, discount: float, cap: int = CAP):
+        self.d, self.cap = discount, cap
+        log = np.full((cap + 1, cap + 1), -np.inf)  # log S(c, t)
+        log[0, 0] = 0.0
+        for c in range(1, cap + 1):
+            stay, weight = np.full(cap + 1, -np.inf), (c - 1) - discount * np.arange(cap + 1)
+            ok = weight > 0
+            stay[ok] = np.log(weight[ok]) + log[c - 1][ok]
+            log[c] = np.logaddexp(stay, np.concatenate([[-np.inf], log[c - 1][:-1]]))
+        self.exact = np.zeros((cap + 1, cap + 1))
+        with np.errstate(invalid="ignore"):
+            ratio = np.exp(log[:-1, :-1] - log[1:, 1:])
+        self.exact[1:, 1:] = np.where(np.isfinite(ratio), ratio, 0.0)
+        left = np.geomspace(1 - 1e-7, 1e-18, 4000)  # 1 - x at the saddle point x of ((1 - (1 - x)^d) / d)^t
+        g = 1 - left**discount
+        self.y, self.h = np.log((1 - left) * discount * left ** (discount - 1) / g), (1 - left) / g
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = self.exact[np.minimum(c, self.cap), np.minimum(t, self.cap)]
+        big = np.flatnonzero(c > self.cap)
+        if len(big):
+            n, k = c[big] - 1.0, np.maximum(t[big] - 1.0, 0)
+            part = self.d * k / n * np.interp(np.log(n / np.maximum(k, 0.5)), self.y, self.h)
+            out[big] = np.where(k >= n, 1.0, np.minimum(part, 1.0))
+        return out
+
+
+def _draw(n: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Binomial draws; a uniform one each where n is 1."""
+    out = (rng.random(len(n)) < p).astype(np.int64)
+    many = np.flatnonzero(n != 1)
+    if len(many):
+        out[many] = rng.binomial(n[many], np.clip(p[many], 0, 1))
     return out
 
 
-def log_stirling(discount: float, cap: int = CAP) -> np.ndarray:
-    """log of the generalised Stirling numbers S(c, t) with this discount, for c and t up to cap."""
-    out = np.full((cap + 1, cap + 1), -np.inf)
-    out[0, 0] = 0.0
-    for c in range(1, cap + 1):
-        stay = np.full(cap + 1, -np.inf)
-        weight = (c - 1) - discount * np.arange(cap + 1)
-        ok = weight > 0
-        stay[ok] = np.log(weight[ok]) + out[c - 1][ok]
-        new = np.concatenate([[-np.inf], out[c - 1][:-1]])
-        out[c] = np.logaddexp(stay, new)
-    return out
+class Level:
+    """The seating of dishes: c customers at t tables each."""
+
+    def __init__(self, discount: float, strength: float = STRENGTH):
+        self.d, self.strength, self.alone = discount, strength, Alone(discount)
+
+    def leave(self, c: np.ndarray, t: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables that go when k of c customers leave."""
+        most = np.where(k < c, t - 1, t)
+        return np.where(k < c, np.minimum(_draw(k, self.alone(c, t), rng), most), most)
+
+    def join(self, c: np.ndarray, t: np.ndarray, k: np.ndarray, tables: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables that k customers open who join c at t, with so many tables in the restaurant and the parent's probability p."""
+        fresh = (self.strength + self.d * tables) * p
+        first = (c == 0) & (k > 0)
+        rest = k - first
+        born = _draw(rest, fresh / np.maximum(fresh + np.where(first, 1.0 - self.d, c - self.d * t), 1e-300), rng)
+        return np.where(rest > 0, born, 0) + first
+
+    def resize(self, old: np.ndarray, t: np.ndarray, new: np.ndarray, tables: float, p: float, rng: np.random.Generator) -> np.ndarray:
+        """The tables after customers came or left one after another (a STEPS-th at a time in large dishes)."""
+        c, t = old.copy(), t.copy()
+        while True:
+            at = np.flatnonzero(c > new)
+            if not len(at):
+                break
+            k = np.minimum(c[at] - new[at], np.maximum(1, c[at] // STEPS))
+            t[at] -= self.leave(c[at], t[at], k, rng)
+            c[at] -= k
+        while True:
+            at = np.flatnonzero(c < new)
+            if not len(at):
+                break
+            k = np.minimum(new[at] - c[at], np.maximum(1, c[at] // STEPS))
+            t[at] += self.join(c[at], t[at], k, tables, np.full(len(at), p), rng)
+            c[at] += k
+        return t
+
+
+def turns(c: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(dishes, customers of each) that leave and come back together: every customer once, the dishes of a few at scattered times."""
+    at = rng.integers(0, STEPS, len(c))
+    for r in range(STEPS):
+        k = ((r + 1 + at) * c) // STEPS - ((r + at) * c) // STEPS
+        who = np.flatnonzero(k)
+        if len(who):
+            yield who, k[who]
+
+
+def sweep_pairs(c, t, tables, word_c, word_t, level: Level, parent: Level, totals: tuple[int, int], base: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes after a sweep. tables: of the dish's restaurant; word_c, word_t: customers and tables of its word in the
+    parent, whose customers and tables in all are `totals`; base: the probability below the parent."""
+    t, tables, word_c, word_t = (np.array(a, dtype=np.int64) for a in (t, tables, word_c, word_t))
+    root = (parent.strength + parent.d * totals[1]) * base
+    for who, k in turns(c, rng):
+        n, now = c[who], t[who]
+        gone = level.leave(n, now, k, rng)
+        wc, wt = word_c[who], word_t[who]
+        wt = wt - np.where(gone > 0, parent.leave(wc, wt, np.minimum(gone, wc), rng), 0)
+        wc, now, there = wc - gone, now - gone, tables[who] - gone
+        p = (wc - parent.d * wt + root) / (parent.strength + totals[0] - gone)
+        born = level.join(n - k, now, k, there, p, rng)
+        wt = wt + np.where(born > 0, parent.join(wc, wt, born, np.full(len(who), totals[1]), np.full(len(who), base), rng), 0)
+        t[who], tables[who], word_c[who], word_t[who] = now + born, there + born, wc + born, wt
+    return t
 
 
-def draw_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
-    """Numbers of tables for c customers of a dish with parent probability p, in restaurants with `others` tables of other dishes."""
-    t = np.minimum(c, 1).astype(np.int64)
-    for n in range(2, CAP + 1):
-        at = np.flatnonzero(c == n)
-        if not len(at):
-            continue
-        k = np.arange(1, n + 1)
-        grow = np.cumsum(np.log(STRENGTH + discount * (others[at, None] + k - 1)), axis=1)
-        logit = stirling[n, 1 : n + 1] + k * np.log(p[at, None]) + grow
-        weight = np.exp(logit - logit.max(axis=1, keepdims=True)).cumsum(axis=1)
-        t[at] = 1 + (rng.random(len(at))[:, None] * weight[:, -1:] > weight).sum(axis=1)
-    at = np.flatnonzero(c > CAP)
-    if len(at):
-        left, seated, tables = c[at] - 1, np.ones(len(at)), np.ones(len(at))
-        while (left > 0).any():
-            step = np.minimum(left, np.maximum(1, seated // 8).astype(np.int64))
-            fresh = (STRENGTH + discount * (others[at] + tables)) * p[at]
-            tables += rng.binomial(step, np.clip(fresh / (fresh + np.maximum(seated - discount * tables, 1e-9)), 0, 1))
-            seated += step
-            left = left - step
-        t[at] = tables.astype(np.int64)
+def sweep_words(c: np.ndarray, t: np.ndarray, tables: int, parent: Level, base: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words in the parent after a sweep; `tables` of them in all."""
+    t = t.copy()
+    for who, k in turns(c, rng):
+        gone = parent.leave(c[who], t[who], k, rng)
+        now = t[who] - gone
+        t[who] = now + parent.join(c[who] - k, now, k, tables - gone, np.full(len(who), base), rng)
     return t
 
 
-class Totals:
-    """Customers and tables of all restaurants, and the discounts: pairs (4), contexts (3), groups (2), words (1)."""
-
-    def __init__(self, c3: np.ndarray, groups: np.ndarray, types: int):
-        self.group, self.types, n = groups, types, int(groups.max()) + 1
-        self.c3, self.d4, self.d3, self.d2, self.d1 = c3, 0.75, 0.75, 0.75, 0.75
-        self.t3 = np.maximum(c3 // 2, 0).astype(np.float64)
-        self.c2 = np.bincount(groups, self.t3, n)
-        self.t2 = self.c2 / 2
-        self.c1, self.t1 = self.t2.sum(), float(types)
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([self.c3, self.t3, self.c2, self.t2, [self.c1, self.t1]])
-
-
-class Words:
-    """The words of a bucket and their seating."""
-
-    def __init__(self, blob: bytes, totals: Totals, multi: bytes = b""):
-        self.k, self.c3 = _cells(blob)
-        self.multi = np.frombuffer(multi, _PAIR)
-        self.cell, self.c4 = np.searchsorted(self.k, self.multi["k"]), self.multi["c"].astype(np.int64)
-        self.t4 = np.minimum(self.c4, np.maximum(1, self.multi["c"] ** 0.75)).astype(np.int64)
-        self.h, self.word = np.unique(self.k & ~LOW, return_inverse=True)
-        self.ctx = (self.k & LOW).astype(np.int64)
-        self.totals = totals
-        n = int(totals.group.max()) + 1
-        pair, self.pair = np.unique(self.word * n + totals.group[self.ctx], return_inverse=True)
-        self.pair_word, self.pair_group = pair // n, pair % n
-        self.total = np.bincount(self.word, self.c3, len(self.h)).astype(np.int64)
-
-    def samples(self, seed: int, sweeps: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(t3, c2, t2, c1, t1) after `sweeps` sweeps, and after each of count - 1 more."""
-        z, rng = self.totals, np.random.Generator(np.random.PCG64(seed))
-        s4, s3, s2, s1 = (log_stirling(d) for d in (z.d4, z.d3, z.d2, z.d1))
-        single = self.c3 - np.bincount(self.cell, self.t4, len(self.k)).astype(np.int64)
-        u = 1 / (z.types + 1)
-        t3 = np.minimum(self.c3, np.maximum(1, self.c3**z.d3)).astype(np.int64)
-        c2 = np.bincount(self.pair, t3, len(self.pair_word)).astype(np.int64)
-        t2 = np.minimum(c2, np.maximum(1, c2**z.d2)).astype(np.int64)
-        c1 = np.bincount(self.pair_word, t2, len(self.h)).astype(np.int64)
-        t1 = np.minimum(c1, 1)
-        for sweep in range(sweeps + count - 1):
-            p1 = (c1 - z.d1 * t1 + (STRENGTH + z.d1 * z.t1) * u) / (STRENGTH + z.c1)
-            g, w = self.pair_group, self.pair_word
-            p2 = (c2 - z.d2 * t2 + (STRENGTH + z.d2 * z.t2[g]) * p1[w]) / (STRENGTH + z.c2[g])
-            if len(self.c4):
-                p3 = (self.c3 - z.d3 * t3 + (STRENGTH + z.d3 * z.t3[self.ctx]) * p2[self.pair]) / (STRENGTH + z.c3[self.ctx])
-                self.t4 = draw_tables(self.c4, p3[self.cell], np.maximum(self.multi["t"] - self.t4, 0), z.d4, rng, s4)
-                self.c3 = single + np.bincount(self.cell, self.t4, len(self.k)).astype(np.int64)
-            t3 = draw_tables(self.c3, p2[self.pair], np.maximum(z.t3[self.ctx] - t3, 0), z.d3, rng, s3)
-            c2 = np.bincount(self.pair, t3, len(w)).astype(np.int64)
-            t2 = draw_tables(c2, p1[w], np.maximum(z.t2[g] - t2, 0), z.d2, rng, s2)
-            c1 = np.bincount(w, t2, len(self.h)).astype(np.int64)
-            t1 = draw_tables(c1, np.full(len(c1), u), np.maximum(z.t1 - t1, 0), z.d1, rng, s1)
-            if sweep >= sweeps - 1:
-                yield t3, c2, t2, c1, t1
-
-    def sums(self, state: tuple) -> np.ndarray:
-        """This bucket's part of t3, c2, t2, c1, t1 of the counts of ones and twos of levels 2, 1 and 3, and of c3."""
-        t3, c2, t2, c1, t1 = state
-        n = int(self.totals.group.max()) + 1
-        return np.concatenate([np.bincount(self.ctx, t3, 64), np.bincount(self.pair_group, c2, n), np.bincount(self.pair_group, t2, n), [c1.sum(), t1.sum(), (c2 == 1).sum(), (c2 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), (self.c3 == 1).sum(), (self.c3 == 2).sum()], np.bincount(self.ctx, self.c3, 64)]).astype(np.float64)
-
-    def probabilities(self, states: list[tuple], exact: list[Totals]) -> tuple[np.ndarray, np.ndarray]:
-        """(mean probability of each word in each group's contexts before their own counts, mean of each cell's own part), both for
-        contexts: probability = own + back."""
-        back = np.zeros((len(self.h), 64))
-        own = np.zeros(len(self.k))
-        for (t3, c2, t2, c1, t1), z in zip(states, exact, strict=True):
-            p1 = (c1 - z.d1 * t1 + (STRENGTH + z.d1 * z.t1) / (z.types + 1)) / (STRENGTH + z.c1)
-            p2 = p1[:, None] * ((STRENGTH + z.d2 * z.t2) / (STRENGTH + z.c2))[None, :]
-            p2[self.pair_word, self.pair_group] += (c2 - z.d2 * t2) / (STRENGTH + z.c2[self.pair_group])
-            back += p2[:, z.group] * ((STRENGTH + z.d3 * z.t3) / (STRENGTH + z.c3))[None, :]
-            own += (self.c3 - z.d3 * t3) / (STRENGTH + z.c3[self.ctx])
-        return back / len(states), own / len(states)
-
-
-def unknown(exact: list[Totals]) -> np.ndarray:
-    """Mean probability of a word not seen in training, for each context."""
-    p = [(STRENGTH + z.d1 * z.t1) / (z.types + 1) / (STRENGTH + z.c1) * ((STRENGTH + z.d2 * z.t2) / (STRENGTH + z.c2))[z.group] * (STRENGTH + z.d3 * z.t3) / (STRENGTH + z.c3) for z in exact]
-    return np.mean(p, axis=0)
-
-
-def _discount(ones: float, twos: float) -> float:
-    return float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
-
-
-def _with(z: Totals, s: np.ndarray, learn: bool) -> Totals:
-    n = len(z.c2)
-    out = Totals(s[-64:], z.group, z.types)
-    out.t3, out.c2, out.t2 = s[:64], s[64 : 64 + n], s[64 + n : 64 + 2 * n]
-    out.c1, out.t1, a2, b2, a1, b1, a3, b3 = s[64 + 2 * n : -64]
-    out.d4, out.d3, out.d2, out.d1 = z.d4, z.d3, z.d2, z.d1
-    if learn:  # of the counts of ones and twos, as in absolute discounting
-        out.d3, out.d2, out.d1 = (_discount(a, b) for a, b in ((a3, b3), (a2, b2), (a1, b1)))
-    return out
-
+def discount(ones: float, twos: float) -> float:
+    """As in absolute discounting, of the numbers of dishes with one and two customers."""
+    return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
 
-def _pass(cells: DataFrame, z: Totals, number: int, count: int) -> np.ndarray:
-    """Sums of `count` samples over all buckets. Pairs are drawn too if cells has them."""
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches_:
-            for bucket, blob, multi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = Words(blob, z, multi)
-                total = total + np.stack([words.sums(s) for s in words.samples(1000 * bucket + number, SWEEPS, count)])
-        if not isinstance(total, int):
-            yield pa.record_batch([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["s"])
+# -- slices and counts -------------------------------------------------------------------------------------------------
 
-    rows = [np.frombuffer(r.s, "<f8") for r in cells.select("bucket", "cells", "multi").mapInArrow(run, "s binary").collect()]  # some KB for each task
-    return np.sum(rows, axis=0).reshape(count, -1)
+ROWS = "kind int, src long, bucket int, data binary, doc_id array<long>, held_out array<boolean>"
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
 
-def seat_pairs(cells: DataFrame, pairs: DataFrame, z: Totals, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(cells with the tables of a last draw of the pairs and no pairs any more, the restaurants: pairs with customers and tables)."""
+def _slice_rows(src: int, bits: int, ids: list, held: list[bool], words: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """A head (kind 0: the pair of every token) and a row for each bucket (kind 1: pairs, how often in training)."""
+    before = np.concatenate([[END], words[:-1]]).astype(np.uint64)
+    keys = pair_keys(before, words)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    cut = np.flatnonzero(new)
+    which = np.empty(len(keys), np.uint32)
+    which[order] = (np.cumsum(new) - 1).astype(np.uint32)
+    count = np.add.reduceat((~np.repeat(np.array(held, bool), sizes))[order].astype(np.int64), cut)
+    context, word, bucket = before[order[cut]], words[order[cut]], ordered[cut] >> np.uint64(64 - bits) if bits else np.zeros(len(cut), np.uint64)
+    stops = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(cut))
+    blobs = [_pack_pairs(context[a:b], word[a:b], count[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    n = len(blobs)
+    cols = ([0] + [1] * n, [src] * (n + 1), [None, *bucket[stops[:-1]].astype(np.int64).tolist()], [squeeze(sizes.astype("<i8"), which), *blobs], [ids] + [None] * n, [held] + [None] * n)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=["kind", "src", "bucket", "data", "doc_id", "held_out"])
 
-    def draw(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            for bucket, blob, totals, multi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = Words(blob, z, multi)
-                for _ in words.samples(1000 * bucket + PASSES, SWEEPS, 1):
-                    pass
-                drawn = words.multi.copy()
-                drawn["t"] = words.t4
-                full, blobs = _deal(_place(drawn["v"], drawn["k"], buckets), drawn)
-                n = len(full)
-                cols = [pa.array([bucket] + [None] * n, pa.int32()), pa.array([_blob(words.k, words.c3)] + [None] * n, pa.binary()), pa.array([totals] + [None] * n, pa.binary()), pa.array([b""] + [None] * n, pa.binary())]
-                yield pa.record_batch([*cols, pa.array([None, *full.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["bucket", "cells", "totals", "multi", "to", "drawn"])
-
-    def gather(pairs_: pa.Table, drawn_: pa.Table) -> pa.Table:
-        r = np.frombuffer(pairs_.column("pairs")[0].as_py(), _PAIR).copy()
-        drawn = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in drawn_.column("drawn").to_pylist())])
-        r["t"][r["c"] > 1] = drawn["t"][np.lexsort((drawn["k"], drawn["v"]))]
-        return pa.table([pa.array([pairs_.column("bucket")[0].as_py()], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([_hot(r["v"], r["t"]).tobytes()], pa.binary())], names=["bucket", "pairs", "hot"])
-
-    seated = cells.select("bucket", "cells", "totals", "multi").mapInArrow(draw, "bucket int, cells binary, totals binary, multi binary, to int, drawn binary")
-    seated = materialise(seated, "lm-seated", "zstd")
-    drawn = seated.where("to is not null").select("to", "drawn").groupBy("to")
-    places = pairs.select("bucket", "pairs").groupBy("bucket").cogroup(drawn).applyInArrow(gather, "bucket int, pairs binary, hot binary")
-    return seated.where("to is null").select("bucket", "cells", "totals", "multi"), materialise(places, "lm-restaurants", "zstd")
-
-
-class Model:
-    """What scoring needs besides the buckets: all of bounded size."""
-
-    def __init__(self, anchors, exact, n_tokens, n_types, buckets, base, top_words, top_count, top_logs):
-        self.anchors, self.exact, self.n_tokens, self.n_types, self.buckets, self.base = anchors, exact, n_tokens, n_types, buckets, base
-        order = np.argsort(-top_count, kind="stable")
-        slot = top_words[order] >> np.uint64(64 - 19)
-        _, alone = np.unique(slot, return_index=True)  # a word whose slot is taken by a more frequent one is scored in its bucket
-        keep = order[np.sort(alone)]
-        self.words, self.count, self.logs = top_words[keep], top_count[keep], top_logs[keep]
-        self.slots = np.zeros(1 << 19, dtype=np.int32)
-        self.slots[self.words >> np.uint64(64 - 19)] = np.arange(len(keep))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "places"}
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of the top table, whether the word is there)."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        row = self.slots[h >> np.uint64(64 - 19)]
-        return row, self.words[row] == h
-
-
-def train(docs: DataFrame, top: int = TOP) -> tuple[Model, DataFrame]:
-    """Learn from docs (text). The model, and the cells of all buckets."""
-    spark = docs.sparkSession
-    anchors = find_anchors(docs)
-    buckets = 2 * shuffle_partitions(spark)
-    pairs = count_pairs(docs, anchors, buckets)
-    sums = np.sum([np.frombuffer(r.sums, "<i8") for r in pairs.select("sums").collect()] or [np.zeros(130, np.int64)], axis=0)  # 1 KB for each bucket
-    cells = count_cells(pairs, anchors, buckets, sums[66:])
-    facts = cells.select("n_tokens", "n_types", "histogram", "ones").collect()  # some KB for each bucket
-    n_tokens, n_types = sum(r.n_tokens for r in facts), sum(r.n_types for r in facts)
-    links = np.zeros((64, 64))
-    for r in cells.where(F.length("links") > 0).select("links").collect():  # a row of 64 counts for each anchor
-        for row in np.frombuffer(r.links, "<i8").reshape(-1, 65):
-            links[:, 1 + row[0]] += row[1:]
-    groups = group_anchors(links[: len(anchors) + 1])
-    c3 = _context_totals(cells)
-    z = Totals(c3, groups, n_types)
-    ones = np.sum([np.frombuffer(r.ones, "<i8") for r in facts] or [np.zeros(2)], axis=0)
-    z.d4, z.d3 = _discount(sums[0], sums[1]), _discount(ones[0], ones[1])
-    if not n_tokens:
-        z.t1 = 0.0
-        none = np.zeros(0, np.uint64)
-        model = Model(anchors, [z], 0, 0, buckets, z, none, np.zeros(0, np.int64), np.zeros((0, 64), np.float32))
-        model.places, model.hot_c, model.hot_t = pairs, sums[2:66], sums[66:]
-        return model, cells
-    for number in range(PASSES):
-        z = _with(z, _pass(cells, z, number, 1)[0], learn=True)
-    cells, places = seat_pairs(cells, pairs, z, buckets)
-    discard(pairs)
-    hot_t = np.sum([np.frombuffer(r.hot, "<i8") for r in places.select("hot").collect()], axis=0)  # 512 bytes for each bucket
-    exact = [_with(z, s, learn=False) for s in _pass(cells, z, PASSES, SAMPLES)]
-    histogram = np.sum([np.frombuffer(r.histogram, "<i8") for r in facts], axis=0)
-    above = np.cumsum(histogram[::-1])[::-1]
-    least = 2 ** (np.argmax(above <= top) / 8)
 
-    def frequent(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            for bucket, blob, totals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, count = Words(blob, z), np.frombuffer(totals, "<i8")
-                often = np.flatnonzero(count >= least)
-                if len(often):
-                    back, own = words.probabilities(list(words.samples(1000 * bucket + PASSES, SWEEPS, SAMPLES)), exact)
-                    back[words.word, words.ctx] += own
-                    logs = np.log10(back[often]).astype("<f4")
-                    yield pa.record_batch([pa.array([words.h[often].tobytes()], pa.binary()), pa.array([count[often].tobytes()], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=["h", "c", "logs"])
-
-    rows = cells.select("bucket", "cells", "totals").mapInArrow(frequent, "h binary, c binary, logs binary").collect()  # at most `top` words of 272 bytes
-    join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    model = Model(anchors, exact, n_tokens, n_types, buckets, z, join("h", "<u8"), join("c", "<i8"), join("logs", "<f4").reshape(-1, 64))
-    model.places, model.hot_c, model.hot_t = places, sums[2:66], hot_t
-    return model, cells
-
-
-def _context_totals(cells: DataFrame) -> np.ndarray:
+def _slices(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(64, dtype=np.int64)
-        for batch in batches_:
-            for blob in batch.column(0).to_pylist():
-                k, c = _cells(blob)
-                total += np.bincount((k & LOW).astype(np.int64), c, 64).astype(np.int64)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    rows = cells.select("cells").mapInArrow(run, "s binary").collect()
-    return np.sum([np.frombuffer(r.s, "<i8") for r in rows] or [np.zeros(64)], axis=0).astype(np.float64)
-
-
-SLICES = "src long, bucket int, place int, data binary, doc_id array<long>, held_out array<boolean>"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_DOC = np.dtype([("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_TOKEN = np.dtype([("v", "<u8"), ("k", "<u8"), ("doc", "<u4"), ("c", "<u4"), ("log", "<f4")])
-_BACK = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
-
-
-def score(docs: DataFrame, model: Model, cells: DataFrame) -> DataFrame:
-    """The scores of docs (doc_id, text, held_out)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    edges = _bucket_edges(model.buckets)
-
-    def first(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m, number, made = shared.value, TaskContext.get().partitionId(), 0
-        log_count = np.log10(m.count + 1.0)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        names = ["src", "bucket", "place", "data", "doc_id", "held_out"]
+        number, made = TaskContext.get().partitionId(), 0
+        ids, held, words, sizes, held_tokens = [], [], [], [], 0
         for batch in batches_:
             texts = batch.column(1).to_pylist()
             for part in batches(texts):
-                h, bounds = tokens(texts[part])
-                ctx, size = contexts(h, bounds, m.anchors), np.diff(bounds)
-                row, there = m.look_up(h)
-                doc = np.repeat(np.arange(len(size), dtype=np.uint32), size)
-                out = np.zeros(len(size), _DOC)
-                out["n"], out["known"] = size, np.bincount(doc[there], minlength=len(size))
-                found = np.zeros(len(h), _TOKEN)
-                found["v"], found["k"], found["doc"] = restaurants(h, ctx, m.anchors), h | ctx, doc
-                if there.any():
-                    out["base"] = np.bincount(doc[there], log_count[row[there]], len(size))
-                    found["log"][there] = m.logs[row[there], ctx[there]]
-                src = (number << 32) + made
-                made += 1
-                rare, often = found[~there], found[there]
-                full, asked = _deal(np.searchsorted(edges, rare["k"], "right") - 1, rare)
-                near, known = _deal(_place(often["v"], often["k"], m.buckets), often)
-                n = 1 + len(full) + len(near)
-                ids, held = batch.column(0)[part].to_pylist(), batch.column(2)[part].to_pylist()
-                nothing = [None] * (n - 1)
-                cols = ([src] * n, [-1, *full.tolist(), *[None] * len(near)], [None] * (1 + len(full)) + near.tolist(), [out.tobytes(), *asked, *known], [ids, *nothing], [held, *nothing])
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    slices = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(first, SLICES)
-    slices = materialise(slices, "lm-slices", "zstd")
-    rare = slices.where("bucket >= 0").select("bucket", "src", "data")
-    often = slices.where("place is not null").select("place", "src", "data")
-
-    def second(rows: pa.Table, model_rows: pa.Table) -> pa.Table:
-        m = shared.value
-        to, src, data = [], [], []
-        lost = np.log10(unknown(m.exact))
-        model = None
-        for bucket, blob, totals in zip(*(model_rows.column(n).to_pylist() for n in ("bucket", "cells", "totals")), strict=True):
-            if rows.num_rows:
-                words = Words(blob, m.base)
-                model = words, np.frombuffer(totals, "<i8"), *words.probabilities(list(words.samples(1000 * bucket + PASSES, SWEEPS, SAMPLES)), m.exact)
-        for number, blob in zip(rows.column("src").to_pylist(), rows.column("data").to_pylist(), strict=True):
-            asked = np.frombuffer(blob, _TOKEN).copy()
-            h, ctx = asked["k"] & ~LOW, (asked["k"] & LOW).astype(np.int64)
-            asked["log"] = lost[ctx]
-            if model is not None:
-                words, count, back, own = model
-                at = np.searchsorted(words.h, h)
-                at[at == len(words.h)] = 0
-                here = words.h[at] == h
-                cell = np.searchsorted(words.k, asked["k"])
-                cell[cell == len(words.k)] = 0
-                p = back[at, ctx] + np.where(words.k[cell] == asked["k"], own[cell], 0.0)
-                asked["log"], asked["c"] = np.where(here, np.log10(p), lost[ctx]), np.where(here, np.minimum(count[at], 2**32 - 1), 0)
-            full, blobs = _deal(_place(asked["v"], asked["k"], m.buckets), asked)
-            to += full.tolist()
-            src += [number] * len(full)
-            data += blobs
-        return pa.table([pa.array(to, pa.int32()), pa.array(src, pa.int64()), pa.array(data, pa.binary())], names=["place", "src", "data"])
-
-    answered = rare.groupBy("bucket").cogroup(cells.select("bucket", "cells", "totals").groupBy("bucket")).applyInArrow(second, "place int, src long, data binary")
-
-    def pair(rows: pa.Table, place_rows: pa.Table) -> pa.Table:
-        m = shared.value
-        d = m.base.d4
-        r = np.concatenate([np.zeros(0, _PAIR), *(np.frombuffer(b, _PAIR) for b in place_rows.column("pairs").to_pylist())])
-        first_ = np.flatnonzero(np.concatenate([[True], r["v"][1:] != r["v"][:-1]])) if len(r) else np.zeros(0, np.int64)
-        stop = np.append(first_[1:], len(r))
-        v = r["v"][first_]
-        c, t = _by_restaurant(r["v"], r["c"], m.hot_c)[first_], _by_restaurant(r["v"], r["t"], m.hot_t)[first_]
-        one = mix(r["v"] ^ mix(r["k"]))  # pairs by one hash of 64 bits
-        order = np.argsort(one)
-        one = one[order]
-        own = ((r["c"] - d * r["t"]) / (STRENGTH + np.repeat(c, stop - first_)))[order]
-        src, data = [], []
-        for number, blob in zip(rows.column("src").to_pylist(), rows.column("data").to_pylist(), strict=True):
-            a = np.frombuffer(blob, _TOKEN)
-            p = 10.0 ** a["log"].astype(np.float64)
-            few = a["v"] < 64
-            hot = np.where(few, a["v"], 0).astype(np.int64)
-            customers, tables = np.where(few, m.hot_c[hot], 0), np.where(few, m.hot_t[hot], 0)
-            if len(r):
-                at = np.searchsorted(v, a["v"])
-                at[at == len(v)] = 0
-                here = ~few & (v[at] == a["v"])
-                customers, tables = np.where(here, c[at], customers), np.where(here, t[at], tables)
-                key = mix(a["v"] ^ mix(a["k"]))
-                at = np.searchsorted(one, key)
-                at[at == len(one)] = 0
-                mine = np.where(one[at] == key, own[at], 0.0)
-            else:
-                mine = 0.0
-            p = mine + (STRENGTH + d * tables) / (STRENGTH + customers) * p
-            which, at = np.unique(a["doc"], return_inverse=True)
-            answer = np.zeros(len(which), _BACK)
-            answer["doc"], answer["known"] = which, np.bincount(at, a["c"] > 0)
-            answer["base"], answer["score"] = np.bincount(at, np.log10(a["c"] + 1.0)), np.bincount(at, np.log10(p))
-            src.append(number)
-            data.append(answer.tobytes())
-        return pa.table([pa.array(src, pa.int64()), pa.array(data, pa.binary())], names=["src", "data"])
-
-    answers = often.unionByName(answered).groupBy("place").cogroup(model.places.select("bucket", "pairs").groupBy("bucket")).applyInArrow(pair, "src long, data binary")
-    heads = slices.where("bucket < 0").select("src", "data", "doc_id", "held_out")
-
-    def third(heads_: pa.Table, answers_: pa.Table) -> pa.Table:
-        m = shared.value
-        out = np.frombuffer(heads_.column("data")[0].as_py(), _DOC).copy()
-        for blob in answers_.column("data").to_pylist():
-            a = np.frombuffer(blob, _BACK)
-            for name in ("known", "base", "score"):
-                out[name][a["doc"]] += a[name].astype(out[name].dtype)
-        base = out["base"] - out["n"] * np.log10(m.n_tokens + m.n_types + 1.0)
-        cols = [pa.array(heads_.column("doc_id")[0].as_py(), pa.int64()), pa.array(heads_.column("held_out")[0].as_py(), pa.bool_()), pa.array(out["n"]), pa.array(out["known"]), pa.array(np.full(len(out), m.n_tokens, np.int64)), pa.array(base), pa.array(out["score"])]
-        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return heads.groupBy("src").cogroup(answers.groupBy("src")).applyInArrow(third, SCORES)
+                h, n = tokens(texts[part])
+                ids += batch.column(0)[part].to_pylist()
+                held += batch.column(2)[part].to_pylist()
+                words.append(h)
+                sizes.append(n)
+                held_tokens += len(h)
+                if held_tokens >= SLICE:
+                    yield _slice_rows((number << 32) + made, bits, ids, held, np.concatenate(words), np.concatenate(sizes))
+                    made += 1
+                    ids, held, words, sizes, held_tokens = [], [], [], [], 0
+        if ids:
+            yield _slice_rows((number << 32) + made, bits, ids, held, np.concatenate(words), np.concatenate(sizes))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, ROWS)
+
+
+#: kind 0: a bucket's pairs, kind 1: what it asks of a bucket of words, kind 2: its pairs that occur again, being seated.
+COUNTED = "kind int, bucket int, to int, data binary, src array<long>, places array<binary>, facts array<long>"
+
+
+def _counted(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "to", "data", "src", "places", "facts"])
+
+
+def _by_word(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Stretches of ascending words that lie in one bucket of words."""
+    to = words >> np.uint64(64 - bits) if bits else np.zeros(len(words), np.uint64)
+    stops = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64), len(to))
+    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        yield int(to[a]), slice(a, b)
+
+
+def _counter(bits: int):
+    def count(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        srcs = rows.column("src").to_pylist()
+        parts = [unsqueeze(b) for b in rows.column("data").to_pylist()]
+        pairs = [(words[c], words[w], n) for words, c, w, n in parts]
+        sizes = [len(p[2]) for p in pairs]
+        context, word = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        keys, n = pair_keys(context, word), np.concatenate([p[2].astype(np.int64) for p in pairs])
+        del parts, pairs
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        cut = np.flatnonzero(new)
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        c = np.add.reduceat(n[order], cut)
+        context, word = context[order[cut]], word[order[cut]]
+        ends = np.cumsum(sizes)
+        places = [squeeze(_narrow(np.diff(place[a:b], prepend=np.uint32(0)))) for a, b in zip(ends - sizes, ends, strict=True)]  # they ascend
+        words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+        vi, wi = at[: len(c)], at[len(c) :]
+        total = lambda index, x: np.bincount(index, x, len(words)).astype(np.int64)
+        once, again = c == 1, c > 1
+        sums = [total(wi, c), total(vi, c), total(vi, once), total(wi, once), total(vi, again), total(wi, again)]
+        out = [(0, bucket, None, squeeze(words, _narrow(vi), _narrow(wi), _narrow(c)), srcs, places, [int(c.sum()), int(once.sum()), int((c == 2).sum())])]
+        out += [(1, bucket, to, squeeze(words[s], *(_narrow(x[s]) for x in sums)), None, None, None) for to, s in _by_word(words, bits)]
+        m = np.flatnonzero(again)
+        mine, at = np.unique(np.concatenate([context[m], word[m]]), return_inverse=True)
+        out.append((2, bucket, None, squeeze(mine, _narrow(at[: len(m)]), _narrow(at[len(m) :]), _narrow(c[m]), np.ones(len(m), "|u1"), np.zeros(len(m), "|u1")), None, None, None))
+        return _counted(out)
+
+    return count
+
+
+# -- passes ------------------------------------------------------------------------------------------------------------
+
+#: kind 0: a bucket's words, kind 1: an answer to a bucket of pairs.
+WORDS = "kind int, bucket int, to int, data binary, facts array<long>"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "to", "data", "facts"])
+
+
+def _first_words(rows: pa.Table) -> pa.Table:
+    """The words of a bucket: x, count, customers as a context, tables there of pairs that occur once, customers of such pairs,
+    customers, tables; facts: customers, tables, words seen in training, words with one and two customers."""
+    parts = [unsqueeze(b) for b in rows.column("data").to_pylist()]
+    x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n, total, t_once, c_once, _, c_again = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(x)).astype(np.int64) for i in range(1, 7))
+    c = c_once + c_again
+    t = np.minimum(c, 1)
+    facts = [int(c.sum()), int(t.sum()), int((n > 0).sum()), int((c == 1).sum()), int((c == 2).sum())]
+    return _answers([(0, rows.column("to")[0].as_py(), None, squeeze(x, *map(_narrow, (n, total, t_once, c_once, c, t))), facts)])
+
+
+def _word_pass(number: int, tables: int, parent: Level, base: float, keep: bool):
+    def run(state: pa.Table, asks: pa.Table) -> pa.Table:
+        bucket = state.column("bucket")[0].as_py()
+        x, n, total, t_once, c_once, c_old, t_old, *samples = (a if i == 0 else a.astype(np.int64) for i, a in enumerate(unsqueeze(state.column("data")[0].as_py())))
+        dynamic_t, dynamic_c = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        found = []
+        for to, blob in sorted(zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True)):
+            words, t, c = unsqueeze(blob)
+            at = np.searchsorted(x, words)
+            dynamic_t[at] += t.astype(np.int64)
+            dynamic_c[at] += c.astype(np.int64)
+            found.append((to, at))
+        there, c = t_once + dynamic_t, c_once + dynamic_c
+        rng = np.random.Generator(np.random.PCG64([1, number, bucket]))
+        t = parent.resize(c_old, t_old, c, tables, base, rng)
+        t = sweep_words(c, t, tables, parent, base, rng)
+        if keep:
+            samples += [there, c, t]
+        rows = [(0, bucket, None, squeeze(x, *map(_narrow, (n, total, t_once, c_once, c, t, *samples))), [int(c.sum()), int(t.sum())])]
+        rows += [(1, bucket, to, squeeze(*(_narrow(a[at]) for a in (there, c, t))), None) for to, at in found]
+        return _answers(rows)
+
+    return run
+
+
+def _pair_pass(number: int, bits: int, level: Level, parent: Level, totals: tuple[int, int], base: float, keep: bool):
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket = state.column("bucket")[0].as_py()
+        words, vi, wi, c, t, t_sum = unsqueeze(state.column("data")[0].as_py())
+        got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        if got:
+            there, word_c, word_t = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3))
+            rng = np.random.Generator(np.random.PCG64([2, number, bucket]))
+            t = sweep_pairs(c.astype(np.int64), t, there[vi], word_c[wi], word_t[wi], level, parent, totals, base, rng)
+        t_sum = t_sum.astype(np.int64) + t * keep
+        return _counted([(2, bucket, None, squeeze(words, vi, wi, c, _narrow(t), _narrow(t_sum)), None, None, None), *_asked(bucket, words, vi, wi, t, bits)])
+
+    return run
+
+
+def _asked(bucket: int, words: np.ndarray, vi: np.ndarray, wi: np.ndarray, t: np.ndarray, bits: int) -> list[tuple]:
+    """To each bucket of words: the words of pairs that occur again, their tables as contexts and customers as words."""
+    tables, customers = (np.bincount(i, t, len(words)).astype(np.int64) for i in (vi, wi))
+    return [(1, bucket, to, squeeze(words[s], _narrow(tables[s]), _narrow(customers[s])), None, None, None) for to, s in _by_word(words, bits)]
+
+
+def _first_asks(bits: int):
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, vi, wi, _, t, _ = unsqueeze(blob)
+                yield from _counted(_asked(bucket, words, vi, wi, t, bits)).to_batches()
+
+    return run
+
+
+# -- the model and its scores ------------------------------------------------------------------------------------------
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def _last_answers(rows: pa.Table, asks: pa.Table) -> pa.Table:
+    """To each bucket of pairs, of all its words: count, customers as a context, and of each sample tables there, customers and tables."""
+    x, n, total, _, _, _, _, *samples = unsqueeze(rows.column("data")[0].as_py())
+    out = []
+    for to, blob in zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True):
+        at = np.searchsorted(x, unsqueeze(blob)[0])
+        out.append((1, rows.column("bucket")[0].as_py(), to, squeeze(*(_narrow(a[at]) for a in (n, total, *samples))), None))
+    return _answers(out)
+
+
+def _predict(level: Level, parent: Level, totals: list[tuple[int, int]], base: float):
+    """Answers to the slices: log10 of the averaged predictive probability of each of their pairs, and the count of its word."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
+        me = kinds.index(0)
+        words, vi, wi, c = unsqueeze(data[me])
+        c = c.astype(np.int64)
+        t_sum = np.minimum(c, 1) * len(totals)  # of pairs that occur once
+        if 2 in kinds:
+            t_sum[c > 1] = unsqueeze(data[kinds.index(2)])[5]
+        got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        got = [np.concatenate([g[i] for g in got]).astype(np.float64) for i in range(2 + 3 * len(totals))]
+        p = np.zeros(len(c))
+        for k, (customers, tables) in enumerate(totals):
+            there, word_c, word_t = got[2 + 3 * k : 5 + 3 * k]
+            single = (word_c - parent.d * word_t + (parent.strength + parent.d * tables) * base) / (parent.strength + customers)
+            p += (level.strength + level.d * there)[vi] * single[wi]
+        p = (len(totals) * c - level.d * t_sum + p) / len(totals) / (level.strength + got[1][vi])
+        log, count = np.log10(p).astype("<f4"), got[0].astype(np.int64)[wi]
+        out = []
+        for src, blob in zip(rows.column("src")[me].as_py(), rows.column("places")[me].as_py(), strict=True):
+            at = np.cumsum(unsqueeze(blob)[0], dtype=np.int64)
+            out.append((src, rows.column("bucket")[0].as_py(), squeeze(log[at].view("<u4"), _narrow(count[at]))))
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["src", "bucket", "data"])
+
+    return run
+
+
+def _by_document(n_tokens: int, n_types: int):
+    def run(head: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, which = unsqueeze(head.column("data")[0].as_py())
+        got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        log, count = np.concatenate([g[0].view("<f4") for g in got]).astype(np.float64), np.concatenate([g[1].astype(np.int64) for g in got])
+        starts = np.cumsum(sizes) - sizes
+        total = lambda x: np.add.reduceat(x[which], starts)
+        base = total(np.log10((count + 1) / (n_tokens + n_types + 1)))
+        score = total(log)
+        cols = [head.column("doc_id")[0].as_py(), head.column("held_out")[0].as_py(), sizes, total((count > 0).astype(np.int64)), np.full(len(sizes), n_tokens), base, score, 10 ** np.minimum(-score / sizes, 300)]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split(" ")[0] for f in SCORES.split(", ")])
+
+    return run
+
+
+def _facts(rows: DataFrame, n: int) -> np.ndarray:
+    """The sums of `n` numbers over buckets."""
+    return np.array([x or 0 for x in rows.where("kind = 0").agg(*(F.sum(F.col("facts")[i]) for i in range(n))).first()], dtype=np.int64)
+
+
+def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, strength: float = STRENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Scores of all docs (doc_id, text, held_out) by the model of those that are not held out. burn is 1 at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
+    n = 1 << bits
+    dealt = lambda rows, by: rows.repartition(n, by).groupBy(by)
+    heads, pairs = materialise_kinds(_slices(docs, bits), "lm-slices", "kind", (0, 1), "zstd")
+    counted = materialise(dealt(pairs.select("src", "bucket", "data"), "bucket").applyInArrow(_counter(bits), COUNTED), "lm-pairs")
+    discard(pairs)
+    n_tokens, ones, twos = _facts(counted, 3).tolist()
+    asked = counted.where("kind = 1").select("bucket", "to", "data")
+    words = materialise(dealt(asked, "to").applyInArrow(_first_words, WORDS), "lm-words")
+    customers, tables, n_types, one, two = _facts(words, 5).tolist()
+    level, parent, base = Level(discount(ones, twos), strength), Level(discount(one, two), strength), 1 / (n_types + 1)
+    state = counted.where("kind = 2").select("bucket", "data")
+    asks = state.mapInArrow(_first_asks(bits), COUNTED).select("bucket", "to", "data")
+    totals, old = [], []
+    for k in range(burn + samples):
+        keep = k >= burn
+        before = words
+        words = materialise(dealt(words.where("kind = 0").select(F.col("bucket").alias("to"), "bucket", "data"), "to").cogroup(dealt(asks, "to")).applyInArrow(_word_pass(k, tables, parent, base, keep), WORDS), "lm-words")
+        discard(before)
+        customers, tables = _facts(words, 2).tolist()
+        if keep:
+            totals.append((customers, tables))
+        answers = words.where("kind = 1").select(F.col("to").alias("pairs"), "bucket", "data")
+        if k == burn + samples - 1:
+            break
+        seated = dealt(state.select(F.col("bucket").alias("pairs"), "bucket", "data"), "pairs").cogroup(dealt(answers, "pairs"))
+        # the seating that a sample's totals belong to is the one before this pass
+        seated = materialise(seated.applyInArrow(_pair_pass(k, bits, level, parent, (customers, tables), base, k + 1 >= burn), COUNTED), "lm-seated")
+        discard(*old)
+        old = [seated]
+        state, asks = seated.where("kind = 2").select("bucket", "data"), seated.where("kind = 1").select("bucket", "to", "data")
+    last = dealt(words.where("kind = 0").select(F.col("bucket").alias("to"), "bucket", "data"), "to").cogroup(dealt(asked, "to")).applyInArrow(_last_answers, WORDS)
+    last = materialise(last, "lm-last")
+    mine = counted.where("kind = 0").select(F.col("bucket").alias("pairs"), "kind", "bucket", "data", "src", "places")
+    mine = mine.unionByName(state.select(F.col("bucket").alias("pairs"), F.lit(2).alias("kind"), "bucket", "data"), allowMissingColumns=True)
+    found = dealt(mine, "pairs").cogroup(dealt(last.select(F.col("to").alias("pairs"), "bucket", "data"), "pairs")).applyInArrow(_predict(level, parent, totals, base), "src long, bucket int, data binary")
+    found = materialise(found, "lm-answers")
+    discard(counted, words, last, *old)
+    return heads.groupBy("src").cogroup(found.groupBy("src")).applyInArrow(_by_document(n_tokens, n_types), SCORES)
 
 
 def op10_pitman_yor(spark, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
-    model, cells = train(docs.where("not held_out"))
-    return score(docs, model, cells)
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out")))
