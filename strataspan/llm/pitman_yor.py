@@ -14,7 +14,8 @@ The chain starts with one table a dish. After BURN passes, SAMPLES seatings are
 Where it runs: pairs of words are dealt out by their hash, so a frequent word's pairs are everywhere and no task holds more than its share. The
 totals that tie pairs together (tables of a context, customers and tables of a word) are kept by word, and brought up to date between passes: within a
 pass every dish sees the others as they were at its start, and itself as it is. The word's own seating is drawn where its totals are.
-Pairs that occur once have one table for good and only count in those totals. Nothing is sent row by row: a task counts the pairs of a slice of texts and
+Pairs that occur once have one table for good and only count in those totals. Nothing is sent row by row: words are numbered first (by 32 bits;
+more words than these hold raise an error), then a task counts the pairs of a slice of texts and
 sends one blob to each bucket of pairs; the answers come back in the order of the slice's pairs, so that they need no keys.
 
 The number of buckets follows from the bytes of text, and the seeds from pass and bucket: scores depend on the rows alone, not on how they
@@ -41,7 +42,7 @@ STEPS, CAP = 32, 256
 STRENGTH = 1.0
 END = np.uint64(0xE5D1_0F7E_57A1_2C43)  # the end token's word
 #: Text in a bucket of pairs, and tokens in a slice.
-BUCKET_BYTES, SLICE = 12 << 20, 1 << 20
+BUCKET_BYTES, SLICE = 12 << 20, 1 << 21
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,20 +51,15 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, bounds[1:], END), np.diff(bounds) + 1
 
 
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A hash of 64 bits of each pair; its upper bits deal pairs out."""
-    return mix(context ^ mix(word + np.uint64(0x51ED_270B)))
-
-
 # -- blobs -------------------------------------------------------------------------------------------------------------
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as bytes: the bytes of each place together, then zstd. Ascending arrays of 64 bits are stored as differences."""
+    """Integer arrays as bytes: the bytes of each place together, then zstd. Ascending unsigned arrays are stored as differences."""
     codec, out = pa.Codec("zstd", 1), []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        rises = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        rises = a.dtype.kind == "u" and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
         body = np.concatenate([a[:1], np.diff(a)]) if rises else a
         body = codec.compress(body.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), asbytes=True) if len(a) else b""
         out.append(np.array([len(a), len(body), rises], "<i8").tobytes() + a.dtype.str.encode() + body)
@@ -79,7 +75,7 @@ def unsqueeze(blob: bytes) -> list[np.ndarray]:
         if n:
             raw = codec.decompress(blob[at : at + size], n * kind.itemsize, asbytes=True)
             a = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
-            out.append(np.cumsum(a, dtype=np.uint64) if rises else a)
+            out.append(np.cumsum(a, dtype=kind) if rises else a)
         else:
             out.append(np.zeros(0, kind))
         at += size
@@ -92,12 +88,6 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype("|u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
 
 
-def _pack_pairs(context: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> bytes:
-    """Pairs by a table of their words."""
-    words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
-    return squeeze(words, _narrow(at[: len(context)]), _narrow(at[len(context) :]), *map(_narrow, counts))
-
-
 # -- seating -----------------------------------------------------------------------------------------------------------
 
 
@@ -224,35 +214,45 @@ def discount(ones: float, twos: float) -> float:
 
 # -- slices and counts -------------------------------------------------------------------------------------------------
 
-ROWS = "kind int, src long, bucket int, data binary, doc_id array<long>, held_out array<boolean>"
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-
-
-def _slice_rows(src: int, bits: int, ids: list, held: list[bool], words: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """A head (kind 0: the pair of every token) and a row for each bucket (kind 1: pairs, how often in training)."""
-    before = np.concatenate([[END], words[:-1]]).astype(np.uint64)
-    keys = pair_keys(before, words)
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    cut = np.flatnonzero(new)
-    which = np.empty(len(keys), np.uint32)
-    which[order] = (np.cumsum(new) - 1).astype(np.uint32)
-    count = np.add.reduceat((~np.repeat(np.array(held, bool), sizes))[order].astype(np.int64), cut)
-    context, word, bucket = before[order[cut]], words[order[cut]], ordered[cut] >> np.uint64(64 - bits) if bits else np.zeros(len(cut), np.uint64)
-    stops = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(cut))
-    blobs = [_pack_pairs(context[a:b], word[a:b], count[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
-    n = len(blobs)
-    cols = ([0] + [1] * n, [src] * (n + 1), [None, *bucket[stops[:-1]].astype(np.int64).tolist()], [squeeze(sizes.astype("<i8"), which), *blobs], [ids] + [None] * n, [held] + [None] * n)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=["kind", "src", "bucket", "data", "doc_id", "held_out"])
+#: kind 0: a slice's tokens, or the pair of each; kind 1: what goes to a bucket, of words at first and of pairs then.
+SLICES = "kind int, src long, bucket int, data binary, doc_id array<long>, held_out array<boolean>"
+#: kind 0: a bucket's pairs, or its words; kind 1: what it sends to a bucket of the other sort; kind 2: pairs that occur again, being seated.
+ROWS = "kind int, bucket int, to int, data binary, src array<long>, places array<binary>, facts array<long>"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<binary>": pa.list_(pa.binary())}
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _stretches(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Where each value of an ascending array stands."""
+    stops = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64), len(bucket))
+    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _high(a: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits, which number the bucket."""
+    return a >> a.dtype.type(8 * a.itemsize - bits) if bits else np.zeros(len(a), a.dtype)
 
 
 def _slices(docs: DataFrame, bits: int) -> DataFrame:
+    """The tokens of each slice by its own list of words, and these words with how often they occur in training."""
+
+    def rows(src: int, ids: list, held: list[bool], words: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        x, which = np.unique(words, return_inverse=True)
+        n = np.bincount(which[~np.repeat(np.array(held, bool), sizes)], minlength=len(x))
+        out = [(0, src, None, squeeze(sizes.astype("<i8"), _narrow(which)), ids, held)]
+        out += [(1, src, to, squeeze(x[s], _narrow(n[s])), None, None) for to, s in _stretches(_high(x, bits))]
+        return _table(SLICES, out).to_batches()[0]
+
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, made = TaskContext.get().partitionId(), 0
-        ids, held, words, sizes, held_tokens = [], [], [], [], 0
+        ids, held, words, sizes, size = [], [], [], [], 0
         for batch in batches_:
             texts = batch.column(1).to_pylist()
             for part in batches(texts):
@@ -261,144 +261,192 @@ def _slices(docs: DataFrame, bits: int) -> DataFrame:
                 held += batch.column(2)[part].to_pylist()
                 words.append(h)
                 sizes.append(n)
-                held_tokens += len(h)
-                if held_tokens >= SLICE:
-                    yield _slice_rows((number << 32) + made, bits, ids, held, np.concatenate(words), np.concatenate(sizes))
+                size += len(h)
+                if size >= SLICE:
+                    yield rows((number << 32) + made, ids, held, np.concatenate(words), np.concatenate(sizes))
                     made += 1
-                    ids, held, words, sizes, held_tokens = [], [], [], [], 0
+                    ids, held, words, sizes, size = [], [], [], [], 0
         if ids:
-            yield _slice_rows((number << 32) + made, bits, ids, held, np.concatenate(words), np.concatenate(sizes))
+            yield rows((number << 32) + made, ids, held, np.concatenate(words), np.concatenate(sizes))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, SLICES)
 
 
-#: kind 0: a bucket's pairs, kind 1: what it asks of a bucket of words, kind 2: its pairs that occur again, being seated.
-COUNTED = "kind int, bucket int, to int, data binary, src array<long>, places array<binary>, facts array<long>"
+def _number_words(bits: int):
+    """Words get numbers of 32 bits: their bucket, then their rank in it by count. The slices are told numbers and counts.
+    facts: tokens, words seen in training, words."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        srcs, parts = rows.column("src").to_pylist(), [unsqueeze(b) for b in rows.column("data").to_pylist()]
+        x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        if len(x) > 1 << (32 - bits):
+            raise ValueError("more words than there are numbers")
+        n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(x)).astype(np.int64)
+        number = np.empty(len(x), np.uint32)
+        number[np.lexsort((x, -n))] = np.arange(len(x), dtype=np.uint32) + np.uint32(bucket << (32 - bits) if bits else 0)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        out = [(0, bucket, None, None, None, None, [int(n.sum()), int((n > 0).sum()), len(x)])]
+        for src, a, b in zip(srcs, np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            out.append((1, bucket, None, squeeze(number[at[a:b]], _narrow(n[at[a:b]])), [src], None, None))
+        return _table(ROWS, out)
 
-def _counted(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "to", "data", "src", "places", "facts"])
+    return run
 
 
-def _by_word(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Stretches of ascending words that lie in one bucket of words."""
-    to = words >> np.uint64(64 - bits) if bits else np.zeros(len(words), np.uint64)
-    stops = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64), len(to))
-    for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
-        yield int(to[a]), slice(a, b)
+def _slice_pairs(bits: int, n_tokens: int, n_types: int):
+    """The pairs of a slice to their buckets; in the slice stays which pair each token is, with what its documents' words give."""
 
+    def run(head: pa.Table, answers: pa.Table) -> pa.Table:
+        src, ids, held = (head.column(c)[0].as_py() for c in ("src", "doc_id", "held_out"))
+        sizes, which = unsqueeze(head.column("data")[0].as_py())
+        got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        number, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got])
+        starts = np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10((n + 1) / (n_tokens + n_types + 1))[which], starts)
+        known = np.add.reduceat((n > 0)[which].astype(np.int64), starts)
+        word = number[which]
+        context = np.concatenate([word[-1:], word[:-1]])  # every text ends with the end token
+        keys = context.astype(np.uint64) << np.uint64(32) | word
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        cut = np.flatnonzero(new)
+        pair = ordered[cut]
+        count = np.add.reduceat((~np.repeat(np.array(held, bool), sizes))[order].astype(np.int64), cut)
+        bucket = _high(mix(pair + np.uint64(1)), bits)
+        dealt = np.argsort(bucket.astype(np.uint16 if bits <= 16 else np.uint64), kind="stable")
+        place = np.empty(len(cut), np.uint32)
+        place[dealt] = np.arange(len(cut), dtype=np.uint32)
+        which = np.empty(len(keys), np.uint32)
+        which[order] = place[np.cumsum(new) - 1]
+        out = [(0, src, None, squeeze(sizes, which, base.view("<u8"), _narrow(known)), ids, held)]
+        for to, s in _stretches(bucket[dealt]):
+            p = pair[dealt[s]]
+            out.append((1, src, to, squeeze((p >> np.uint64(32)).astype("<u4"), p.astype("<u4"), _narrow(count[dealt[s]])), None, None))
+        return _table(SLICES, out)
 
-def _counter(bits: int):
-    def count(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
-        srcs = rows.column("src").to_pylist()
+    return run
+
+
+def _count_pairs(bits: int):
+    """The pairs of a bucket, and where each slice's pairs are among them; facts: how many there are, and occur once and twice, in training."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, srcs = rows.column("bucket")[0].as_py(), rows.column("src").to_pylist()
         parts = [unsqueeze(b) for b in rows.column("data").to_pylist()]
-        pairs = [(words[c], words[w], n) for words, c, w, n in parts]
-        sizes = [len(p[2]) for p in pairs]
-        context, word = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        keys, n = pair_keys(context, word), np.concatenate([p[2].astype(np.int64) for p in pairs])
-        del parts, pairs
+        ends = np.cumsum([len(p[0]) for p in parts])
+        keys = np.concatenate([p[0].astype(np.uint64) << np.uint64(32) | p[1] for p in parts])
+        n = np.concatenate([p[2].astype(np.int64) for p in parts])
+        del parts
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         cut = np.flatnonzero(new)
         place = np.empty(len(keys), np.uint32)
         place[order] = np.cumsum(new) - 1
-        c = np.add.reduceat(n[order], cut)
-        context, word = context[order[cut]], word[order[cut]]
-        ends = np.cumsum(sizes)
-        places = [squeeze(_narrow(np.diff(place[a:b], prepend=np.uint32(0)))) for a, b in zip(ends - sizes, ends, strict=True)]  # they ascend
-        words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
-        vi, wi = at[: len(c)], at[len(c) :]
+        c, pair = np.add.reduceat(n[order], cut), ordered[cut]
+        places = [squeeze(_narrow(np.diff(place[a:b], prepend=np.uint32(0)))) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]  # they ascend
+        context, word = (pair >> np.uint64(32)).astype("<u4"), pair.astype("<u4")
+        words, vi, wi = _listed(context, word)
         total = lambda index, x: np.bincount(index, x, len(words)).astype(np.int64)
         once, again = c == 1, c > 1
-        sums = [total(wi, c), total(vi, c), total(vi, once), total(wi, once), total(vi, again), total(wi, again)]
-        out = [(0, bucket, None, squeeze(words, _narrow(vi), _narrow(wi), _narrow(c)), srcs, places, [int(c.sum()), int(once.sum()), int((c == 2).sum())])]
-        out += [(1, bucket, to, squeeze(words[s], *(_narrow(x[s]) for x in sums)), None, None, None) for to, s in _by_word(words, bits)]
+        sums = [total(vi, c), total(vi, once), total(wi, once), total(wi, again)]
+        out = [(0, bucket, None, squeeze(context, word, _narrow(c)), srcs, places, [len(c), int(once.sum()), int((c == 2).sum())])]
+        out += [(1, bucket, to, squeeze(words[s], *(_narrow(x[s]) for x in sums)), None, None, None) for to, s in _stretches(_high(words, bits))]
         m = np.flatnonzero(again)
-        mine, at = np.unique(np.concatenate([context[m], word[m]]), return_inverse=True)
-        out.append((2, bucket, None, squeeze(mine, _narrow(at[: len(m)]), _narrow(at[len(m) :]), _narrow(c[m]), np.ones(len(m), "|u1"), np.zeros(len(m), "|u1")), None, None, None))
-        return _counted(out)
+        out.append((2, bucket, None, squeeze(context[m], word[m], _narrow(c[m]), np.ones(len(m), "|u1"), np.zeros(len(m), "|u1")), None, None, None))
+        return _table(ROWS, out)
 
-    return count
+    return run
+
+
+def _listed(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of pairs, ascending, and where those of each pair are."""
+    words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+    return words, at[: len(context)], at[len(context) :]
 
 
 # -- passes ------------------------------------------------------------------------------------------------------------
 
-#: kind 0: a bucket's words, kind 1: an answer to a bucket of pairs.
-WORDS = "kind int, bucket int, to int, data binary, facts array<long>"
 
+def _rank(words: np.ndarray, bits: int) -> np.ndarray:
+    return words & np.uint32((1 << (32 - bits)) - 1)
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "bucket", "to", "data", "facts"])
 
+def _first_words(bits: int):
+    """The state of a bucket of words: customers as a context, tables there of pairs that occur once, customers of such pairs,
+    customers, tables; facts: customers, tables, words with one and two customers."""
 
-def _first_words(rows: pa.Table) -> pa.Table:
-    """The words of a bucket: x, count, customers as a context, tables there of pairs that occur once, customers of such pairs,
-    customers, tables; facts: customers, tables, words seen in training, words with one and two customers."""
-    parts = [unsqueeze(b) for b in rows.column("data").to_pylist()]
-    x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n, total, t_once, c_once, _, c_again = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(x)).astype(np.int64) for i in range(1, 7))
-    c = c_once + c_again
-    t = np.minimum(c, 1)
-    facts = [int(c.sum()), int(t.sum()), int((n > 0).sum()), int((c == 1).sum()), int((c == 2).sum())]
-    return _answers([(0, rows.column("to")[0].as_py(), None, squeeze(x, *map(_narrow, (n, total, t_once, c_once, c, t))), facts)])
+    def run(state: pa.Table, asks: pa.Table) -> pa.Table:
+        size = state.column("facts")[0].as_py()[2]
+        parts = [unsqueeze(b) for b in asks.column("data").to_pylist()]
+        at = _rank(np.concatenate([p[0] for p in parts]), bits)
+        total, t_once, c_once, c_again = (np.bincount(at, np.concatenate([p[i] for p in parts]), size).astype(np.int64) for i in range(1, 5))
+        c = c_once + c_again
+        t = np.minimum(c, 1)
+        facts = [int(c.sum()), int(t.sum()), int((c == 1).sum()), int((c == 2).sum())]
+        return _table(ROWS, [(0, state.column("bucket")[0].as_py(), None, squeeze(*map(_narrow, (total, t_once, c_once, c, t))), None, None, facts)])
 
+    return run
+
+
+def _word_pass(number: int, bits: int, tables: int, parent: Level, base: float, keep: bool):
+    """Words are seated again; facts: their customers and tables. The buckets of pairs are told tables as a context, customers and tables."""
 
-def _word_pass(number: int, tables: int, parent: Level, base: float, keep: bool):
     def run(state: pa.Table, asks: pa.Table) -> pa.Table:
         bucket = state.column("bucket")[0].as_py()
-        x, n, total, t_once, c_once, c_old, t_old, *samples = (a if i == 0 else a.astype(np.int64) for i, a in enumerate(unsqueeze(state.column("data")[0].as_py())))
-        dynamic_t, dynamic_c = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        found = []
+        total, t_once, c_once, c_old, t_old, *samples = (a.astype(np.int64) for a in unsqueeze(state.column("data")[0].as_py()))
+        there, c, found = t_once.copy(), c_once.copy(), []
         for to, blob in sorted(zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True)):
-            words, t, c = unsqueeze(blob)
-            at = np.searchsorted(x, words)
-            dynamic_t[at] += t.astype(np.int64)
-            dynamic_c[at] += c.astype(np.int64)
+            words, t, customers = unsqueeze(blob)
+            at = _rank(words, bits)
+            there[at] += t.astype(np.int64)
+            c[at] += customers.astype(np.int64)
             found.append((to, at))
-        there, c = t_once + dynamic_t, c_once + dynamic_c
         rng = np.random.Generator(np.random.PCG64([1, number, bucket]))
         t = parent.resize(c_old, t_old, c, tables, base, rng)
         t = sweep_words(c, t, tables, parent, base, rng)
         if keep:
             samples += [there, c, t]
-        rows = [(0, bucket, None, squeeze(x, *map(_narrow, (n, total, t_once, c_once, c, t, *samples))), [int(c.sum()), int(t.sum())])]
-        rows += [(1, bucket, to, squeeze(*(_narrow(a[at]) for a in (there, c, t))), None) for to, at in found]
-        return _answers(rows)
+        rows = [(0, bucket, None, squeeze(*map(_narrow, (total, t_once, c_once, c, t, *samples))), None, None, [int(c.sum()), int(t.sum())])]
+        rows += [(1, bucket, to, squeeze(*(_narrow(a[at]) for a in (there, c, t))), None, None, None) for to, at in found]
+        return _table(ROWS, rows)
 
     return run
 
 
 def _pair_pass(number: int, bits: int, level: Level, parent: Level, totals: tuple[int, int], base: float, keep: bool):
+    """Pairs that occur again are seated again."""
+
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = state.column("bucket")[0].as_py()
-        words, vi, wi, c, t, t_sum = unsqueeze(state.column("data")[0].as_py())
+        context, word, c, t, t_sum = unsqueeze(state.column("data")[0].as_py())
+        words, vi, wi = _listed(context, word)
         got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
         if got:
             there, word_c, word_t = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3))
             rng = np.random.Generator(np.random.PCG64([2, number, bucket]))
             t = sweep_pairs(c.astype(np.int64), t, there[vi], word_c[wi], word_t[wi], level, parent, totals, base, rng)
-        t_sum = t_sum.astype(np.int64) + t * keep
-        return _counted([(2, bucket, None, squeeze(words, vi, wi, c, _narrow(t), _narrow(t_sum)), None, None, None), *_asked(bucket, words, vi, wi, t, bits)])
+        t_sum = t_sum.astype(np.int64) + t.astype(np.int64) * keep
+        return _table(ROWS, [(2, bucket, None, squeeze(context, word, c, _narrow(t), _narrow(t_sum)), None, None, None), *_asks(bucket, words, vi, wi, t, bits)])
 
     return run
 
 
-def _asked(bucket: int, words: np.ndarray, vi: np.ndarray, wi: np.ndarray, t: np.ndarray, bits: int) -> list[tuple]:
+def _asks(bucket: int, words: np.ndarray, vi: np.ndarray, wi: np.ndarray, t: np.ndarray, bits: int) -> list[tuple]:
     """To each bucket of words: the words of pairs that occur again, their tables as contexts and customers as words."""
     tables, customers = (np.bincount(i, t, len(words)).astype(np.int64) for i in (vi, wi))
-    return [(1, bucket, to, squeeze(words[s], _narrow(tables[s]), _narrow(customers[s])), None, None, None) for to, s in _by_word(words, bits)]
+    return [(1, bucket, to, squeeze(words[s], _narrow(tables[s]), _narrow(customers[s])), None, None, None) for to, s in _stretches(_high(words, bits))]
 
 
 def _first_asks(bits: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, vi, wi, _, t, _ = unsqueeze(blob)
-                yield from _counted(_asked(bucket, words, vi, wi, t, bits)).to_batches()
+                context, word, _, t, _ = unsqueeze(blob)
+                words, vi, wi = _listed(context, word)
+                yield from _table(ROWS, _asks(bucket, words, vi, wi, t, bits)).to_batches()
 
     return run
 
@@ -408,64 +456,62 @@ def _first_asks(bits: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _last_answers(rows: pa.Table, asks: pa.Table) -> pa.Table:
-    """To each bucket of pairs, of all its words: count, customers as a context, and of each sample tables there, customers and tables."""
-    x, n, total, _, _, _, _, *samples = unsqueeze(rows.column("data")[0].as_py())
-    out = []
-    for to, blob in zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True):
-        at = np.searchsorted(x, unsqueeze(blob)[0])
-        out.append((1, rows.column("bucket")[0].as_py(), to, squeeze(*(_narrow(a[at]) for a in (n, total, *samples))), None))
-    return _answers(out)
+def _last_answers(bits: int):
+    """To each bucket of pairs, of all its words: customers as a context, and of each sample tables there, customers and tables."""
+
+    def run(state: pa.Table, asks: pa.Table) -> pa.Table:
+        total, _, _, _, _, *samples = unsqueeze(state.column("data")[0].as_py())
+        bucket, out = state.column("bucket")[0].as_py(), []
+        for to, blob in zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True):
+            at = _rank(unsqueeze(blob)[0], bits)
+            out.append((1, bucket, to, squeeze(*(_narrow(a[at]) for a in (total, *samples))), None, None, None))
+        return _table(ROWS, out)
+
+    return run
 
 
 def _predict(level: Level, parent: Level, totals: list[tuple[int, int]], base: float):
-    """Answers to the slices: log10 of the averaged predictive probability of each of their pairs, and the count of its word."""
+    """Answers to the slices: log10 of the averaged predictive probability of each of their pairs."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
         me = kinds.index(0)
-        words, vi, wi, c = unsqueeze(data[me])
+        context, word, c = unsqueeze(data[me])
         c = c.astype(np.int64)
+        _, vi, wi = _listed(context, word)
         t_sum = np.minimum(c, 1) * len(totals)  # of pairs that occur once
-        if 2 in kinds:
-            t_sum[c > 1] = unsqueeze(data[kinds.index(2)])[5]
+        t_sum[c > 1] = unsqueeze(data[kinds.index(2)])[4]
         got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
-        got = [np.concatenate([g[i] for g in got]).astype(np.float64) for i in range(2 + 3 * len(totals))]
+        got = [np.concatenate([g[i] for g in got]).astype(np.float64) for i in range(1 + 3 * len(totals))]
         p = np.zeros(len(c))
         for k, (customers, tables) in enumerate(totals):
-            there, word_c, word_t = got[2 + 3 * k : 5 + 3 * k]
+            there, word_c, word_t = got[1 + 3 * k : 4 + 3 * k]
             single = (word_c - parent.d * word_t + (parent.strength + parent.d * tables) * base) / (parent.strength + customers)
             p += (level.strength + level.d * there)[vi] * single[wi]
-        p = (len(totals) * c - level.d * t_sum + p) / len(totals) / (level.strength + got[1][vi])
-        log, count = np.log10(p).astype("<f4"), got[0].astype(np.int64)[wi]
-        out = []
+        p = (len(totals) * c - level.d * t_sum + p) / len(totals) / (level.strength + got[0][vi])
+        log, bucket, out = np.log10(p).astype("<f4").view("<u4"), rows.column("bucket")[0].as_py(), []
         for src, blob in zip(rows.column("src")[me].as_py(), rows.column("places")[me].as_py(), strict=True):
-            at = np.cumsum(unsqueeze(blob)[0], dtype=np.int64)
-            out.append((src, rows.column("bucket")[0].as_py(), squeeze(log[at].view("<u4"), _narrow(count[at]))))
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["src", "bucket", "data"])
+            out.append((1, src, bucket, squeeze(log[np.cumsum(unsqueeze(blob)[0], dtype=np.int64)]), None, None))
+        return _table(SLICES, out)
 
     return run
 
 
-def _by_document(n_tokens: int, n_types: int):
+def _by_document(n_tokens: int):
     def run(head: pa.Table, answers: pa.Table) -> pa.Table:
-        sizes, which = unsqueeze(head.column("data")[0].as_py())
-        got = [unsqueeze(b) for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
-        log, count = np.concatenate([g[0].view("<f4") for g in got]).astype(np.float64), np.concatenate([g[1].astype(np.int64) for g in got])
-        starts = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x[which], starts)
-        base = total(np.log10((count + 1) / (n_tokens + n_types + 1)))
-        score = total(log)
-        cols = [head.column("doc_id")[0].as_py(), head.column("held_out")[0].as_py(), sizes, total((count > 0).astype(np.int64)), np.full(len(sizes), n_tokens), base, score, 10 ** np.minimum(-score / sizes, 300)]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split(" ")[0] for f in SCORES.split(", ")])
+        sizes, which, base, known = unsqueeze(head.column("data")[0].as_py())
+        got = [unsqueeze(b)[0] for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        score = np.add.reduceat(np.concatenate(got).view("<f4").astype(np.float64)[which], np.cumsum(sizes) - sizes)
+        cols = [head.column("doc_id")[0].as_py(), head.column("held_out")[0].as_py(), sizes, known.astype(np.int64), np.full(len(sizes), n_tokens), base.view("<f8"), score, 10 ** np.minimum(-score / sizes, 300)]
+        fields = [f.split(" ") for f in SCORES.split(", ")]
+        return pa.table([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(cols, fields, strict=True)], names=[name for name, _ in fields])
 
     return run
 
 
-def _facts(rows: DataFrame, n: int) -> np.ndarray:
+def _facts(rows: DataFrame, n: int) -> list[int]:
     """The sums of `n` numbers over buckets."""
-    return np.array([x or 0 for x in rows.where("kind = 0").agg(*(F.sum(F.col("facts")[i]) for i in range(n))).first()], dtype=np.int64)
+    return [x or 0 for x in rows.where("kind = 0").agg(*(F.sum(F.col("facts")[i]) for i in range(n))).first()]
 
 
 def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, strength: float = STRENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -473,43 +519,48 @@ def score(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, strength: f
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
     n = 1 << bits
+    # few rows with much work each: as many partitions as buckets, which adaptive execution leaves alone
     dealt = lambda rows, by: rows.repartition(n, by).groupBy(by)
-    heads, pairs = materialise_kinds(_slices(docs, bits), "lm-slices", "kind", (0, 1), "zstd")
-    counted = materialise(dealt(pairs.select("src", "bucket", "data"), "bucket").applyInArrow(_counter(bits), COUNTED), "lm-pairs")
+    sent = lambda rows, by: rows.where("kind = 1").select(F.col(by).alias("_to"), "bucket", "data")
+    kept = lambda rows, *more: rows.where("kind = 0").select(F.col("bucket").alias("_to"), "kind", "bucket", "data", *more)
+    together = lambda left, right, work, schema=ROWS: dealt(left, "_to").cogroup(dealt(right, "_to")).applyInArrow(work, schema)
+
+    texts, listed = materialise_kinds(_slices(docs, bits), "lm-tokens", "kind", (0, 1))
+    numbered = materialise(dealt(listed.select("src", "bucket", "data"), "bucket").applyInArrow(_number_words(bits), ROWS), "lm-numbers")
+    n_tokens, n_types = _facts(numbered, 2)
+    by_slice = texts.groupBy("src").cogroup(sent(numbered, "src").withColumn("_to", F.col("_to")[0]).groupBy("_to"))
+    heads, pairs = materialise_kinds(by_slice.applyInArrow(_slice_pairs(bits, n_tokens, n_types), SLICES), "lm-slices", "kind", (0, 1))
+    discard(texts, listed)
+    counted = materialise(dealt(pairs.select("src", "bucket", "data"), "bucket").applyInArrow(_count_pairs(bits), ROWS), "lm-pairs")
     discard(pairs)
-    n_tokens, ones, twos = _facts(counted, 3).tolist()
-    asked = counted.where("kind = 1").select("bucket", "to", "data")
-    words = materialise(dealt(asked, "to").applyInArrow(_first_words, WORDS), "lm-words")
-    customers, tables, n_types, one, two = _facts(words, 5).tolist()
+    _, ones, twos = _facts(counted, 3)
+    asked = sent(counted, "to")
+    words = materialise(together(kept(numbered, "facts"), asked, _first_words(bits)), "lm-words")
+    discard(numbered)
+    customers, tables, one, two = _facts(words, 4)
     level, parent, base = Level(discount(ones, twos), strength), Level(discount(one, two), strength), 1 / (n_types + 1)
-    state = counted.where("kind = 2").select("bucket", "data")
-    asks = state.mapInArrow(_first_asks(bits), COUNTED).select("bucket", "to", "data")
+    state = counted.where("kind = 2").select(F.col("bucket").alias("_to"), "bucket", "data")
+    asks = sent(state.select("bucket", "data").mapInArrow(_first_asks(bits), ROWS), "to")
     totals, old = [], []
     for k in range(burn + samples):
-        keep = k >= burn
-        before = words
-        words = materialise(dealt(words.where("kind = 0").select(F.col("bucket").alias("to"), "bucket", "data"), "to").cogroup(dealt(asks, "to")).applyInArrow(_word_pass(k, tables, parent, base, keep), WORDS), "lm-words")
+        keep, before = k >= burn, words
+        words = materialise(together(kept(words), asks, _word_pass(k, bits, tables, parent, base, keep)), "lm-words")
         discard(before)
-        customers, tables = _facts(words, 2).tolist()
-        if keep:
-            totals.append((customers, tables))
-        answers = words.where("kind = 1").select(F.col("to").alias("pairs"), "bucket", "data")
+        customers, tables = _facts(words, 2)
+        totals += [(customers, tables)] * keep
         if k == burn + samples - 1:
             break
-        seated = dealt(state.select(F.col("bucket").alias("pairs"), "bucket", "data"), "pairs").cogroup(dealt(answers, "pairs"))
-        # the seating that a sample's totals belong to is the one before this pass
-        seated = materialise(seated.applyInArrow(_pair_pass(k, bits, level, parent, (customers, tables), base, k + 1 >= burn), COUNTED), "lm-seated")
+        # the seating that a sample's totals belong to is the one before them
+        seated = materialise(together(state, sent(words, "to"), _pair_pass(k, bits, level, parent, (customers, tables), base, k + 1 >= burn)), "lm-seated")
         discard(*old)
         old = [seated]
-        state, asks = seated.where("kind = 2").select("bucket", "data"), seated.where("kind = 1").select("bucket", "to", "data")
-    last = dealt(words.where("kind = 0").select(F.col("bucket").alias("to"), "bucket", "data"), "to").cogroup(dealt(asked, "to")).applyInArrow(_last_answers, WORDS)
-    last = materialise(last, "lm-last")
-    mine = counted.where("kind = 0").select(F.col("bucket").alias("pairs"), "kind", "bucket", "data", "src", "places")
-    mine = mine.unionByName(state.select(F.col("bucket").alias("pairs"), F.lit(2).alias("kind"), "bucket", "data"), allowMissingColumns=True)
-    found = dealt(mine, "pairs").cogroup(dealt(last.select(F.col("to").alias("pairs"), "bucket", "data"), "pairs")).applyInArrow(_predict(level, parent, totals, base), "src long, bucket int, data binary")
-    found = materialise(found, "lm-answers")
-    discard(counted, words, last, *old)
-    return heads.groupBy("src").cogroup(found.groupBy("src")).applyInArrow(_by_document(n_tokens, n_types), SCORES)
+        state, asks = seated.where("kind = 2").select(F.col("bucket").alias("_to"), "bucket", "data"), sent(seated, "to")
+    last = materialise(together(kept(words), asked, _last_answers(bits)), "lm-last")
+    discard(words)
+    mine = kept(counted, "src", "places").unionByName(state.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    found = materialise(together(mine, sent(last, "to"), _predict(level, parent, totals, base), SLICES), "lm-answers")
+    discard(counted, last, *old)
+    return heads.groupBy("src").cogroup(found.groupBy("src")).applyInArrow(_by_document(n_tokens), SCORES)
 
 
 def op10_pitman_yor(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strataspan.llm import chat, decontam, html_text, line_dedup, ngram_join, pitman_yor, quality, queries, repair_ids
+from strataspan.llm import chat, decontam, html_text, line_dedup, ngram_join, quality, queries, repair_ids
 
 WORDS = vocab.path("word_bpe_49k.json")
 
@@ -156,59 +156,6 @@ def test_token_shards(spark, sf):
     assert repair_ids.read_shards(repair_ids.write_shards(spark.createDataFrame([], "doc_id long, text string"), WORDS, 2)).count() == 0
 
 
-def tokens(t):
-    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None]
-
-
-def test_language_model(spark):
-    sf = "/root/testdata/sf0.01"
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    out = {r.doc_id: r for r in pitman_yor.op10_pitman_yor(spark, sf).collect()}
-    count = Counter(w for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2 for w in tokens(t))
-    n, v, model, base = sum(count.values()), len(count), 0.0, 0.0
-    for d, t in docs:
-        w, r = tokens(t), out[d]
-        want = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(count[x] > 0 for x in w), n)
-        assert abs(r.base_score - want) < 1e-6 * abs(want)
-        if r.held_out:
-            model, base = model + r.score, base + r.base_score
-    assert model > 0.95 * base and model > base
-
-
-def test_language_model_sums_to_one(spark):
-    texts = [(i, f"the cat of {i % 7} sat on the mat of {i % 3} " * 3 + f"word{i}") for i in range(60)]
-    model, cells = pitman_yor.train(spark.createDataFrame(texts, "doc_id long, text string"), top=10)
-    total, z = np.zeros(64), model.base
-    for r in cells.collect():
-        words = pitman_yor.Words(r.cells, z)
-        back, own = words.probabilities(list(words.samples(1000 * r.bucket + pitman_yor.PASSES, pitman_yor.SWEEPS, pitman_yor.SAMPLES)), model.exact)
-        back[words.word, words.ctx] += own
-        total += back.sum(axis=0)
-    assert np.allclose((total + pitman_yor.unknown(model.exact))[z.c3 > 0], 1, atol=1e-9)
-
-
-def test_language_model_edges(spark):
-    rows = [(1, None, False), (2, "", True), (None, "a b", False), (3, "word " * 5000, False), (3, "new words", True)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("bucket", F.lit(1))
-    model, cells = pitman_yor.train(df.where("not held_out"))
-    out = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens) for r in pitman_yor.score(df, model, cells).collect())
-    assert out == [("1", 1, 1, 5005), ("2", 1, 1, 5005), ("3", 3, 1, 5005), ("3", 5001, 5001, 5005), ("None", 3, 3, 5005)]
-    model, cells = pitman_yor.train(df.where("false"))
-    out = pitman_yor.score(df, model, cells).collect()
-    assert len(out) == 5 and all(r.n_known == 0 and r.train_tokens == 0 and r.score <= 0 for r in out)
-
-
-def test_stirling_draws():
-    """Numbers of tables drawn by weight have the mean of the exact distribution."""
-    s, rng = pitman_yor.log_stirling(0.5), np.random.Generator(np.random.PCG64(1))
-    c, p, others = 6, 0.3, 4
-    k = np.arange(1, c + 1)
-    w = np.exp(s[c, 1 : c + 1] + k * np.log(p) + np.cumsum(np.log(pitman_yor.STRENGTH + 0.5 * (others + k - 1))))
-    t = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, p), np.full(20_000, others), 0.5, rng, s)
-    assert abs(t.mean() - (k * w).sum() / w.sum()) < 0.05 and t.min() >= 1 and t.max() <= c
-
-
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -246,16 +193,3 @@ def test_pipeline_edges(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0, name
         assert stage(spark, odd, sf).count() >= 3, name
-
-
-def test_language_model_knows_word_pairs(spark):
-    """After a word that is no anchor, the word that always comes next is far likelier than one as frequent that never does."""
-    anchors = " ".join(f"a{i}" for i in range(63))
-    texts = [(i, f"{anchors} {anchors} rare{i % 40} tail{i % 40}", False) for i in range(400)]
-    asked = [(1000, f"{anchors} rare7 tail7", True), (1001, f"{anchors} rare7 tail8", True)]
-    df = spark.createDataFrame(texts + asked, "doc_id long, text string, held_out boolean")
-    model, cells = pitman_yor.train(df.where("not held_out"))
-    out = {r.doc_id: r.score for r in pitman_yor.score(df, model, cells).where("held_out").collect()}
-    assert out[1000] > out[1001] + 1
-    r = np.concatenate([np.frombuffer(x.pairs, pitman_yor._PAIR) for x in model.places.collect()])
-    assert len(np.unique(r["v"])) >= 63 + 40 and (r["t"] >= 1).all() and (r["t"] <= r["c"]).all()
