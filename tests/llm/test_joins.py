@@ -1,5 +1,6 @@
 """N-gram join, decontamination and top-k search against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -178,6 +179,28 @@ def test_decontamination(spark):
     assert got == [(1, 1, 26, 26), (3, 1, 22, 26), (4, 2, 1, 1), (7, 2, 1, 1), (8, 1, 26, 26)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+    twice = spark.createDataFrame(items + items[:2] + [(1, "another text of the same item")], "item_id long, text string")
+    assert decontam.contaminated(spark.createDataFrame([], "doc_id long, text string"), twice).count() == 0
+    got = sorted((x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 2, "item_id long, text string")).collect())
+    assert got == [(1, 1), (3, 1), (4, 2), (7, 2), (8, 1)]
+
+
+def test_only_sketch_hits_are_verified(spark):
+    """Documents that hold many shingles of an item but none of its sketch are no candidates, and any that holds enough is one."""
+    r = random.Random(5)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(5, 60)))) for i in range(40)]
+    s = decontam.item_shingles(spark.createDataFrame(items, "item_id long, text string"), 5, 0.8)
+    rows = s.collect()
+    size = {x.item_id: x.size for x in rows}
+    sketch = {i: {x.words for x in rows if x.item_id == i and x.in_sketch} for i in size}
+    assert all(len(sketch[i]) == size[i] - math.ceil(round(0.8 * size[i], 6)) + 1 == {x.part for x in rows if x.item_id == i}.pop() for i in size)
+    assert sum(map(len, sketch.values())) < 0.35 * len(rows)
+    docs = [(i * 100 + k, " ".join(t.split()[k : k + n])) for i, t in items for k, n in ((0, 60), (1, 60), (3, 12), (0, 6), (9, 40))]
+    found = {(x.doc_id, x.item_id) for x in decontam.candidates(spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", decontam.words(F.col("text")).alias("w")), s, [5]).collect()}
+    shingles = lambda t: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    assert found == {(d, i) for d, t in docs for i in size if shingles(t) & sketch[i]}
+    held = {(d, i) for d, t in docs for i, x in items if len(shingles(t) & shingles(x)) >= 0.8 * len(shingles(x))}
+    assert held <= found and len(found) < len({(d, i) for d, t in docs for i, x in items if shingles(t) & shingles(x)})
 
 
 def test_decontamination_is_native(spark, sf):
