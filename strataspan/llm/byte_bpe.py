@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding (operator 1).
 
-A long text is cut into overlapping chunks that are pre-tokenised in parallel. The pattern never puts a character
-that is not white space and a white-space character after it into one match, so each such place is a boundary
-whatever the position the scan began at: there the boundaries of two neighbouring chunks fall together again. In
-every overlap both chunks look for the first such place after which their boundaries agree; the left chunk ends
-there and the right one begins. A piece so cut is encoded by itself. Where an overlap has no such place (a run of
-letters longer than it, say), both chunks hand on the raw text around it, and the stitching encodes that. Decoding
+A long text is cut into overlapping chunks. Each is pre-tokenised by itself, in parallel, from its own first character on, which may lie
+within a pre-token: its first boundaries can be wrong, its later ones fall in with those of the scan before it. A chunk hands on the boundaries that
+it found in the overlap with the chunk before and in that with the chunk after. Where two chunks meet, the two scans' boundaries in the overlap are
+compared: from the first place on that both have, both go on alike, as a match depends on what follows it only; there the left chunk ends
+and the right one begins. A boundary near the end of a chunk isn't trusted, as a match may go on behind the end. The pre-tokens between two such places are
+encoded by themselves. Where an overlap has no such place (a run of letters longer than it, say), the stretch up to the next one that has is scanned and encoded as one. Decoding
 concatenates the bytes of the ids.
 
 Short texts are one chunk and never leave their task; only the chunks of long texts are dealt out.
 
 Defined results: a null or empty text has no ids; rows that repeat give repeated results; strings of special
-tokens are ordinary text; nothing is read from columns other than those named.
+tokens are ordinary text; very long texts are encoded whole; an empty table gives no rows; nothing is read from columns other than those named.
 """
 
 from __future__ import annotations
@@ -58,53 +58,94 @@ def starts(text: str, pattern: str) -> list[int]:
     return [m.start() for m in _scanner(pattern).finditer(text)]
 
 
-def _certain(text: str, at: int) -> bool:
-    return 0 < at < len(text) and text[at].isspace() and not text[at - 1].isspace()
-
-
-def sync_point(left: str, right: str, pattern: str) -> int | None:
-    """left: the end of a chunk, from some way before the overlap; right: the overlap as the next chunk sees it.
-    The first boundary in the overlap where both scans agree for good, or None."""
-    shift = len(left) - len(right)
-    seen = {s - shift for s in starts(left, pattern)}
-    return next((s for s in starts(right, pattern) if s in seen and s <= len(right) - EDGE and _certain(right, s)), None)
-
-
-def encode_chunk(text: str, first: bool, last: bool, overlap: int, encode, pattern: str) -> tuple[str, list[int] | None, str]:
-    """(raw text before the first boundary, ids of the piece, raw text after it). text has the overlap with the
-    next chunk at its end, unless it is the last; and the overlap with the one before at its start, unless it is
-    the first. ids is None if there is no boundary to begin at: all is raw then."""
-    body = len(text) if last else len(text) - overlap
-    begin, lead = 0, ""
-    if not first:
-        # the chunk before has the same overlap: both find the same place in it
-        head = text[: min(overlap, len(text))]
-        at = sync_point(head, head, pattern)
-        if at is None:
-            at = next((s for s in range(1, body) if _certain(text, s)), None)
-            if at is None:
-                return text[:body], None, ""
-            lead = text[:at]
-        begin = at
-    end, trail = len(text), ""
-    if not last:
-        tail = text[body:]
-        at = sync_point(tail, tail, pattern)
-        if at is not None:
-            end = body + at
+@lru_cache(4096)
+def _white(c: str) -> bool:
+    return _scanner(r"\s").match(c) is not None
+
+
+def scan(text: str, last: bool, pattern: str) -> list[int]:
+    """The boundaries that a chunk's own scan finds, but for those that text behind the chunk may move, and those after white space: a match of
+    white space looks at what follows it, so a piece that ended there would be pre-tokenised otherwise by itself."""
+    found = [s for s in starts(text, pattern) if not s or not _white(text[s - 1])]
+    if last:
+        return [*found, len(text)]
+    run = len(text) - _scanner(r"\s*").match(text[::-1]).end()  # white space that goes on behind the end may be split otherwise
+    return [s for s in found if s <= min(len(text) - EDGE, run)]
+
+
+def sync_point(left: list[int], right: list[int]) -> int | None:
+    """The first place that two scans of an overlap both have as a boundary, behind its first character; or None."""
+    both = set(left).intersection(right)
+    both.discard(0)
+    return min(both, default=None)
+
+
+def stitch(chunks: list[tuple[str, int | None, bytes | None]], size: int, pattern: str, encode) -> bytes:
+    """The ids of a text from its chunks in order: (text with the overlap behind it, where the piece begins, ids of the piece up to where
+    the next one begins). begin is None where the scan shares no boundary with that of the chunk before, ids where the piece has no end. Behind
+    such a place a scan counts again from the first beginning that is a boundary of the text scanned from there on."""
+    out, i = [], 0
+    while i < len(chunks):
+        _, begin, ids = chunks[i]
+        if ids is not None:
+            out.append(ids)
+            i += 1
+            continue
+        text, j = "", i
+        while j < len(chunks):
+            text += chunks[j][0][begin if j == i else 0 : size]
+            j += 1
+            if j < len(chunks) and chunks[j][1] is not None:
+                ahead = text + chunks[j][0]
+                at = len(text) + chunks[j][1]
+                if at in starts(ahead, pattern):
+                    text = ahead[:at]
+                    break
         else:
-            end = next((s for s in range(body, begin, -1) if _certain(text, s)), begin)
-            trail = text[end:body]
-    return lead, encode(text[begin:end]), trail
+            text += chunks[-1][0][size:]
+        out.append(np.array(encode(text), dtype="<u4").tobytes())
+        i = j
+    return b"".join(out)
 
 
-def _chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Rows (doc_id, text_key, _i, _n, chunk) of long texts; _copy tells repeated rows apart by number only."""
-    n = F.ceil((F.length("text") - overlap) / F.lit(size)).cast("int")
-    rows = docs.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    rows = rows.select("doc_id", "text_key", "text", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
-    length = F.when(F.col("_i") == F.col("_n") - 1, F.length("text")).otherwise(F.lit(size + overlap))
-    return rows.select("doc_id", "text_key", "_n", "_i", F.substr("text", F.col("_i") * size + 1, length).alias("chunk"))
+_CHUNK = "doc_id long, text_key string, n int, i int, kind int, chunk string, places array<int>"
+_PIECE = "doc_id long, text_key string, i int, copies int, chunk string, begin int, ids binary"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _cut(size: int, overlap: int):
+    """The chunks of each text: characters i * size to (i + 1) * size + overlap, the last all from i * size on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key, n = hashlib.md5(text.encode()).hexdigest(), max(1, -(-(len(text) - overlap) // size))
+                for i in range(n):
+                    yield _rows(_CHUNK, [(doc, key, n, i, 0, text[i * size : (i + 1) * size + overlap if i < n - 1 else len(text)], None)])
+
+    return run
+
+
+def _scanned(size: int, pattern: str):
+    """Chunks, and what their scans find in the overlaps, for the chunks after (kind 1) and before (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, n, i, _, text, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = scan(text, i == n - 1, pattern)
+                out = [(doc, key, n, i, 0, text, None)]
+                if i < n - 1:
+                    out.append((doc, key, n, i + 1, 1, None, [s - size for s in found if s >= size]))
+                if i:
+                    out.append((doc, key, n, i - 1, 2, None, found))
+                yield _rows(_CHUNK, out)
+
+    return run
 
 
 ENCODED = "doc_id long, ids binary"
@@ -140,35 +181,31 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, chunk: int
                 ids = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), *made.columns(ids)], names=made.names)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def piece(rows: pa.Table) -> pa.Table:
+        """A chunk's piece, between the places where its scan falls in with those of the chunks before and after."""
         enc, _ = encoder(ranks_file, pattern)
-        for batch in batches:
-            out = []
-            for n, i, text in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                lead, ids, trail = encode_chunk(text, i == 0, i == n - 1, overlap, enc.encode_ordinary, pattern)
-                out.append((lead, None if ids is None else np.array(ids, dtype="<u4").tobytes(), trail))
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.string()))]
-            yield pa.record_batch([*batch.columns[:2], batch.column(3), *cols], names=["doc_id", "text_key", "_i", "lead", "ids", "trail"])
-
-    def stitch(rows: pa.Table) -> pa.Table:
-        """One document's pieces in order, raw stretches between them encoded, for each of its copies."""
+        kind, text = rows.column("kind").to_pylist(), rows.column("chunk").to_pylist()
+        n, i, text = rows.column("n")[0].as_py(), rows.column("i")[0].as_py(), text[kind.index(0)]
+        told = {k: p for k, p in zip(kind, rows.column("places").to_pylist(), strict=True) if k}
+        own = scan(text, i == n - 1, pattern)
+        begin = sync_point(told[1], own) if i else 0
+        end = sync_point([s - chunk for s in own if s >= chunk], told[2]) if i < n - 1 else len(text) - chunk
+        ids = None if begin is None or end is None else np.array(enc.encode_ordinary(text[begin : chunk + end]), dtype="<u4").tobytes()
+        key = rows.column("doc_id")[0].as_py(), rows.column("text_key")[0].as_py()
+        return pa.Table.from_batches([_rows(_PIECE, [(*key, i, kind.count(0), text, begin, ids)])])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        """A document's pieces in order, for each of its copies."""
         enc, _ = encoder(ranks_file, pattern)
-        parts = {r["_i"]: r for r in rows.select(["_i", "lead", "ids", "trail"]).to_pylist()}
-        copies = rows.column("_i").to_pylist().count(0)
-        out, raw = [], ""
-        for _, r in sorted(parts.items()):
-            raw += r["lead"]
-            if r["ids"] is not None:
-                out += [np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes(), r["ids"]]
-                raw = r["trail"]
-        out.append(np.array(enc.encode_ordinary(raw), dtype="<u4").tobytes())
-        return pa.table([pa.array([rows.column("doc_id")[0].as_py()] * copies, pa.int64()), *made.columns([b"".join(out)] * copies)], names=made.names)
+        parts = sorted(zip(*(rows.column(c).to_pylist() for c in ("i", "chunk", "begin", "ids")), strict=True))
+        ids, copies = stitch([p[1:] for p in parts], chunk, pattern, enc.encode_ordinary), rows.column("copies")[0].as_py()
+        return pa.table([pa.array([rows.column("doc_id")[0].as_py()] * copies, pa.int64()), *made.columns([ids] * copies)], names=made.names)
 
     is_long = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
     near = docs.where(~is_long).mapInArrow(short, schema)
-    far = _chunks(docs.where(is_long), chunk, overlap).repartition("doc_id", "_i")
-    far = far.mapInArrow(pieces, "doc_id long, text_key string, _i int, lead string, ids binary, trail string")
-    return near.unionByName(far.groupBy("doc_id", "text_key").applyInArrow(stitch, schema))
+    far = docs.where(is_long).mapInArrow(_cut(chunk, overlap), _CHUNK).repartition("doc_id", "i").mapInArrow(_scanned(chunk, pattern), _CHUNK)
+    far = far.groupBy("doc_id", "text_key", "i").applyInArrow(piece, _PIECE)
+    return near.unionByName(far.groupBy("doc_id", "text_key").applyInArrow(whole, schema))
 
 
 def decode_ids(ids: bytes, ranks_file: str, pattern: str) -> bytes:
