@@ -4,12 +4,14 @@ The statistics are counts over the whole text and the most extreme line of it (a
 many good ones must stand out): shares of upper case, digits, symbols, bars and exclamation marks, words that repeat the one
 before, distinct words and word pairs. Random Fourier features approximate a Gaussian kernel over them. Each partition of
 labelled rows sums its normal equations, and the driver adds at most `PARTS` such sums of fixed size, so the fit does not
-grow with the corpus. Pool-adjacent-violators then maps ridge outputs to probabilities.
+grow with the corpus. Pool-adjacent-violators then maps ridge outputs to probabilities, on one in CALIBRATION of the labelled rows, which the ridge
+is not fitted on (on all of them if they are too few to be parted).
 
 The fit uses at most `sample` labelled rows (a hash of doc_id picks them when there are more); scoring covers every text.
 
 Defined results: a null text counts as empty; empty texts get the score of their statistics, all zero; without any usable label
-every score is 0.5; a null doc_id is not held out; repeated labels count repeatedly; a null label isn't used.
+every score is 0.5; a null doc_id is not held out; repeated labels count repeatedly; a null label isn't used; repeated documents get equal scores, very long
+texts are counted whole, an empty table has no scores, and columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import materialise, table
+from strataspan.llm.common import discard, materialise, table
 from strataspan.llm.shingles import batches, mix, word_hashes
 
 SAMPLE, PARTS = 200_000, 16
 FEATURES, RIDGE = 512, 1e-4
 THRESHOLD = 0.3
+#: One labelled document in so many calibrates; fewer than LEAST of them calibrate nothing.
+CALIBRATION, LEAST = 5, 40
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BAR, _BANG, _PUNCT, _HIGH = range(8)
 _CLASS = np.full(256, 8, dtype=np.uint8)
@@ -65,6 +69,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         begins = ~white & np.concatenate([[True], white[:-1]])
         word_at = np.concatenate([[0], np.cumsum(begins)])
         again = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+        again[bounds[:-1][bounds[:-1] < len(again)]] = False  # a text's first word repeats none
         sums = {}
         for name, at in (("doc", doc_at), ("line", line_at)):
             w_at = word_at[at]
@@ -147,17 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     docs = docs.select("doc_id", "text")
-    rows = docs.join(F.broadcast(known), docs.doc_id == known._doc).select("text", "y")  # `sample` rows or so of 16 bytes
+    apart = F.pmod(F.xxhash64(F.lit(1), "_doc"), F.lit(CALIBRATION)) == 0
+    rows = docs.join(F.broadcast(known), docs.doc_id == known._doc).select("text", "y", apart.alias("apart"))  # `sample` rows or so of 16 bytes
 
     def stats(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             x = statistics(batch.column(0).to_pylist())
-            yield pa.record_batch([pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "y"])
+            yield pa.record_batch([pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), *batch.columns[1:]], names=["x", "y", "apart"])
 
-    rows = materialise(rows.mapInArrow(stats, "x binary, y double"), "labelled").coalesce(PARTS)
+    labelled = materialise(rows.mapInArrow(stats, "x binary, y double, apart boolean"), "labelled")
+    kept = {r["apart"]: r["n"] for r in labelled.groupBy("apart").agg(F.count("*").alias("n")).collect()}
+    parted = min(kept.get(True, 0), kept.get(False, 0)) >= LEAST
+    rows = labelled.where("not apart" if parted else "true").select("x", "y").coalesce(PARTS)
     dim = statistics([""]).shape[1]
     s = _partial(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 2 * dim + 1)
     if not s[0]:
+        discard(labelled)
         return None
     mean = s[1 : dim + 1] / s[0]
     model = Model(mean, np.sqrt(np.maximum(s[dim + 1 :] / s[0] - mean**2, 1e-8)))
@@ -178,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
             x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<f8").reshape(batch.num_rows, -1)
             yield pa.record_batch([pa.array(model.raw(x) if len(x) else np.zeros(0)), batch.column(1)], names=["x", "y"])
 
-    pairs = rows.mapInArrow(outputs, "x double, y double").toPandas()
+    pairs = labelled.where("apart" if parted else "true").select("x", "y").coalesce(PARTS).mapInArrow(outputs, "x double, y double").toPandas()  # `sample` rows at most
+    discard(labelled)
     model.steps = isotonic(pairs["x"].to_numpy(), pairs["y"].to_numpy())
     return model
 
@@ -191,6 +202,7 @@ def score_column(model: Model | None, text):
     """A column with the quality of a text, 0 to 1."""
     if model is None:
         return F.lit(0.5)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(statistics(texts.tolist())))
