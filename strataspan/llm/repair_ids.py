@@ -1,8 +1,9 @@
 """Token-id output in binary shards, compressed by a Re-Pair grammar (operator 9).
 
 Documents are dealt out by ranges of doc_id and sorted, so shards in order of (range, number) hold all ids in ascending doc_id order.
-Within a shard, frequent pairs of neighbouring ids are replaced by nonterminals, many distinct pairs a round, until no pair is
-frequent enough or symbols run out; the shard keeps the rules, the length that each nonterminal expands to, the compressed sequence and an
+Within a shard, frequent pairs of neighbouring ids are replaced by nonterminals, many distinct pairs a round, until no rule pays any more: it
+takes RULE bytes, and each use of it saves a symbol. Symbols have 2 bytes while that is enough; when these run out, they get 4 if the pairs that
+are left would shorten the sequence by more than half, else the grammar is complete. There is no limit of rounds. The shard keeps the rules, the length that each nonterminal expands to, the compressed sequence and an
 index of documents. Expansion lengths let a range of ids be decoded without the rest of the shard. Shards are rows of Parquet files in the shared folder:
 they are written and found again by Spark in whatever store that is.
 
@@ -13,7 +14,11 @@ to the tokenizers library whole. Words are told apart by a 64-bit hash, among th
 A shard: magic RPAIR1, then little-endian unsigned 32-bit: documents, rules, sequence length, ids, bytes a symbol (2 or 4), first
 nonterminal; then int64 doc_ids (with a byte each that is 1 for a null), uint32 counts, rules as pairs of uint32, uint32 expansion lengths, the sequence.
 
-Defined results: a null or empty text has only the end id; equal doc_ids stand in order of their text; a null doc_id comes first.
+Texts are dealt out as they are and encoded where their shard is: ids of 2 bytes take no less room in a shuffle than compressed text, and encoding
+first would either encode twice (ranges are sampled) or write all ids once more.
+
+Defined results: a null or empty text has only the end id; equal doc_ids stand in order of their text, repeated rows next to each other; a null doc_id comes first; very long
+texts are encoded whole; an empty table has no shards; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from strataspan.llm.common import materialise, shuffle_partitions, table
 
 MAGIC = b"RPAIR1"
 SHARD_IDS = 4_000_000
-A_ROUND, LEAST = 4096, 24
+A_ROUND = 4096
+#: Bytes of a rule: two symbols and a length.
+RULE = 12
 CACHE_IDS = 12_000_000
 
 #: ASCII and Latin letters: lower case is one character each, normal form C changes nothing, digits are 0-9 only.
@@ -168,13 +175,20 @@ def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[np.nda
     return [np.append(x, np.uint32(end_id)).astype("<u4") for x in out]
 
 
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions, those that remain when neighbours overlap: every other one of each run."""
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of ascending positions with these ranks remain where neighbours overlap: those of a smaller rank than both, and every other
+    one of a run of one rank."""
     if not len(at):
-        return at
-    new = np.concatenate([[True], np.diff(at) > 1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - first) % 2 == 0]
+        return np.zeros(0, bool)
+    near = np.diff(at) == 1
+    run = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
+    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+    key = 2 * rank.astype(np.int64) + (np.arange(len(at)) - first) % 2
+    less = key[1:] < key[:-1]
+    keep = np.ones(len(at), bool)
+    keep[1:] &= ~near | less
+    keep[:-1] &= ~near | ~less & (key[1:] != key[:-1])
+    return keep
 
 
 SLOT_BITS = 18
@@ -187,34 +201,50 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, a_round: int = A_ROUND, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, base) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the pair at each place, the distinct pairs, how often each occurs)."""
+    keys = seq[:-1] * base + seq[1:]
+    ordered = np.sort(keys)
+    cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return keys, ordered[cut], np.diff(np.append(cut, len(ordered)))
+
+
+def compress(ids: np.ndarray, a_round: int = A_ROUND) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first nonterminal, rules, expansion lengths, sequence). Rule k stands for symbol first + k."""
     first = int(ids.max(initial=0)) + 1
-    room = (1 << 16) - first if first < 1 << 15 or first + 1024 < 1 << 16 else (1 << 31) - first
-    kind = np.uint32 if first + room <= 1 << 16 else np.uint64
-    base = kind((1 << 16) if kind is np.uint32 else (1 << 32))
-    seq, rules, lengths = ids.astype(kind), [], np.ones(first, dtype=np.int64)
-    made = 0
-    while len(seq) > 1 and made < room:
-        keys = seq[:-1] * base + seq[1:]
-        ordered = np.sort(keys)
-        cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.concatenate([cut, [len(ordered)]]))
-        often = np.flatnonzero(count >= least)
+    width = 2 if first < 1 << 16 else 4
+    seq, rules, lengths, made = ids.astype(np.uint32 if width == 2 else np.uint64), [], np.ones(first, dtype=np.int64), 0
+    while len(seq) > 1:
+        kind = seq.dtype.type
+        keys, pairs_, count = _pairs(seq, kind(1 << 16 if width == 2 else 1 << 32))
+        room = (1 << 16 if width == 2 else 1 << 31) - first - made
+        double = pairs_ // kind(1 << 16 if width == 2 else 1 << 32) == pairs_ % kind(1 << 16 if width == 2 else 1 << 32)
+        count = np.where(double, (count + 1) // 2, count)  # xx overlaps itself
+        often = np.flatnonzero(count * width > RULE)
+        if width == 2 and not room:
+            if 2 * (count[count * 4 > RULE] - 1).sum() <= len(seq):
+                break
+            width, seq = 4, seq.astype(np.uint64)
+            continue
         if not len(often):
             break
-        take = min(a_round, room - made, len(often))
-        often = often[np.argsort(-count[often], kind="stable")[:take]]
-        chosen = ordered[cut[often]]
+        often = often[np.argsort(-count[often], kind="stable")[: min(a_round, room)]]
+        chosen = pairs_[often]
         _, alone = np.unique(_slot(chosen), return_index=True)  # one pair for each slot, the most frequent; others may come next round
         chosen = chosen[np.sort(alone)]
         slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         slots[_slot(chosen)] = np.arange(len(chosen))
         at = slots[_slot(keys)]
-        hit = _apart(np.flatnonzero(chosen[at] == keys))
-        symbol = at[hit]
-        used, symbol = np.unique(symbol, return_inverse=True)
-        pairs = np.stack([chosen[used] // base, chosen[used] % base], axis=1)
+        hit = np.flatnonzero(chosen[at] == keys)
+        hit = hit[_apart(hit, at[hit])]
+        used, uses = np.unique(at[hit], return_counts=True)
+        pays = used[uses * width > RULE]  # uses that overlap those of more frequent pairs are lost; the first pair loses none
+        number = np.full(len(chosen), -1)
+        number[pays] = np.arange(len(pays))
+        hit = hit[number[at[hit]] >= 0]
+        symbol = number[at[hit]]
+        base = kind(1 << 16 if width == 2 else 1 << 32)
+        pairs = np.stack([chosen[pays] // base, chosen[pays] % base], axis=1)
         rules.append(pairs)
         lengths = np.concatenate([lengths, lengths[pairs[:, 0].astype(np.int64)] + lengths[pairs[:, 1].astype(np.int64)]])
         seq = seq.copy()
@@ -222,7 +252,7 @@ def compress(ids: np.ndarray, a_round: int = A_ROUND, least: int = LEAST) -> tup
         keep = np.ones(len(seq), dtype=bool)
         keep[hit + 1] = False
         seq = seq[keep]
-        made += len(used)
+        made += len(pays)
     table_ = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
     return first, table_, lengths[first:].astype("<u4"), seq
 
