@@ -208,6 +208,28 @@ def test_decontamination_is_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_blocks_are_skipped(spark):
+    """Where vectors have some structure, bounds fall below the k-th score; results stay exact, with a floor from elsewhere too."""
+    r = np.random.Generator(np.random.PCG64(1))
+    x = np.floor(256 * (r.normal(size=(40, 32))[r.integers(0, 40, 4000)] + 0.15 * r.normal(size=(4000, 32)))).astype(np.int64)
+    ids = np.arange(len(x)) * 3
+    q, q_ids = x[::50], ids[::50]
+    s = np.where(q_ids[:, None] == ids, -(2**62), q @ x.T)
+    best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
+    blocks = topk.blocks_of(ids, x, 128)
+    assert np.array_equal(np.sort(np.concatenate(blocks)), np.arange(len(x))) and max(map(len, blocks)) <= 128
+    bound = topk.bounds_of(q, x, blocks)
+    assert all((bound[:, k] >= (q @ x[b].T).max(axis=1)).all() for k, b in enumerate(blocks))
+    for floor in (None, np.take_along_axis(s, best[:, 4:], 1)[:, 0]):
+        who, found, score, (pairs, scored) = topk.search_block(q_ids, q, ids, x, 5, 128, floor)
+        assert np.array_equal(found.reshape(-1, 5), ids[best]) and scored < 0.2 * pairs
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids[:1200], x[:1200], strict=True)], "vec_id long, embedding array<double>")
+    pairs, scored = topk.pruning(topk.quantise(df, scale=1), F.col("vec_id") % 50 == 0, group=300, block=32)
+    assert 0 < scored < 0.5 * pairs
+    with pytest.raises(OverflowError):
+        topk.search_block(q_ids, q * 2**40, ids, x * 2**20, 5, 128)
+
+
 def test_topk(spark):
     r = np.random.Generator(np.random.PCG64(3))
     rows = [(i, [float(x) for x in np.round(r.normal(size=8), 1)]) for i in range(300)]
@@ -222,6 +244,9 @@ def test_topk(spark):
     df = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(0)))
     out = topk.topk_search(df, F.col("vec_id") % 50 == 0, 5, group=64, queries=3, block=16)
     assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    again = df.unionByName(df.where("vec_id in (50, 3, 351)"))
+    out = topk.topk_search(again, F.col("vec_id") % 50 == 0, 5, group=64, queries=3, block=16)
+    assert out.where("query_id = 100").count() == 5 and out.where("query_id <> 50").groupBy("query_id", "rank").count().where("count > 1").isEmpty()
     two = topk.topk_search(df.where("vec_id in (0, 7)"), F.col("vec_id") % 50 == 0)
     assert [(x.query_id, x.vec_id) for x in two.collect()] == [(0, 7)]
     assert topk.topk_search(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0

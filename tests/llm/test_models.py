@@ -67,11 +67,47 @@ def test_html_keeps_what_is_the_article():
     assert html_text.main_text(f'<div>{p * 2}</div><div id="comments">{p * 4}</div>') == "\n".join([said] * 2)
 
 
+SENTENCE = "A sentence of the text that counts. " * 6
+PARAGRAPH, SAID = f"<p>{SENTENCE}</p>", SENTENCE.strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="layout with-sidebar"><article>{PARAGRAPH * 3}</article><div class="sidebar">{PARAGRAPH}</div></div>', [SAID] * 3),
+        (f'<div id=page class="no-sidebar">{PARAGRAPH * 3}</div>', [SAID] * 3),
+        (f'<article>{PARAGRAPH}<p title="a hidden gem">{SENTENCE}</p></article>', [SAID] * 2),
+        (f'<main>{PARAGRAPH * 3}<article class="comment">{PARAGRAPH}</article><article class="comment-body">{PARAGRAPH}</article><section id=responses>{PARAGRAPH * 2}</section></main>', [SAID] * 3),
+        (f"<div><a href=1>l1</a><a href=2>l2</a></div><div>{PARAGRAPH * 3}<ul><li><a href=1>First source</a><li><a href=2>Second source</a></ul></div>", [SAID] * 3 + ["First source", "Second source"]),
+        (f"<form action=x><div><a href=1>l1</a><a href=2>l2</a></div><div>{PARAGRAPH * 3}</div><input name=q></form>", [SAID] * 3),
+        (f"<article>{PARAGRAPH}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p></article>", [SAID, "Let x=1 be so."]),
+        (f"<article>{PARAGRAPH * 2}<form><p>Sign up for it</p><input></form></article>", [SAID] * 2),
+        (f'<div class="comments">{PARAGRAPH * 3}</div>', [SAID] * 3),
+    ],
+)
+def test_html_whole_names_and_wrappers(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_html_by_density_alone():
+    """The core is chosen by density sums; neighbours below the threshold of the body path stay out, whatever they are called."""
+    short = "".join(f"<div><span>Tag {i}</span><span>Go</span></div>" for i in range(12))
+    page = f"<div><div>{short}</div><div><h1>The title</h1><div>{PARAGRAPH * 5}</div></div><div>{short}</div></div>"
+    assert html_text.main_text(page).split("\n") == ["The title"] + [SAID] * 5
+    root = html_text.parse(page)
+    top, core, threshold = html_text._chosen(root)
+    outside = [k for k in root.kids[0].kids if not html_text._inside_node(core, k)]
+    assert len(outside) == 2 and all(0 < k.density < threshold for k in outside)
+    assert core.total == sum(k.density for k in core.kids)
+
+
 def test_html_table(spark, sf):
     df = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     out = html_text.extract(df).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in out) == [("1", len(html_text.main_text(PAGE)))] * 2 + [("None", 0)] and html_text.extract(df.where("false")).count() == 0
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    for r in pages:  # the same article where no element says that it is one
+        assert html_text.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)) == html_text.main_text(r.html)
     out = {r.page_id: r.text for r in html_text.op5_html_text(spark, sf).collect()}
     import html
 
@@ -103,6 +139,9 @@ def test_quality(spark):
 def test_statistics_are_of_the_text():
     a, b, c = quality.statistics(["Plain words, as they come.", "PLAIN WORDS!! AS!! THEY COME", None])
     assert not np.allclose(a, b) and c[0] == 0 and len(quality.statistics([])) == 0
+    texts = ["alpha beta", "beta gamma delta", "", None, "delta", "delta delta", "\n\nx y\nz", "z"]
+    alone = [quality.statistics([t])[0] for t in texts]
+    assert np.array_equal(quality.statistics(texts), alone) and np.array_equal(quality.statistics(texts[::-1]), alone[::-1])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
@@ -122,11 +161,26 @@ def test_repair_roundtrip(n):
         repair_ids.Shard(b"something else")
 
 
-def test_repair_goes_on_while_pairs_are_frequent():
-    ids = np.tile(np.arange(256, dtype="<u4"), 100)  # copies of one text
+@pytest.mark.parametrize("top, width", [(256, 2), (60_000, 2), (70_000, 4)])
+def test_repair_goes_on_while_rules_pay(top, width):
+    r = np.random.Generator(np.random.PCG64(top))
+    for ids in (np.tile(np.arange(top - 256, top), 100), r.integers(0, top, 30_000), np.concatenate([np.tile(r.integers(0, top, 50), r.integers(1, 30)) for _ in range(300)])):
+        ids = ids.astype("<u4")
+        first, rules, lengths, seq = repair_ids.compress(ids)
+        keys = seq[:-1].astype(np.int64) << 32 | seq[1:].astype(np.int64)
+        at, count = np.unique(keys, return_counts=True)
+        count = np.where(at >> 32 == at & 0xFFFFFFFF, (count + 1) // 2, count)  # xx overlaps itself
+        assert count.max(initial=0) * (2 if first + len(rules) <= 1 << 16 else 4) <= repair_ids.RULE or first + len(rules) == 1 << 16
+        assert np.array_equal(repair_ids.Shard(repair_ids.pack([1], [ids])).ids(), ids)
+    first, rules, lengths, seq = repair_ids.compress(np.tile(np.arange(256, dtype="<u4"), 100))
+    assert lengths.max() > 100 and len(seq) < 20
+
+
+def test_repair_takes_wider_symbols_where_that_pays():
+    r = np.random.Generator(np.random.PCG64(4))
+    ids = np.tile(r.permutation(65_500).astype("<u4"), 12)
     first, rules, lengths, seq = repair_ids.compress(ids)
-    keys = seq[:-1].astype(np.int64) << 32 | seq[1:].astype(np.int64)
-    assert np.unique(keys, return_counts=True)[1].max() < repair_ids.LEAST and lengths.max() > 100
+    assert first + len(rules) > 1 << 16 and 4 * len(seq) + repair_ids.RULE * len(rules) < 1.1 * 2 * len(ids)
     assert np.array_equal(repair_ids.Shard(repair_ids.pack([1], [ids])).ids(), ids)
 
 
@@ -152,7 +206,16 @@ def test_token_shards(spark, sf):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
         assert g == (d, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert repair_ids.op9_token_shards(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows += [(9, "nine " * 3000)]  # repeated
+    assert repair_ids.read_shards(repair_ids.write_shards(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_ids", F.lit(1)), WORDS, 2)).count() == len(rows)
+    at = 0
+    out = {r.doc_id: r for r in repair_ids.op9_token_shards(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert out.keys() == docs.keys()
+    for d in sorted(docs):
+        ids = np.array(t.encode(docs[d] or "", add_special_tokens=False).ids + [2], dtype="<u4")
+        assert (out[d].start, out[d].n_tokens, out[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
     assert repair_ids.read_shards(repair_ids.write_shards(spark.createDataFrame([], "doc_id long, text string"), WORDS, 2)).count() == 0
 
 
