@@ -78,17 +78,17 @@ def _fitting_gap(merged: DataFrame, keys: list[str], first: int, floor: int, lim
     return pivot.select(*keys, F.when(fits, F.lit(first)).otherwise(F.lit(base) * F.pow(F.lit(2.0), doublings).cast("long")).alias("_gap"))
 
 
-def normalize(df: DataFrame, keys: list[str], size: Column | int, gap: int = GAP, align: int = ALIGN, limit: int = MAX_EXTENTS) -> DataFrame:
+def normalize(df: DataFrame, keys: list[str], size: Column | int, gap: int = GAP, align: int = ALIGN, limit: int = MAX_EXTENTS, width: int | None = None) -> DataFrame:
     """Align outwards, clamp to size, merge; where more than `limit` ranges are left in a key, the gap doubles until they fit. The
     doubling is solved from the distances, not looped."""
-    merged = merge_gap(align_out(df, align, size), keys, gap)
+    merged = merge_gap(align_out(df, align, size), keys, gap, width)
     wide = merged.join(_fitting_gap(merged, keys, gap, ALIGN, limit), keys)
     return _islands(wide, [*keys, "_gap"], F.col("_gap")).drop("_gap")
 
 
-def limit_extents(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+def limit_extents(df: DataFrame, keys: list[str], most: int, width: int | None = None) -> DataFrame:
     """Merge the closest ranges until at most `most` are left in a key, the gap starting at twice GAP; nothing is dropped."""
-    merged = merge_gap(df, keys, 0)
+    merged = merge_gap(df, keys, 0, width)
     count = Window.partitionBy(*keys)
     n = merged.withColumn("_n", F.count("*").over(count))
     few = n.where(F.col("_n") <= max(most, 1)).drop("_n")
@@ -97,9 +97,9 @@ def limit_extents(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return few.unionByName(_islands(wide, [*keys, "_gap"], F.col("_gap")).drop("_gap"))
 
 
-def complement(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+def complement(df: DataFrame, keys: list[str], bounds: DataFrame, width: int | None = None) -> DataFrame:
     """What the ranges leave free of each key's [low, high) in bounds (keys, low, high), both edges included."""
-    merged = merge_gap(df, keys).join(bounds, keys, "right")
+    merged = merge_gap(df, keys, width=width).join(bounds, keys, "right")
     w = Window.partitionBy(*keys).orderBy("start")
     some = F.col("start").isNotNull()  # a key without ranges is free from low to high
     inside = merged.withColumns({"start": F.when(some, F.least(F.greatest("start", "low"), "high")), "end": F.when(some, F.greatest(F.least("end", "high"), "low"))})
@@ -116,14 +116,17 @@ def _cells(df: DataFrame, width: int, name: str) -> DataFrame:
     return df.withColumn(f"{name}first", first).withColumn("_cell", F.explode(F.sequence(first, last)))
 
 
+def _spans(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each range once: what the ranges of a table are told apart by, whatever order its rows come in."""
+    return df.select(*keys, "start", "end").distinct()
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, how: str = "inner") -> DataFrame:
     """All overlapping pairs: the columns of left, and of right with `r_` before start and end. how: inner, or left_semi or left_anti
     for the left rows that overlap something or nothing."""
     r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"}).where("r_start < r_end")
     if how in ("left_semi", "left_anti"):
-        row = left.withColumn("_row", F.monotonically_increasing_id())
-        hit = range_join(row.where("start < end"), right.select(*keys, "start", "end"), keys, width).select("_row").distinct()
-        return row.join(hit, "_row", how).drop("_row")
+        return left.join(_spans(range_join(_spans(left, keys), right.select(*keys, "start", "end"), keys, width), keys), [*keys, "start", "end"], how).select(*left.columns)
     a, b = _cells(left.where("start < end").withColumnsRenamed({"start": "l_start", "end": "l_end"}), width, "l_"), _cells(r, width, "r_")
     both = a.join(b, [*keys, "_cell"]).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.col("_cell") == F.greatest("l_first", "r_first")))
     return both.drop("_cell", "l_first", "r_first").withColumnsRenamed({"l_start": "start", "l_end": "end"})
@@ -139,9 +142,8 @@ def overlap_sum(ranges: DataFrame, windows: DataFrame, keys: list[str], width: i
 
 def not_covered(ranges: DataFrame, by: DataFrame, keys: list[str], width: int) -> DataFrame:
     """The ranges that lie within none of `by`."""
-    row = ranges.withColumn("_row", F.monotonically_increasing_id())
-    inside = range_join(row, by.select(*keys, "start", "end"), keys, width).where("r_start <= start and end <= r_end").select("_row").distinct()
-    return row.join(inside, "_row", "left_anti").drop("_row")
+    inside = range_join(_spans(ranges, keys), by.select(*keys, "start", "end"), keys, width).where("r_start <= start and end <= r_end")
+    return ranges.join(_spans(inside, keys), [*keys, "start", "end"], "left_anti").select(*ranges.columns)
 
 
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,12 +185,11 @@ def locate(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, width
     return range_join(p, ranges, keys, width).drop("start", "end")
 
 
-def overlay(patches: DataFrame, keys: list[str], order: str) -> DataFrame:
+def overlay(patches: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """Ranges that hide each other, a larger `order` on top: the visible stretches (keys, start, end, order). Each stretch between
-    neighbouring edges goes to the largest order that covers it."""
-    p = patches.where("start < end")
+    neighbouring edges goes to the largest order that covers it; a range join finds those that do."""
+    p = patches.where("start < end").select(*keys, "start", "end", order)
     edges = p.select(*keys, F.explode(F.array("start", "end")).alias("start")).distinct()
     w = Window.partitionBy(*keys).orderBy("start")
-    cells = edges.withColumn("end", F.lead("start").over(w)).where(F.col("end").isNotNull())
-    covered = cells.join(p.withColumnsRenamed({"start": "p_start", "end": "p_end"}), keys).where("p_start <= start and end <= p_end")
-    return covered.groupBy(*keys, "start", "end").agg(F.max(order).alias(order))
+    stretches = edges.withColumn("end", F.lead("start").over(w)).where(F.col("end").isNotNull())
+    return range_join(stretches, p, keys, width).groupBy(*keys, "start", "end").agg(F.max(order).alias(order))

@@ -68,7 +68,7 @@ def longest_prefix(paths: DataFrame, path: str, mounts: DataFrame, mount: str) -
     spread = paths.withColumn("_at", F.explode(ancestors(F.col(path))))
     rest = mounts.columns
     found = spread.join(m, "_at").groupBy(*names).agg(F.max_by(F.struct(*rest), F.length("_at")).alias("_m"))
-    return paths.distinct().join(found, names, "left").select(*names, *[F.col(f"_m.{c}").alias(c) for c in rest])
+    return paths.join(found, names, "left").select(*names, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
 def recheck(chosen: DataFrame, now: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -200,4 +200,4 @@ SELECT c.user_id, c.s AS start_us, c.e AS end_us, max(event_id) AS event_id FROM
 def overlay_patches(spark: SparkSession, sf: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     p = table(spark, sf, "events").select("user_id", us.alias("start"), (us + 2 * HOUR_US).alias("end"), "event_id")
-    return extents.overlay(p, ["user_id"], "event_id").select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "event_id")
+    return extents.overlay(p, ["user_id"], "event_id", 6 * HOUR_US).select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "event_id")

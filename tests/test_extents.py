@@ -83,7 +83,7 @@ def test_overlap_sum(spark):
 
 def test_overlay_last_wins(spark):
     p = [(1, 0, 100, 1), (1, 50, 80, 2), (1, 60, 70, 3)]
-    df = extents.overlay(spark.createDataFrame(p, "k long, start long, end long, ord int"), ["k"], "ord")
+    df = extents.overlay(spark.createDataFrame(p, "k long, start long, end long, ord int"), ["k"], "ord", 16)
     assert sorted((r.start, r.end, r.ord) for r in df.collect()) == [(0, 50, 1), (50, 60, 2), (60, 70, 3), (70, 80, 2), (80, 100, 1)]
 
 
