@@ -128,16 +128,26 @@ class _LineReader(DataSourceStreamReader):
     """Offsets are the bytes of each file so far; a line counts once it has ended."""
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.most = options["path"], int(options.get("maxbytespertrigger", options.get("maxBytesPerTrigger", 16 << 20)))
+        self.seen: dict[str, int] = {}
+
+    def _ended(self, name: str) -> int:
+        """How far the file's lines have ended: only what came since the last look is read, at most `most` bytes of it, but always a whole line."""
+        path, start = os.path.join(self.folder, name), self.seen.get(name, 0)
+        size, length = os.path.getsize(path), self.most
+        with open(path, "rb") as f:
+            while size > start:
+                f.seek(start)
+                data = f.read(length)
+                end = max(data.rfind(b"\n"), data.rfind(b"\r")) + 1
+                if end or start + len(data) >= size:
+                    return start + end
+                length *= 2
+        return start
 
     def _sizes(self) -> dict[str, int]:
-        out = {}
-        for name in sorted(os.listdir(self.folder)):
-            path = os.path.join(self.folder, name)
-            with open(path, "rb") as f:
-                data = f.read()
-            out[name] = max(data.rfind(b"\n"), data.rfind(b"\r")) + 1
-        return out
+        self.seen = {name: self._ended(name) for name in sorted(os.listdir(self.folder))}
+        return dict(self.seen)
 
     def initialOffset(self) -> dict:
         return {}
@@ -146,6 +156,7 @@ class _LineReader(DataSourceStreamReader):
         return self._sizes()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.seen = {**end, **self.seen}
         return [_Offsets(os.path.join(self.folder, n), start.get(n, 0), e) for n, e in end.items() if e > start.get(n, 0)]
 
     def read(self, partition: _Offsets) -> Iterator[tuple]:

@@ -110,7 +110,7 @@ def test_linux_drives(spark):
     from strataspan.plans.image_queries import LSBLK
 
     found = drives.parse_lsblk(json.dumps(LSBLK))
-    assert [(d.name, d.kind, d.bus, d.removable, d.system, d.volumes) for d in found] == [("WDC WD5000", "Hdd", "SATA", False, True, ["root (ext4)"]), ("SanDisk Cruzer Blade", "Usb", "USB", True, False, ["FAT"])]
+    assert [(d.name, d.kind, d.bus, d.removable, d.system, d.volumes) for d in found] == [("Quarry Q500", "Hdd", "SATA", False, True, ["root (ext4)"]), ("Harbour Pebble Mini", "Usb", "USB", True, False, ["FAT"])]
     card = {"name": "mmcblk0", "size": "8", "type": "disk", "children": [{"name": "p1", "mountpoints": [None, "[SWAP]"]}]}
     assert drives.parse_lsblk(json.dumps({"blockdevices": [card]}), lambda n: "MMC")[0].bus == "eMMC"
     (d,) = drives.parse_lsblk(json.dumps({"blockdevices": [card, {**card, "name": "mmcblk0boot0"}, {"name": "loop0", "type": "loop", "ro": True, "size": 9}]}))
@@ -123,20 +123,20 @@ def test_linux_drives(spark):
 def test_mac_drives():
     listing = {"AllDisksAndPartitions": [
         {"DeviceIdentifier": "disk0", "Size": 500, "Partitions": [{"DeviceIdentifier": "disk0s2", "Content": "Apple_APFS"}]},
-        {"DeviceIdentifier": "disk3", "APFSPhysicalStores": [{"DeviceIdentifier": "disk0s2"}], "APFSVolumes": [{"VolumeName": "Macintosh HD", "MountedSnapshots": [{"SnapshotMountPoint": "/"}]}, {"VolumeName": "Data", "MountPoint": "/System/Volumes/Data"}]},
-        {"DeviceIdentifier": "disk4", "Size": 64, "Content": "FDisk_partition_scheme", "Partitions": [{"VolumeName": "CARD", "Content": "DOS_FAT_32", "MountPoint": "/Volumes/CARD"}]},
+        {"DeviceIdentifier": "disk3", "APFSPhysicalStores": [{"DeviceIdentifier": "disk0s2"}], "APFSVolumes": [{"VolumeName": "Orchard", "MountedSnapshots": [{"SnapshotMountPoint": "/"}]}, {"VolumeName": "Cellar", "MountPoint": "/System/Volumes/Data"}]},
+        {"DeviceIdentifier": "disk4", "Size": 64, "Content": "FDisk_partition_scheme", "Partitions": [{"VolumeName": "HOLIDAY", "Content": "DOS_FAT_32", "MountPoint": "/Volumes/HOLIDAY"}]},
     ]}
-    info = {"disk0": {"Internal": True, "BusProtocol": "Apple Fabric", "MediaName": "APPLE SSD Media", "TotalSize": 0, "Size": "500"}, "disk4": {"Internal": True, "BusProtocol": "USB", "MediaName": "Built In SDXC Reader", "RemovableMedia": True, "WritableMedia": False}}
+    info = {"disk0": {"Internal": True, "BusProtocol": "Apple Fabric", "MediaName": "Orchard SSD Media", "TotalSize": 0, "Size": "500"}, "disk4": {"Internal": True, "BusProtocol": "USB", "MediaName": "Built In SDXC Reader", "RemovableMedia": True, "WritableMedia": False}}
     a, b = drives.parse_diskutil(listing, info)
-    assert (a.name, a.size, a.kind, a.system, a.volumes, a.unmount) == ("APPLE SSD", 500, "Ssd", True, ["Macintosh HD (APFS)", "Data (APFS)"], ["/dev/disk3", "/dev/disk0"])
-    assert (b.kind, b.bus, b.removable, b.system, b.read_only, b.volumes, b.io_path) == ("Sd", "SD", True, False, True, ["CARD (FAT32)"], "/dev/rdisk4")
+    assert (a.name, a.size, a.kind, a.system, a.volumes, a.unmount) == ("Orchard SSD", 500, "Ssd", True, ["Orchard (APFS)", "Cellar (APFS)"], ["/dev/disk3", "/dev/disk0"])
+    assert (b.kind, b.bus, b.removable, b.system, b.read_only, b.volumes, b.io_path) == ("Sd", "SD", True, False, True, ["HOLIDAY (FAT32)"], "/dev/rdisk4")
     assert [drives.whole_disk(x) for x in ("disk4s2", "disk12", "nvme0")] == ["disk4", "disk12", "nvme0"]
 
 
 def test_windows_drives():
-    disks = [{"Number": 1, "Name": "Flash USB Device", "Size": 16, "Bus": "7", "Volumes": {"value": [{"Letter": "e", "Label": "S", "FileSystem": "FAT32"}, {"Letter": "\0", "Guid": "\\\\?\\Volume{ab}\\", "Folders": ["C:\\m\\"]}, {}], "Count": 3}}, {"Number": None, "Size": 5}, {"Number": "2", "Size": 0}]
+    disks = [{"Number": 1, "Name": "Pebble USB Device", "Size": 16, "Bus": "7", "Volumes": {"value": [{"Letter": "e", "Label": "S", "FileSystem": "FAT32"}, {"Letter": "\0", "Guid": "\\\\?\\Volume{ab}\\", "Folders": ["C:\\m\\"]}, {}], "Count": 3}}, {"Number": None, "Size": 5}, {"Number": "2", "Size": 0}]
     (d,) = drives.parse_powershell("noise\r\n\ufeff" + json.dumps(disks))
-    assert (d.name, d.kind, d.mountpoints, d.volumes, d.lock) == ("Flash", "Usb", ["E:\\", "C:\\m\\"], ["S (FAT32)"], ["E:", "\\\\?\\Volume{ab}"])
+    assert (d.name, d.kind, d.mountpoints, d.volumes, d.lock) == ("Pebble", "Usb", ["E:\\", "C:\\m\\"], ["S (FAT32)"], ["E:", "\\\\?\\Volume{ab}"])
     assert drives.parse_powershell(json.dumps(disks[0]))[0].path == "\\\\.\\PhysicalDrive1"
     assert drives.parse_powershell('{"value": [], "Count": 0}') == []
     with pytest.raises(ValueError):
@@ -144,7 +144,7 @@ def test_windows_drives():
 
 
 def drive(path="/dev/sdb", size=32 * 10**9, **more):
-    return drives.Drive(path, path, "Stick", size, "USB", "Usb", True, more.pop("system", False), more.pop("read_only", False), **more)
+    return drives.Drive(path, path, "Pebble", size, "USB", "Usb", True, more.pop("system", False), more.pop("read_only", False), **more)
 
 
 def test_plans(tmp_path):
@@ -153,18 +153,21 @@ def test_plans(tmp_path):
     p = jobs.Plan(raw, drive())
     assert p.command_line() == "dd if='/img/a b.img' of=/dev/sdb bs=4M oflag=direct status=progress && sync" and p.problem() is None and p.total == 5 * 10**9
     assert jobs.Plan(xz, drive()).command_line() == "xz -dc /img/a.xz | dd of=/dev/sdb bs=4M oflag=direct status=progress && sync"
-    assert jobs.Plan(xz, drive()).problem() == "The source (40.0 GB) doesn't fit on the target drive (32.0 GB)."
+    assert jobs.Plan(xz, drive()).obstacle() == ("too_large", "40.0 GB are needed and 32.0 GB are there.")
     assert jobs.Plan(jobs.ZEROS, drive()).command_line() == "dd if=/dev/zero of=/dev/sdb bs=16M count=32000000000 iflag=count_bytes oflag=direct status=progress && sync"
     assert jobs.Plan(drive(), "/img/o.img").command_line() == "dd if=/dev/sdb of=/img/o.img bs=4M iflag=direct conv=fsync,sparse status=progress"
-    assert jobs.Plan(drive(), drive()).problem() == "Source and target are the same drive."
-    assert jobs.Plan(raw, drive(system=True)).problem().endswith("can't be overwritten.")
-    assert jobs.Plan(jobs.ZEROS, "/x").problem().startswith("Set a block count")
-    assert jobs.Plan(None, drive()).problem() == "Choose what to copy from."
+    assert jobs.Plan(drive(), drive()).obstacle()[0] == "same_drive"
+    assert jobs.Plan(raw, drive(system=True)).obstacle()[0] == "system" and jobs.Plan(raw, drive(read_only=True)).obstacle()[0] == "read_only"
+    assert jobs.Plan(jobs.ZEROS, "/x").obstacle()[0] == "endless"
+    assert [jobs.Plan(None, drive()).obstacle()[0], jobs.Plan(raw, None).obstacle()[0]] == ["no_source", "no_target"] and "read" in jobs.Plan(None, drive()).problem()
     assert jobs.Plan(raw, drive(), jobs.Options(skip=2, count=3, block_size=1 << 20)).total == 3 << 20
-    assert jobs.Plan(xz, drive(), jobs.Options(count=1)).problem().startswith("Count, skip and seek")
+    assert jobs.Plan(xz, drive(), jobs.Options(count=1)).obstacle()[0] == "no_blocks"
     here = drive(mountpoints=[str(tmp_path)])
-    assert jobs.Plan(here, str(tmp_path / "o.img"), drives=(drive("/dev/sda", mountpoints=["/"]),)).problem() == "The image would be saved onto Stick, the drive being read."
-    assert [jobs.Plan(a, b).action() for a, b in ((raw, drive()), (drive(), "/x"), (drive(), drive("/dev/c")), (jobs.ZEROS, drive()), (raw, "/x"), (jobs.ZEROS, "/x"), (None, None))] == ["Write to drive", "Create image", "Clone drive", "Wipe drive", "Copy file", "Write zeros", "Start"]
+    assert jobs.Plan(here, str(tmp_path / "o.img"), drives=(drive("/dev/sda", mountpoints=["/"]),)).obstacle()[0] == "target_on_source"
+    small = drive(size=5 * 10**9)  # the last block is filled up where errors are passed over
+    assert jobs.Plan(raw, small).problem() is None and jobs.Plan(raw, small, jobs.Options(noerror=True)).obstacle()[0] == "too_large"
+    assert jobs.Plan(raw, drive()).note() is None and "xz" in jobs.Plan(xz, drive()).note() and "packed" in jobs.Plan(xz, "/x").note()
+    assert [jobs.Plan(a, b).action() for a, b in ((raw, drive()), (drive(), "/x"), (drive(), drive("/dev/c")), (jobs.ZEROS, drive()), (raw, "/x"), (jobs.ZEROS, "/x"), (None, None))] == ["Image to drive", "Drive to image", "Drive to drive", "Overwrite drive", "Duplicate image", "Make empty file", "Run"]
     assert [jobs.parse_size(t) for t in ("4M", "1GiB", "x", "99999999999T")] == [4 << 20, 1 << 30, None, None]
     assert jobs.quote("it's") == "'it'\\''s'" and jobs.short_path("/home/u/" + "d" * 60, "/home/u") == "~/" + "d" * 14 + "…" + "d" * 27
 
@@ -173,9 +176,9 @@ def test_status_lines(spark):
     lines = ["@ready", ' @layout {"a": 1}', "@total 100", "@progress 5 7\r", "@progress x", "@progress 9", "@sync", "other"]
     df = worker.parse_status(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert [(r.word, r.layout, r.total, r.done, r.written) for r in df.collect()] == [("@ready", None, None, None, None), ("@layout", '{"a": 1}', None, None, None), ("@total", None, 100, None, None), ("@progress", None, None, 5, 7), ("@progress", None, None, None, None), ("@progress", None, None, 9, None), ("@sync", None, None, None, None), ("other", None, None, None, None)]
-    dd = ["5000000000 bytes (5.0 GB, 4.7 GiB) copied, 120 s, 41.7 MB/s", "1192+1 records in", " dd: error ", ""]
+    dd = ["7300 bytes (7.3 kB, 7.1 KiB) copied, 0.25 s, 29 kB/s", "7+1 records in", " dd: error ", ""]
     out = spark.createDataFrame([(x,) for x in dd], "l string").select(worker.dd_progress(F.col("l")), worker.dd_record_count(F.col("l")), worker.dd_message(F.col("l"))).collect()
-    assert [tuple(r) for r in out] == [(5_000_000_000, False, None), (None, True, None), (None, False, "dd: error"), (None, False, None)]
+    assert [tuple(r) for r in out] == [(7300, False, None), (None, True, None), (None, False, "dd: error"), (None, False, None)]
 
 
 def test_job_progress_stream(spark, tmp_path):
