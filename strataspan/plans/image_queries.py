@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,13 @@ def image_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy(F.substring_index("image", "/", -1).alias("image"), "kind").agg(F.count("*").alias("pieces"), F.sum("length").alias("bytes"))
 
 
-@query("byte_chunks")
+def _chunk_rows() -> str:
+    """The chunks of the sample drives, cut and summed without Spark, as rows of SQL."""
+    rows = [(n, at, zlib.crc32(b[at : at + (1 << 20)]), b[at + 510 : at + 512] == b"\x55\xaa") for n, b in disks().items() for at in range(0, len(b), 1 << 20)]
+    return ", ".join(f"('{n}', CAST({at} AS BIGINT), CAST({crc} AS BIGINT), {str(signed).lower()})" for n, at, crc, signed in rows)
+
+
+@query("byte_chunks", f"SELECT * FROM (VALUES {_chunk_rows()}) t(image, pos, crc, signed)")
 def byte_chunks(spark: SparkSession, sf: str) -> DataFrame:
     disk_sources.register(spark)
     df = spark.read.format("byte_chunks").option("path", _put(_folder(spark), disks())).option("chunk", 1 << 20).load()
@@ -124,7 +131,10 @@ def drive_listing(spark: SparkSession, sf: str) -> DataFrame:
     return drives.drives_of(spark.createDataFrame(rows, "host string, os string, listing string"))
 
 
-@query("worker_status")
+@query(
+    "worker_status",
+    "SELECT CAST(user_id AS VARCHAR) AS job, CAST(max(event_id) AS BIGINT) AS done, CAST(sum(CASE WHEN floor(value) >= 0 THEN floor(value) END) AS BIGINT) AS written FROM events GROUP BY user_id",
+)
 def worker_status(spark: SparkSession, sf: str) -> DataFrame:
     """Events as workers' lines, parsed, and summed up for each job."""
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job"), "event_id", F.concat(F.lit(" @progress "), F.col("event_id").cast("string"), F.lit(" "), F.floor("value").cast("string"), F.lit("\r")).alias("line"))
