@@ -12,19 +12,36 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: A node with more neighbours than this, or than a MOST_HEAVY-th of all links, is heavy: at most MOST_HEAVY nodes are.
+HEAVY, MOST_HEAVY = 1024, 1_000_000
+
+
+def _least(pairs: DataFrame, own: bool) -> DataFrame:
+    """(a, m, degree): the smallest neighbour of each a (or a itself, if `own`), combined on the map side."""
+    m = F.min("b")
+    return pairs.groupBy("a").agg((F.least(m, F.first("a")) if own else m).alias("m"), F.count("*").alias("degree"))
+
+
+def _beside_least(pairs: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
+    """pairs (a, b) with the m of their a. Neighbours of heavy nodes stay where they are: these few nodes are broadcast."""
+    hot = F.broadcast(least.where(F.col("degree") > heavy).select("a", "m"))
+    rest = pairs.join(hot.select(F.col("a").alias("_hot")), F.col("a") == F.col("_hot"), "left_anti")
+    return pairs.join(hot, "a").select("a", "b", "m").unionByName(rest.join(least.where(F.col("degree") <= heavy).select("a", "m"), "a").select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the smallest node that can be reached.
 
-    Each round is written to the shared folder, so lineage stays short. A node with very many neighbours is the key
-    of a plain sort-merge join, which adaptive execution splits; minima combine on the map side."""
+    Each round is written to the shared folder, so lineage stays short. Minima combine on the map side, and the
+    neighbours of a node with very many are not brought to one task. Loops and repeated links change nothing; no
+    links give no rows; a link with a null end is left out."""
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        heavy = max(HEAVY, 2 * state[0] // MOST_HEAVY)
+        large = _beside_least(both.where("b > a"), _least(both, True), heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _beside_least(large, _least(large, False), heavy).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         old, edges = edges, materialise(small.where("a <> b").distinct(), "edges")
         discard(old)
         before, state = state, _state(edges)

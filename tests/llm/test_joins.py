@@ -156,6 +156,15 @@ def test_shingle_hashes():
     assert len(next(iter(shingles.shingle_sets([long], 5)))) == 4996
 
 
+def test_components_of_heavy_nodes(spark):
+    hubs = [(5000, k) for k in range(1, 3000)] + [(k, 9000) for k in range(4000, 7000)] + [(9000, 9001), (9001, 9001), (9001, 9000), (2999, 8000), (None, 3), (3, None)]
+    df = spark.createDataFrame(hubs, "a long, b long")
+    out = {r.node: r.component for r in components.connected_components(df).collect()}
+    assert set(out.values()) == {1} and set(out) == {*range(1, 3000), *range(4000, 7000), 8000, 9000, 9001}
+    least = components._least(df.where("a is not null and b is not null"), False)
+    assert components._beside_least(df.where("b < a"), least, 1024).count() == df.where("b < a").count()
+
+
 def test_connected_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 501 + i) for i in range(50)]
     out = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
