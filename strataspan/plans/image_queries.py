@@ -4,6 +4,7 @@ Samples are files in a folder that driver and executors share, so these queries
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import tempfile
@@ -55,14 +56,41 @@ def containers() -> dict[str, bytes]:
     return {"a.vhd": samples.vhd_dynamic(d), "b.vhd": samples.vhd_fixed(d), "c.qcow2": samples.qcow2(d), "d.qcow2": samples.qcow2(d, packed=True), "e.vmdk": samples.vmdk_sparse(d), "f.vmdk": samples.vmdk_sparse(d, True), "g.dmg": samples.dmg(d)}
 
 
-@query("disk_layout")
+#: What the builders of disks() were asked for, in SQL: partitions, and the ranges in each that a copy needs. FAT16 here has 105 sectors before
+#: its clusters and 9,105 in all, ext2 200 blocks of 1 KiB behind the first, exFAT 42 clusters of 4 KiB behind 64 sectors; what lies behind a
+#: file system is needed too, 64 KiB at the start of each partition, and 1 MiB at both ends of a drive.
+LAYOUT_SQL = """
+WITH parts(image, scheme, image_size, idx, start, size, fs, label, why) AS (VALUES
+  ('gpt.img', 'gpt', 33554432, 1, 2048 * 512, 20001 * 512, 'vfat', 'SAMPLE', NULL), ('gpt.img', 'gpt', 33554432, 2, 30000 * 512, 10001 * 512, 'ext2', 'sample', NULL),
+  ('mbr.img', 'mbr', 33554432, 1, 2048 * 512, 20000 * 512, 'vfat', 'SAMPLE', NULL), ('mbr.img', 'mbr', 33554432, 2, 30000 * 512, 512 * 512, 'swap', 'swapper', NULL),
+  ('mbr.img', 'mbr', 33554432, 3, 40000 * 512, 8192 * 512, 'ext2', 'sample', NULL), ('floppy.img', 'none', 2027 * 512, 0, 0, 2027 * 512, 'vfat', 'SAMPLE', NULL),
+  ('disc.iso', 'none', 200 * 2048, 0, 0, 200 * 2048, 'iso9660', 'SAMPLE_DISC', NULL), ('card.img', 'none', 64 * 512 + 600 * 4096, 0, 0, 64 * 512 + 600 * 4096, 'exfat', 'SAMPLE', NULL),
+  ('blank.img', 'none', 4194304, 0, 0, 4194304, NULL, NULL, 'nothing recognised')),
+fat16(a, b) AS (SELECT * FROM (VALUES (0, 105 * 512), (9105 * 512, NULL)) UNION ALL SELECT (103 + c) * 512, (104 + c) * 512 FROM (VALUES (5), (6), (7), (100), (8000)) t(c)),
+need(image, s, e) AS (
+  SELECT image, start + a, start + coalesce(b, size) FROM parts, fat16 WHERE fs = 'vfat' AND idx = 1
+  UNION ALL SELECT image, start + a, start + coalesce(b, size) FROM parts, (VALUES (0, 201 * 1024), (4096 * 1024, NULL)) t(a, b) WHERE fs = 'ext2'
+  UNION ALL SELECT image, start, start + 64 * 512 + 42 * 4096 FROM parts WHERE fs = 'exfat'
+  UNION ALL SELECT image, start, start + size FROM parts WHERE fs IS NULL OR fs = 'iso9660'
+  UNION ALL SELECT image, start, start + least(65536, size) FROM parts
+  UNION ALL SELECT image, 0, least(1048576, image_size) FROM parts UNION ALL SELECT image, greatest(0, image_size - 1048576), image_size FROM parts),
+wide AS (SELECT DISTINCT n.image, s - s % 4096 AS s, least(e + (4096 - e % 4096) % 4096, image_size) AS e FROM need n JOIN (SELECT DISTINCT image, image_size FROM parts) USING (image) WHERE s < e),
+marked AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY image ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 65536 THEN 0 ELSE 1 END AS fresh FROM wide),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY image ORDER BY s, e) AS island FROM marked),
+merged AS (SELECT image, min(s) AS s, max(e) AS e FROM numbered GROUP BY image, island),
+used AS (SELECT p.image, p.idx, sum(greatest(0, least(e, start + size) - greatest(s, start))) AS used FROM parts p JOIN merged m ON m.image = p.image GROUP BY p.image, p.idx)
+"""
+
+
+@query("disk_layout", LAYOUT_SQL + """SELECT image, scheme AS "table", CAST(image_size AS BIGINT) AS image_size, CAST(idx AS INTEGER) AS "index", CAST(start AS BIGINT) AS start, CAST(size AS BIGINT) AS size,
+  fs, label, CAST(used AS BIGINT) AS used, why IS NULL AS understood, why FROM parts JOIN used USING (image, idx)""")
 def disk_layout(spark: SparkSession, sf: str) -> DataFrame:
     disk_sources.register(spark)
     df = spark.read.format("disk_layout").option("path", _put(_folder(spark), disks())).load()
     return df.withColumn("image", F.substring_index("image", "/", -1))
 
 
-@query("disk_used")
+@query("disk_used", LAYOUT_SQL + """SELECT image, CAST(idx AS INTEGER) AS "index", CAST(used AS BIGINT) AS recorded, CAST(used AS BIGINT) AS used FROM used""")
 def disk_used(spark: SparkSession, sf: str) -> DataFrame:
     """Used bytes of each partition by a range join of partitions and extents: the same numbers as the layout's own."""
     disk_sources.register(spark)
@@ -74,14 +102,37 @@ def disk_used(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.substring_index("image", "/", -1).alias("image"), "index", "recorded", F.col("used").cast("long").alias("used"))
 
 
-@query("image_headers")
+def _header_rows() -> str:
+    """The samples by the format that was built, the bytes of the file and of the drive in it (whole sectors, but for QCOW2)."""
+    n, rows = len(samples.reference()), [(name, "raw", len(b), len(b)) for name, b in disks().items()]
+    for name, b in containers().items():
+        kind = name.split(".")[1]
+        rows.append((name, kind, len(b), n if kind == "qcow2" else -(-n // 512) * 512))
+    return ", ".join(f"('{name}', '{kind}', CAST({size} AS BIGINT), CAST({inner} AS BIGINT))" for name, kind, size, inner in rows)
+
+
+@query("image_headers", f"SELECT *, CAST(NULL AS BIGINT) AS smart_size, CAST(NULL AS BIGINT) AS smart_used FROM (VALUES {_header_rows()}) t(image, format, size, uncompressed)")
 def image_headers(spark: SparkSession, sf: str) -> DataFrame:
     disk_sources.register(spark)
     df = spark.read.format("image_headers").option("path", _put(_folder(spark), {**disks(), **containers()})).load()
     return df.withColumn("image", F.substring_index("image", "/", -1))
 
 
-@query("image_pieces")
+def _piece_rows() -> str:
+    """The units of each virtual disk that hold anything, in order: runs of them are cut where the format keeps them apart, runs of zeros never."""
+    d, rows = samples.reference(), []
+    whole = d.ljust(-(-len(d) // 512) * 512, b"\0")
+    kinds = [("a.vhd", "stored", 512, 1 << 16, whole), ("b.vhd", "stored", len(whole), len(whole), whole), ("c.qcow2", "stored", 1 << 16, len(d), d), ("d.qcow2", "packed", 1 << 16, 1 << 16, d)]
+    kinds += [("e.vmdk", "stored", 1 << 16, len(whole), whole), ("f.vmdk", "packed", 1 << 16, 1 << 16, whole), ("g.dmg", "packed", 1 << 18, 1 << 18, whole)]
+    for name, kind, unit, cut, data in kinds:
+        units = [(at, data[at : at + unit]) for at in range(0, len(data), unit)]
+        for _, run in itertools.groupby(units, lambda u: u[0] // cut if any(u[1]) else -1):
+            pieces = list(run)
+            rows.append((name, kind if any(pieces[0][1]) else "zeros", sum(len(b) for _, b in pieces)))
+    return ", ".join(f"('{name}', '{kind}', {n})" for name, kind, n in rows)
+
+
+@query("image_pieces", f"SELECT image, kind, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS bytes FROM (VALUES {_piece_rows()}) t(image, kind, n) GROUP BY image, kind")
 def image_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of each kind in each virtual disk."""
     disk_sources.register(spark)
